@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
-from .common import docs_of
+from . import langid, packing
+from .common import docs_of, fold
 
 
 def vocabulary(name: str) -> str:
@@ -18,5 +18,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs_of(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_packing,)}
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir)
+    found = langid.identify(docs, langid.learn(docs, fold("doc_id", 5) != 0))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin")
+
+
+QUERIES = {f.__name__: f for f in (op6_packing, op8_langid)}
 ORACLE_SQL: dict[str, str] = {}
