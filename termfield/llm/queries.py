@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, packing
+from . import langid, packing, toxicity
 from .common import docs_of, fold
 
 
@@ -14,6 +15,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model, votes = toxicity.learn(docs_of(spark, sf_dir), labels, fold("doc_id", 3) != 1)
+    return toxicity.score(votes, model).select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "votes",
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs_of(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -24,5 +37,5 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin")
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op8_langid)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op6_packing, op8_langid)}
 ORACLE_SQL: dict[str, str] = {}
