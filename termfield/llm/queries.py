@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, toxicity
+from . import brown, langid, packing, pii, toxicity
 from .common import docs_of, fold
 
 
@@ -27,6 +27,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir)
+    model, words = brown.learn(docs, fold("doc_id", 5) != 1)
+    found = brown.score(docs, model, words)
+    return found.select(
+        "doc_id",
+        (fold("doc_id", 5) == 1).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir)
     return pii.find(docs, pii.learn(docs))
@@ -42,5 +57,5 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_pii, op6_packing, op8_langid)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op6_packing, op8_langid)}
 ORACLE_SQL: dict[str, str] = {}
