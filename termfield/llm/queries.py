@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, langid, packing, pii, toxicity
+from . import brown, langid, nearcopies, packing, pii, toxicity
 from .common import docs_of, fold
 
 
@@ -47,6 +47,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.learn(docs))
 
 
+def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(docs_of(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs_of(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -57,5 +61,5 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op6_packing, op8_langid)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op4_near_copies, op6_packing, op8_langid)}
 ORACLE_SQL: dict[str, str] = {}
