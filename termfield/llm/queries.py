@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, langid, nearcopies, packing, pii, toxicity
+from . import brown, langid, nearcopies, packing, pii, toxicity, vptree
 from .common import docs_of, fold
 
 
@@ -55,11 +55,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs_of(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vptree.neighbours(vectors, F.col("vec_id") % 100 == 0, k=10, factor=4.0)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir)
     found = langid.identify(docs, langid.learn(docs, fold("doc_id", 5) != 0))
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op4_near_copies, op6_packing, op8_langid)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op4_near_copies, op6_packing, op7_vptree, op8_langid)}
 ORACLE_SQL: dict[str, str] = {}
