@@ -115,7 +115,7 @@ def mine(texts: DataFrame, terms: int = 4000, evidence: float = 25.0) -> Lexicon
 
     counts = texts.select("text", F.col("toxic").cast("int")).mapInArrow(count, "term string, toxic long, clean long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.where((F.col("toxic") > 1) | (F.col("term") == ""))
+    counts = written(counts.where((F.col("toxic") > 1) | (F.col("term") == "")), "terms")
     sizes = counts.where(F.col("term") == "").select(F.col("toxic").alias("nt"), F.col("clean").alias("nc"))
     rated = counts.where(F.col("term") != "").join(F.broadcast(sizes))
     pt, pc = (F.col("toxic") + 0.5) / (F.col("nt") + 1), (F.col("clean") + 0.5) / (F.col("nc") + 1)
@@ -290,7 +290,8 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, label_rows: int
     picked = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 20))
     share = min(1.0, label_rows / max(1, gold.count()))
     few = gold.where(picked < F.lit(int(share * (1 << 20))))
-    lexicon = mine(docs.select("doc_id", "text").join(few, "doc_id"))
+    # ``few`` is bounded by label_rows, so texts stay where they are.
+    lexicon = mine(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"))
     votes = written(vote(docs, lexicon, ["doc_id"]), "votes")
     label_model = fit_label_model(votes.join(gold, "doc_id", "left"), lexicon.voters)
     part = min(1.0, train_rows / max(1, votes.count()))
