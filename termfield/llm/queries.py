@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, langid, nearcopies, packing, pii, toxicity, vptree
+from . import brown, dropout, langid, license, nearcopies, packing, pii, toxicity, vptree
 from .common import docs_of, fold
 
 
@@ -66,5 +66,13 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op4_near_copies, op6_packing, op7_vptree, op8_langid)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.licenses(docs_of(spark, sf_dir))
+
+
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dropout.round_trip(docs_of(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op4_near_copies, op6_packing, op7_vptree, op8_langid, op9_license, op10_merge_dropout)}
+ORACLE_SQL: dict[str, str] = {"op9_license": license.sql()}
