@@ -57,10 +57,11 @@ def linked(members: DataFrame, test: Callable[[DataFrame], DataFrame], slack: fl
     inequality, with both distances to the bucket's leader, puts further apart are not tested.
     """
     order = [F.xxhash64(F.col("id"), F.lit(k)) for k in (1, 2)]
-    leads = members.groupBy("bucket").agg(
-        F.count("*").alias("many"), *(F.min_by(F.struct("id", "n"), order[k]).alias(f"lead{k}") for k in (0, 1))
-    )
-    shared = written(members.join(leads.where("many > 1").drop("many"), "bucket"), "buckets")
+    # Most buckets have one member; only their counts travel.
+    many = members.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = written(members.join(many, "bucket"), "shared")
+    leads = shared.groupBy("bucket").agg(*(F.min_by(F.struct("id", "n"), order[k]).alias(f"lead{k}") for k in (0, 1)))
+    shared = written(shared.join(leads, "bucket"), "buckets")
     fair = F.least("n", "m") >= F.greatest("n", "m") * F.lit(ratio)
     to = shared.select("id", "n", F.explode(F.array("lead0", "lead1")).alias("l")).select("id", "n", F.col("l.id").alias("lead"), F.col("l.n").alias("m"))
     first = to.where((F.col("id") != F.col("lead")) & fair)

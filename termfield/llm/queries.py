@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, dropout, langid, license, nearcopies, packing, pii, toxicity, vptree
+from . import brown, dropout, images, langid, license, nearcopies, packing, pii, toxicity, vptree
 from .common import docs_of, fold
 
 
@@ -51,6 +51,13 @@ def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(docs_of(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "kept")
 
 
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's picture (variant 0) and the edited copies (variant 1), by smallest vec_id of the class."""
+    found = images.copies(images.rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    half = F.floor(F.col("media_id") / 2).cast("long")
+    return found.select(half.alias("vec_id"), (F.col("media_id") % 2).cast("int").alias("variant"), F.floor(F.col("class_id") / 2).cast("long").alias("class_id"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs_of(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -74,5 +81,5 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropout.round_trip(docs_of(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op4_near_copies, op6_packing, op7_vptree, op8_langid, op9_license, op10_merge_dropout)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op4_near_copies, op5_image_copies, op6_packing, op7_vptree, op8_langid, op9_license, op10_merge_dropout)}
 ORACLE_SQL: dict[str, str] = {"op9_license": license.sql()}
