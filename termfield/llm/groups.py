@@ -1,11 +1,12 @@
 """From shared buckets to groups of linked items, without all pairs of a bucket.
 
 Items share buckets (bands of a signature, cells of a Hamming table).  Every member of a
-bucket is first tested against two leaders of the bucket.  What those links join is one
-component; then, in buckets that still hold several components, every member outside the
-largest one is tested against all members of other components.  A pair that is never tested
-lies in one component already, so groups are those that testing all pairs would give, while
-the pairs tested stay near the number of members.
+bucket is first tested against two leaders of the bucket, drawn anew for each bucket.  What
+those links join is one component.  In buckets that still hold several, members outside the
+largest one are tested against all members of the others: as pairs in small buckets, block
+against block inside tasks in crowded ones, so that rows grow with members and links.  A pair
+that is never tested lies in one component already, so groups are those that testing all
+pairs would give.
 
 An item without a link is a group of its own.  Empty tables give empty results.
 """
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -48,47 +49,100 @@ def rooted(items: DataFrame, roots: DataFrame, on: str = "id") -> DataFrame:
     return items.join(roots.withColumnRenamed("id", on), on, "left").withColumn("root", F.coalesce("root", on))
 
 
-def linked(members: DataFrame, test: Callable[[DataFrame], DataFrame], slack: float | None = None, ratio: float = 0.0) -> DataFrame:
+def linked(members: DataFrame, test: Callable[[DataFrame], DataFrame], payload: DataFrame, compare: Callable, slack: float | None = None, ratio: float = 0.0, crowd: int = 32) -> DataFrame:
     """Links (a, b) that join the items of ``members`` (bucket, id, n) as all tested pairs would.
 
     ``test`` takes pairs (a, b) and returns (a, b, far, link).  ``n`` is an item's size: pairs
     whose smaller size is under ``ratio`` of the larger are no links.  With ``slack`` far must
     be a metric under which links are at most ``slack`` apart: pairs that the triangle
     inequality, with both distances to the bucket's leader, puts further apart are not tested.
+    ``compare`` takes the ``payload`` columns (id aside) of two blocks, as lists, and returns
+    the places (u, v) of links; it must agree with ``test``.
     """
-    order = [F.xxhash64(F.col("id"), F.lit(k)) for k in (1, 2)]
     # Most buckets have one member; only their counts travel.
     many = members.groupBy("bucket").count().where("count > 1").select("bucket")
     shared = written(members.join(many, "bucket"), "shared")
-    leads = shared.groupBy("bucket").agg(*(F.min_by(F.struct("id", "n"), order[k]).alias(f"lead{k}") for k in (0, 1)))
+    lead = lambda k: F.min_by(F.struct("id", "n"), F.xxhash64("id", "bucket", F.lit(k)))
+    leads = shared.groupBy("bucket").agg(lead(1).alias("lead0"), lead(2).alias("lead1"))
     shared = written(shared.join(leads, "bucket"), "buckets")
-    fair = F.least("n", "m") >= F.greatest("n", "m") * F.lit(ratio)
-    to = shared.select("id", "n", F.explode(F.array("lead0", "lead1")).alias("l")).select("id", "n", F.col("l.id").alias("lead"), F.col("l.n").alias("m"))
-    first = to.where((F.col("id") != F.col("lead")) & fair)
-    first = first.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    tested = written(test(first), "tested")
-    links = tested.where("link").select("a", "b")
-    roots = written(components(links), "roots")
-    seats = rooted(shared.select("bucket", "id", "n", F.col("lead0.id").alias("lead")), roots)
+    to = shared.select("id", "n", F.explode(F.array("lead0", "lead1")).alias("l")).select("id", "n", F.col("l.id").alias("y"), F.col("l.n").alias("m"))
+    tested = written(test(_pairs(to.select(F.col("id").alias("x"), "n", "y", "m"), ratio)), "tested")
+    links = written(tested.where("link").select("a", "b"), "found")
+    seats = shared.select("bucket", "id", "n", F.col("lead0.id").alias("lead"))
     if slack is not None:
         ends = tested.select("a", "b", "far")
         seats = seats.withColumn("a", F.least("id", "lead")).withColumn("b", F.greatest("id", "lead")).join(ends, ["a", "b"], "left").drop("a", "b")
         seats = seats.withColumn("far", F.when(F.col("id") == F.col("lead"), 0.0).otherwise(F.col("far")))
     else:
         seats = seats.withColumn("far", F.lit(None).cast("double"))
-    sizes = seats.groupBy("bucket", "root").count()
-    most = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots"))
-    seats = written(seats.drop("lead").join(most.where("roots > 1").drop("roots"), "bucket"), "seats")
-    x = seats.where(F.col("root") != F.col("most")).alias("x")
-    y = seats.alias("y")
-    near = F.col("x.bucket") == F.col("y.bucket")
-    near &= F.col("x.root") != F.col("y.root")
+    seats = seats.drop("lead")
+    apart = _apart(seats, links)
+    crowded = apart.groupBy("bucket").count().where(F.col("count") > crowd).select("bucket")
+    x, y = apart.where("root != most").join(crowded, "bucket", "left_anti").alias("x"), apart.alias("y")
+    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
     near &= F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(ratio)
     # A pair of two small components is met from both sides; one is enough.
     near &= (F.col("y.root") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))
     if slack is not None:
-        apart = F.abs(F.col("x.far") - F.col("y.far"))
-        near &= F.coalesce(apart <= F.lit(slack + 1e-9), F.lit(True))
+        near &= F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= F.lit(slack + 1e-9), F.lit(True))
     rest = x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    return links.union(test(rest).where("link").select("a", "b"))
+    found = links.union(test(rest).where("link").select("a", "b"))
+    return found.union(_crowds(apart.join(crowded, "bucket"), payload, compare))
+
+
+def _crowds(seats: DataFrame, payload: DataFrame, compare: Callable, items: int = 96, size: int = 48_000) -> DataFrame:
+    """Links between components in crowded buckets.
+
+    Buckets that share items are one crowd.  Its items are packed into blocks of about
+    ``items`` items or ``size`` units of size; blocks of items outside the crowd's largest
+    component meet all blocks, and a task that holds two blocks returns the links alone.
+    """
+    lead = seats.groupBy("bucket").agg(F.min("id").alias("b"))
+    crowd = written(components(seats.join(lead, "bucket").select(F.col("id").alias("a"), "b")), "crowds")
+    members = crowd.select("id", F.col("root").alias("crowd")).join(seats.select("id", "root", "n").distinct(), "id")
+    sizes = members.groupBy("crowd", "root").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
+    most = sizes.groupBy("crowd").agg(F.max_by("root", F.struct("many", "root")).alias("most"), F.greatest(F.sum("many") / items, F.sum("n") / size).alias("blocks"))
+    dealt = members.join(most, "crowd").withColumn("minor", F.col("root") != F.col("most"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil("blocks"))).drop("most", "blocks", "n").join(payload, "id")
+    names = payload.drop("id").columns
+
+    def pack(key, table):
+        import pickle
+
+        import pyarrow as pa
+
+        held = pickle.dumps([table.column(c).to_pylist() for c in ("id", "root", *names)])
+        return pa.table({"crowd": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int64()), "held": pa.array([held], pa.binary())})
+
+    blocks = lambda df: df.groupBy("crowd", "block").applyInArrow(pack, "crowd long, block long, held binary")
+    asking, asked = blocks(dealt.where("minor")), blocks(dealt)
+    meet = asking.select("crowd", F.col("held").alias("x")).join(asked.select("crowd", F.col("held").alias("y"), "block"), "crowd")
+
+    def run(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        for b in slices(batches, 1):
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                (i, r, *px), (j, t, *py) = pickle.loads(x), pickle.loads(y)
+                pairs = [(min(i[u], j[v]), max(i[u], j[v])) for u, v in compare(px, py) if r[u] != t[v]]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    # Blocks of one crowd spread over the tasks.
+    return meet.repartition("crowd", "block", F.xxhash64("x")).select("x", "y").mapInArrow(run, "a long, b long")
+
+
+def _pairs(to: DataFrame, ratio: float) -> DataFrame:
+    """Distinct pairs (a, b) of (x, n, y, m) whose sizes allow a link."""
+    fair = (F.col("x") != F.col("y")) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(ratio))
+    return to.where(fair).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _apart(seats: DataFrame, links: DataFrame) -> DataFrame:
+    """Seats of buckets that hold several components, with root and the largest root there (most)."""
+    placed = rooted(seats, written(components(links), "roots"))
+    sizes = placed.groupBy("bucket", "root").count()
+    most = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots"))
+    return written(placed.join(most.where("roots > 1").drop("roots"), "bucket"), "seats")

@@ -201,7 +201,43 @@ def tester(sets: DataFrame, threshold: float):
     return test
 
 
-def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
+def comparer(threshold: float):
+    """Links between two blocks of packed multisets, by one product of membership matrices."""
+
+    def tokens(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(item, token) pairs: the k-th copy of a shingle is a token of its own, so overlaps of sets are those of multisets."""
+        at, out = [], []
+        for i, (h, c) in enumerate(zip(hashes, counts, strict=True)):
+            h = np.frombuffer(h, np.uint32).astype(np.uint64)
+            if c:
+                n = np.frombuffer(c, np.uint32).astype(np.int64)
+                copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                h = np.repeat(h, n) | (copy.astype(np.uint64) << np.uint64(32))
+            at.append(np.full(len(h), i))
+            out.append(h)
+        return np.concatenate(at), np.concatenate(out)
+
+    def compare(x: list[list], y: list[list]) -> list[tuple[int, int]]:
+        (i, a), (j, b) = tokens(*x), tokens(*y)
+        sizes = np.bincount(i, minlength=len(x[0]))[:, None] + np.bincount(j, minlength=len(y[0]))[None, :]
+        # Only tokens of both blocks can overlap; a slice of them at a time.
+        both = np.intersect1d(a, b)
+        place, other = np.searchsorted(both, a), np.searchsorted(both, b)
+        fit = lambda p, t: (p < len(both)) & (both[np.minimum(p, max(0, len(both) - 1))] == t) if len(both) else np.zeros(len(t), dtype=bool)
+        u, v = fit(place, a), fit(other, b)
+        i, place, j, other = i[u], place[u], j[v], other[v]
+        overlap = np.zeros(sizes.shape)
+        for lo in range(0, len(both), 8192):
+            left, right = np.zeros((len(x[0]), 8192), dtype=np.float32), np.zeros((len(y[0]), 8192), dtype=np.float32)
+            p, q = (place >= lo) & (place < lo + 8192), (other >= lo) & (other < lo + 8192)
+            left[i[p], place[p] - lo], right[j[q], other[q] - lo] = 1, 1
+            overlap += left @ right.T
+        return list(zip(*(k.tolist() for k in np.nonzero(1 - overlap / (sizes - overlap) <= 1 - threshold + 1e-12)), strict=True))
+
+    return compare
+
+
+def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, crowd: int = 32) -> DataFrame:
     """(doc_id, mark, class_id, kept) of every row of ``docs`` (doc_id, text, and mark if there).
 
     class_id is the smallest doc_id of the class; one row of a class is kept: the one with
@@ -216,7 +252,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows:
     heads = found.join(firsts, F.col("row_id") == F.col("id"), "left_semi").where("n > 0")
     members = heads.select(F.col("row_id").alias("id"), "n", F.explode("bands").alias("bucket"))
     sets = heads.select(F.col("row_id").alias("id"), "hashes", "counts")
-    links = written(linked(members, tester(sets, threshold), 1 - threshold, threshold), "joined")
+    links = written(linked(members, tester(sets, threshold), sets, comparer(threshold), 1 - threshold, threshold, crowd), "joined")
     roots = rooted(items, components(links))
     rows_of = written(found.select("row_id", "doc_id", "mark", "digest").join(roots.select("digest", "root"), "digest").drop("digest"), "rooted")
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")

@@ -71,6 +71,36 @@ def test_chain_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_crowded_buckets_match_brute_force(spark):
+    """Heavily edited copies of one text, most pairs of them not near: all buckets count as crowded."""
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        words = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 6)):
+            words[at] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(words[rng.integers(0, 3) :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = classes([bag(t) for t in texts])
+    assert len(set(want)) > 5
+    for crowd in (1, 10_000):
+        got = {r.doc_id: r.class_id for r in nc.near_copies(docs, bands=60, rows=3, crowd=crowd).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_block_comparison_is_overlap():
+    rng = np.random.default_rng(4)
+    items = []
+    for _ in range(12):
+        h = np.unique(rng.integers(0, 40, 30).astype(np.uint32))
+        items.append((h.tobytes(), b"" if rng.random() < 0.4 else rng.integers(1, 4, len(h)).astype(np.uint32).tobytes()))
+    items[3] = items[0]
+    for threshold in (0.3, 0.5, 0.8):
+        got = set(nc.comparer(threshold)([list(c) for c in zip(*items)], [list(c) for c in zip(*items)]))
+        assert got == {(i, j) for i in range(12) for j in range(12) if nc.overlap(*items[i], *items[j]) >= threshold}
+
+
 CASES = [
     (1, None, 1), (2, "", 1), (3, "one two", 3), (4, "One, two!", 3), (4, "One, two!", 3), (5, "a b c d e f", 5),
     (None, "a b c d e f", 5), (6, "word " * 300_000, 6), (7, "word " * 290_000, 6), (8, "...", 1),
