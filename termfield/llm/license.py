@@ -79,7 +79,12 @@ def units(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<level:string,at:int,unit:string>>")
     every = F.concat(each("line", lines), F.when(F.size(parts) > 1, each("paragraph", parts)).otherwise(none), F.when(F.size(lines) > 1, each("text", F.array(text))).otherwise(none))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(every).alias("u"))
-    return out.select("doc_id", "u.level", "u.at", words_of(F.col("u.unit")).alias("words"))
+    return out.select("doc_id", "u.level", "u.at", once(words_of(F.col("u.unit"))).alias("words"))
+
+
+def once(value: Column) -> Column:
+    """A generated column: filters on it are not pushed below it, where they would compute it again."""
+    return F.explode(F.array(value))
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -89,7 +94,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, t
     """
     spark = docs.sparkSession
     rows = template_table(TEMPLATES if templates is None else templates)
-    table = spark.createDataFrame(rows, "license string, template int, size long, bigram string, has long")
+    values = ", ".join(f"('{a}', {k}, {size}L, '{b}', {n}L)" for a, k, size, b, n in rows) or "('', 0, 1L, '', 0L)"
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t(license, template, size, bigram, has)")
     sizes = [r[2] for r in rows] or [1]
     known = sorted({r[3] for r in rows})
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -98,7 +104,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, t
     two = F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.concat_ws(" ", a, b))
     # What a unit shares with any template at all; few units share enough for the smallest one.
     shared = F.filter(two, lambda b: b.isin(known))
-    fit = fit.select("doc_id", "level", "at", n.cast("long").alias("n"), shared.alias("shared")).where(F.size("shared") >= min(sizes) * least)
+    fit = fit.select("doc_id", "level", "at", n.cast("long").alias("n"), once(shared).alias("shared")).where(F.size("shared") >= min(sizes) * least)
     # A number for each unit, so that repeated rows stay apart.
     fit = fit.withColumn("unit", F.monotonically_increasing_id())
     counts = fit.select("unit", "doc_id", "level", "at", "n", F.explode("shared").alias("bigram"))
