@@ -18,15 +18,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+#: Bytes of an Arrow batch that goes to Python; buffers on both sides grow with it.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def written(df: DataFrame, tag: str, batch_bytes: int = 4 << 20) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back.
 
     A lost executor costs nothing that was written, and two readers of a table with
-    generated keys see the same keys.
+    generated keys see the same keys.  Python gets rows in batches of ``batch_bytes``, since
+    rows may hold large values.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(batch_bytes))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -87,8 +87,9 @@ def linked(members: DataFrame, test: Callable[[DataFrame], DataFrame], payload:
         near &= F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= F.lit(slack + 1e-9), F.lit(True))
     rest = x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    found = links.union(test(rest).where("link").select("a", "b"))
-    return found.union(_crowds(apart.join(crowded, "bucket"), payload, compare))
+    # One kind of Python work at a time.
+    found = written(links.union(test(rest).where("link").select("a", "b")), "found")
+    return found.union(written(_crowds(apart.join(crowded, "bucket"), payload, compare), "crowded"))
 
 
 def _crowds(seats: DataFrame, payload: DataFrame, compare: Callable, items: int = 96, size: int = 48_000) -> DataFrame:
@@ -104,7 +105,8 @@ def _crowds(seats: DataFrame, payload: DataFrame, compare: Callable, items: int
     sizes = members.groupBy("crowd", "root").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
     most = sizes.groupBy("crowd").agg(F.max_by("root", F.struct("many", "root")).alias("most"), F.greatest(F.sum("many") / items, F.sum("n") / size).alias("blocks"))
     dealt = members.join(most, "crowd").withColumn("minor", F.col("root") != F.col("most"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil("blocks"))).drop("most", "blocks", "n").join(payload, "id")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil("blocks"))).drop("most", "blocks", "n")
+    dealt = written(dealt, "dealt").join(payload, "id")
     names = payload.drop("id").columns
 
     def pack(key, table):
@@ -116,7 +118,7 @@ def _crowds(seats: DataFrame, payload: DataFrame, compare: Callable, items: int
         return pa.table({"crowd": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int64()), "held": pa.array([held], pa.binary())})
 
     blocks = lambda df: df.groupBy("crowd", "block").applyInArrow(pack, "crowd long, block long, held binary")
-    asking, asked = blocks(dealt.where("minor")), blocks(dealt)
+    asking, asked = written(blocks(dealt.where("minor")), "asking"), written(blocks(dealt), "asked")
     meet = asking.select("crowd", F.col("held").alias("x")).join(asked.select("crowd", F.col("held").alias("y"), "block"), "crowd")
 
     def run(batches):
