@@ -239,14 +239,18 @@ def from_triplets(
 
 
 def from_dense(table: DataFrame, features: list[str], term: str = "term", vector: str = "vec", raw: bool = True, **more) -> TermModel:
-    """A model from rows of (term, array of numbers), one number for each feature; zeros are not stored."""
+    """A model from rows of (term, array of numbers), one number for each feature; zeros are not
+    stored, but labels without other values stay."""
     names = F.array(*[F.lit(f) for f in features])
     sized = table.where(F.size(vector) != len(features)).limit(1).count()
     if sized:
         raise ModelError(f"every vector must have {len(features)} numbers")
     long = table.select(F.col(term).alias("target"), F.posexplode(vector).alias("at", "f"))
     long = long.select("target", F.element_at(names, F.col("at") + 1).alias("feature"), "f")
-    return from_triplets(long, raw=raw, **more)
+    out = from_triplets(long, raw=raw, **more)
+    part = "cells" if raw else "scores"
+    kept = getattr(out, part)
+    return out.replaced(**{part: kept.where(F.col(kept.columns[2]) != 0)})
 
 
 def to_arrays(table: DataFrame, cols: DataFrame) -> DataFrame:

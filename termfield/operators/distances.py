@@ -115,7 +115,7 @@ def _plan(method: str, p: float, normalized: bool, convert: bool, same: bool) ->
         if not normalized:
             cos = F.when((F.col("nx") == 0) | (F.col("ny") == 0), nan).otherwise(cos)
         # So close to parallel that only rounding tells them apart.
-        cos = F.when(cos > 1 - 1e-12, 1.0).when(cos < -1 + 1e-12, -1.0).otherwise(cos)
+        cos = F.when(F.isnan(cos), cos).when(cos > 1 - 1e-12, 1.0).when(cos < -1 + 1e-12, -1.0).otherwise(cos)
         if convert:
             cos = F.degrees(F.acos(cos))
         return [F.sum(x * y).alias("dot")], {"n": F.sqrt(F.sum(v * v))}, cos
