@@ -8,18 +8,32 @@ from pyspark.sql import functions as F
 from ..model import ModelError, TermModel, from_triplets
 
 
+#: Encodings the reader knows; other ones of one byte a character are recoded after reading.
+READABLE = {"UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "US-ASCII", "ISO-8859-1"}
+
+
+def recoded(df: DataFrame, encoding: str) -> DataFrame:
+    """Text columns that were read byte by byte, in the encoding they are in."""
+    high = range(128, 256)
+    have, want = "".join(map(chr, high)), "".join(bytes([b]).decode(encoding, "replace")[:1] for b in high)
+    return df.withColumns({c: F.translate(F.col(f"`{c}`"), have, want) for c, t in df.dtypes if t == "string"})
+
+
 def read_columns(spark: SparkSession, path: str, schema: str | None, header: bool = False, sep: str = "\t", quote: str = "", encoding: str = "UTF-8") -> DataFrame:
     """Delimited text; without a schema types are inferred and whole numbers become doubles.
 
     Files ending in .gz and .bz2 are unpacked by the reader.  Text in other encodings than
     UTF-8 whose line ends are not single bytes (UTF-16) is read as whole files.
     """
-    reader = spark.read.option("sep", sep).option("quote", quote).option("escape", "").option("header", header).option("encoding", encoding)
+    own = encoding.upper() not in READABLE
+    reader = spark.read.option("sep", sep).option("quote", quote).option("escape", "").option("header", header).option("encoding", "ISO-8859-1" if own else encoding)
     if encoding.upper().replace("-", "").startswith(("UTF16", "UTF32")):
         reader = reader.option("multiLine", True)
     if schema is not None:
-        return reader.option("mode", "FAILFAST").schema(schema).csv(path)
+        df = reader.option("mode", "FAILFAST").schema(schema).csv(path)
+        return recoded(df, encoding) if own else df
     df = reader.option("inferSchema", True).csv(path)
+    df = recoded(df, encoding) if own else df
     whole = [c for c, t in df.dtypes if t in ("int", "bigint", "smallint", "tinyint")]
     return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in whole})
 
