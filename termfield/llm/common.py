@@ -40,6 +40,14 @@ def written(df: DataFrame, tag: str, batch_bytes: int = 4 << 20) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
+    """A written table that joins on ``key`` without a shuffle of its own."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def fold(key: str, of: int) -> Column:
     """crc32 of the key as text, modulo ``of``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % of

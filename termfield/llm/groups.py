@@ -1,9 +1,9 @@
 """From shared buckets to groups of linked items, without all pairs of a bucket.
 
 Items share buckets (bands of a signature, cells of a Hamming table).  Every member of a
-bucket is first tested against two leaders of the bucket, drawn anew for each bucket.  What
-those links join is one component.  In buckets that still hold several, members outside the
-largest one are tested against all members of the others: as pairs in small buckets, block
+bucket is first tested against one leader, what those links leave apart against two leaders
+more.  What links join is one component.  In buckets that still hold several, members outside
+the largest one are tested against all members of the others: as pairs in small buckets, block
 against block inside tasks in crowded ones, so that rows grow with members and links.  A pair
 that is never tested lies in one component already, so groups are those that testing all
 pairs would give.
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import bucketed, slices, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -49,26 +49,31 @@ def rooted(items: DataFrame, roots: DataFrame, on: str = "id") -> DataFrame:
     return items.join(roots.withColumnRenamed("id", on), on, "left").withColumn("root", F.coalesce("root", on))
 
 
-def linked(members: DataFrame, test: Callable[[DataFrame], DataFrame], payload: DataFrame, compare: Callable, slack: float | None = None, ratio: float = 0.0, crowd: int = 32) -> DataFrame:
+def linked(members: DataFrame, payload: DataFrame, tester: Callable, compare: Callable, slack: float | None = None, ratio: float = 0.0, crowd: int = 32) -> DataFrame:
     """Links (a, b) that join the items of ``members`` (bucket, id, n) as all tested pairs would.
 
-    ``test`` takes pairs (a, b) and returns (a, b, far, link).  ``n`` is an item's size: pairs
-    whose smaller size is under ``ratio`` of the larger are no links.  With ``slack`` far must
-    be a metric under which links are at most ``slack`` apart: pairs that the triangle
-    inequality, with both distances to the bucket's leader, puts further apart are not tested.
-    ``compare`` takes the ``payload`` columns (id aside) of two blocks, as lists, and returns
-    the places (u, v) of links; it must agree with ``test``.
+    ``tester`` takes the ``payload`` (id and other columns) of the items in question and returns
+    a test: from pairs (a, b) to (a, b, far, link).  ``n`` is an item's size: pairs whose
+    smaller size is under ``ratio`` of the larger are no links.  With ``slack`` far must be a
+    metric under which links are at most ``slack`` apart: pairs that the triangle inequality,
+    with both distances to the bucket's leader, puts further apart are not tested.
+    ``compare`` takes the payload columns (id aside) of two blocks, as lists, and returns the
+    places (u, v) of links; it must agree with the test.
     """
     # Most buckets have one member; only their counts travel.
     many = members.groupBy("bucket").count().where("count > 1").select("bucket")
     shared = written(members.join(many, "bucket"), "shared")
-    lead = lambda k: F.min_by(F.struct("id", "n"), F.xxhash64("id", "bucket", F.lit(k)))
-    leads = shared.groupBy("bucket").agg(lead(1).alias("lead0"), lead(2).alias("lead1"))
-    shared = written(shared.join(leads, "bucket"), "buckets")
-    to = shared.select("id", "n", F.explode(F.array("lead0", "lead1")).alias("l")).select("id", "n", F.col("l.id").alias("y"), F.col("l.n").alias("m"))
-    tested = written(test(_pairs(to.select(F.col("id").alias("x"), "n", "y", "m"), ratio)), "tested")
-    links = written(tested.where("link").select("a", "b"), "found")
-    seats = shared.select("bucket", "id", "n", F.col("lead0.id").alias("lead"))
+    items = written(shared.select("id").distinct(), "items")
+    # What an item holds is moved once; every test joins it where it lies.
+    buckets = max(8, min(10_000, items.count() // 10_000))
+    held = bucketed(payload.repartition(buckets, "id").join(items, "id", "left_semi"), "id", buckets, "held")
+    test = tester(held)
+    # The first leader is the same item in as many buckets as can be, so its pairs are few.
+    lead = shared.groupBy("bucket").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(1))).alias("lead"))
+    shared = written(shared.join(lead, "bucket").select("bucket", "id", "n", F.col("lead.id").alias("y"), F.col("lead.n").alias("m")), "buckets")
+    tested = written(test(_pairs(shared.withColumnRenamed("id", "x"), ratio)), "tested")
+    links = tested.where("link").select("a", "b")
+    seats = shared.select("bucket", "id", "n", F.col("y").alias("lead"))
     if slack is not None:
         ends = tested.select("a", "b", "far")
         seats = seats.withColumn("a", F.least("id", "lead")).withColumn("b", F.greatest("id", "lead")).join(ends, ["a", "b"], "left").drop("a", "b")
@@ -77,6 +82,16 @@ def linked(members: DataFrame, test: Callable[[DataFrame], DataFrame], payload:
         seats = seats.withColumn("far", F.lit(None).cast("double"))
     seats = seats.drop("lead")
     apart = _apart(seats, links)
+    # Then leaders of the bucket's own, from its largest component.
+    own = lambda k: F.min_by(F.struct("id", "n"), F.xxhash64("id", "bucket", F.lit(k)))
+    leads = apart.where("root = most").groupBy("bucket").agg(F.array(own(2), own(3)).alias("leads"))
+    to = apart.where("root != most").join(leads, "bucket").select(F.col("id").alias("x"), "n", F.explode("leads").alias("l"))
+    more = _pairs(to.select("x", "n", F.col("l.id").alias("y"), F.col("l.n").alias("m")), ratio).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    more = written(test(more), "tested")
+    tested = tested.unionByName(more)
+    links = written(links.union(more.where("link").select("a", "b")), "found")
+    seats = apart.select("bucket", "id", "n", "far")
+    apart = _apart(seats, links)
     crowded = apart.groupBy("bucket").count().where(F.col("count") > crowd).select("bucket")
     x, y = apart.where("root != most").join(crowded, "bucket", "left_anti").alias("x"), apart.alias("y")
     near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
@@ -89,7 +104,7 @@ def linked(members: DataFrame, test: Callable[[DataFrame], DataFrame], payload:
     rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     # One kind of Python work at a time.
     found = written(links.union(test(rest).where("link").select("a", "b")), "found")
-    return found.union(written(_crowds(apart.join(crowded, "bucket"), payload, compare), "crowded"))
+    return found.union(written(_crowds(apart.join(crowded, "bucket"), held, compare), "crowded"))
 
 
 def _crowds(seats: DataFrame, payload: DataFrame, compare: Callable, items: int = 96, size: int = 48_000) -> DataFrame:

@@ -251,8 +251,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows:
     firsts = items.select("id")
     heads = found.join(firsts, F.col("row_id") == F.col("id"), "left_semi").where("n > 0")
     members = heads.select(F.col("row_id").alias("id"), "n", F.explode("bands").alias("bucket"))
-    sets = heads.select(F.col("row_id").alias("id"), "hashes", "counts")
-    links = written(linked(members, tester(sets, threshold), sets, comparer(threshold), 1 - threshold, threshold, crowd), "joined")
+    sets = found.select(F.col("row_id").alias("id"), "hashes", "counts")
+    links = written(linked(members, sets, lambda held: tester(held, threshold), comparer(threshold), 1 - threshold, threshold, crowd), "joined")
     roots = rooted(items, components(links))
     rows_of = written(found.select("row_id", "doc_id", "mark", "digest").join(roots.select("digest", "root"), "digest").drop("digest"), "rooted")
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
