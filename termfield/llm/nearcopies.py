@@ -69,6 +69,17 @@ def shingles(text: str | None, known: WordHashes, width: int = 5) -> tuple[np.nd
     return np.unique((total >> np.uint64(32)).astype(np.uint32), return_counts=True)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """Sorted 32-bit hashes as steps, low bytes first: the high bytes are mostly 0 and compress."""
+    steps = np.diff(hashes.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def signatures(items: np.ndarray, weights: np.ndarray, owner: np.ndarray, owners: int, m: int) -> np.ndarray:
     """BagMinHash signatures: float arrival times, a row of ``m`` for each owner.
 
@@ -136,7 +147,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, gather: int = 150_000) -> Dat
             owner = np.repeat(np.arange(len(held)), sizes)
             sig = signatures(np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held]), owner, len(held), bands * rows)
             keys = bands_of(sig, bands, rows)
-            hashes = [h.tobytes() for _, _, h, _ in held]
+            hashes = [packed(h) for _, _, h, _ in held]
             # No counts: every shingle is there once.
             counts = [b"" if (c == 1).all() else c.astype(np.uint32).tobytes() for _, _, _, c in held]
             digest = [hashlib.blake2b(h + c, digest_size=16).digest() for h, c in zip(hashes, counts, strict=True)]
@@ -170,7 +181,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, gather: int = 150_000) -> Dat
 
 def overlap(h1: bytes, c1: bytes, h2: bytes, c2: bytes) -> float:
     """Weighted Jaccard similarity of two packed multisets; two empty ones are equal."""
-    a, b = np.frombuffer(h1, np.uint32), np.frombuffer(h2, np.uint32)
+    a, b = unpacked(h1), unpacked(h2)
     n = np.frombuffer(c1, np.uint32).astype(np.int64) if c1 else np.ones(len(a), dtype=np.int64)
     m = np.frombuffer(c2, np.uint32).astype(np.int64) if c2 else np.ones(len(b), dtype=np.int64)
     at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
@@ -208,7 +219,7 @@ def comparer(threshold: float):
         """(item, token) pairs: the k-th copy of a shingle is a token of its own, so overlaps of sets are those of multisets."""
         at, out = [], []
         for i, (h, c) in enumerate(zip(hashes, counts, strict=True)):
-            h = np.frombuffer(h, np.uint32).astype(np.uint64)
+            h = unpacked(h).astype(np.uint64)
             if c:
                 n = np.frombuffer(c, np.uint32).astype(np.int64)
                 copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

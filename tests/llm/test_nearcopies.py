@@ -94,7 +94,8 @@ def test_block_comparison_is_overlap():
     items = []
     for _ in range(12):
         h = np.unique(rng.integers(0, 40, 30).astype(np.uint32))
-        items.append((h.tobytes(), b"" if rng.random() < 0.4 else rng.integers(1, 4, len(h)).astype(np.uint32).tobytes()))
+        items.append((nc.packed(h), b"" if rng.random() < 0.4 else rng.integers(1, 4, len(h)).astype(np.uint32).tobytes()))
+        assert (nc.unpacked(nc.packed(h)) == h).all()
     items[3] = items[0]
     for threshold in (0.3, 0.5, 0.8):
         got = set(nc.comparer(threshold)([list(c) for c in zip(*items)], [list(c) for c in zip(*items)]))
