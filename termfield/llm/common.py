@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -57,6 +58,15 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def remembered(name: str, key: tuple, make):
+    """One object for all tasks of a worker process, such as an encoder with what it remembers."""
+    kept = sys.__dict__.setdefault(f"_termfield_{name}", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
+
+
 def slices(batches, rows: int = 256):
     """Short slices of Arrow batches, so that a task holds few texts as Python objects at once."""
     for b in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, written
+from .common import remembered, slices, written
 
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
@@ -37,7 +37,7 @@ class WordEncoder:
     case or normal form need the library's own tables goes to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.words = Tokenizer.from_file(path), keep, {}
@@ -69,7 +69,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0)
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc, end = WordEncoder(vocabulary), struct.pack("<I", end_id)
+        enc = remembered("words", (vocabulary,), lambda: WordEncoder(vocabulary))
+        end = struct.pack("<I", end_id)
         row, step = TaskContext.get().partitionId() << 33, 4 * size
         for b in slices(batches):
             out = []
