@@ -44,6 +44,9 @@ class TermModel:
 
     @property
     def N(self) -> float | None:
+        """The sample size; where it is the sum of the counts, it is summed when first asked for."""
+        if self.globals.get("N") is None and (counts := self.globals.get("counts")) is not None:
+            self.globals["N"] = counts.agg(F.sum("f")).first()[0]
         return self.globals.get("N")
 
     @property
@@ -228,11 +231,10 @@ def from_triplets(
             info = info.select(*own).join(given, "term")
         infos.append(info)
     known = dict(globals or {})
-    size = N if N is not None else known.get("N")
-    if size is None and raw:
-        size = cells.agg(F.sum("f")).first()[0]
-    known.update(N=size, locked=known.get("locked", False))
     table = cells.select("target", "feature", "f")
+    known.update(N=N if N is not None else known.get("N"), locked=known.get("locked", False))
+    if known["N"] is None and raw:
+        known["counts"] = table
     if raw:
         return TermModel(infos[0], infos[1], table, None, known)
     return TermModel(infos[0], infos[1], None, table.withColumnRenamed("f", "score"), known)

@@ -39,7 +39,7 @@ def bind_rows(models: list[TermModel], suffixes: list[str] | None = None) -> Ter
     cols, adjusted = same_marginals([m.cols for m in models])
     sizes = [m.N for m in models if m.N is not None]
     locked = adjusted or any(m.locked for m in models) or len(set(sizes)) > 1
-    out = TermModel(rows, cols, tables.get("cells"), tables.get("scores"), {**models[0].globals, "N": max(sizes, default=None), "locked": locked})
+    out = TermModel(rows, cols, tables.get("cells"), tables.get("scores"), {**models[0].globals, "counts": None, "N": max(sizes, default=None), "locked": locked})
     return out.replaced(cols=with_nonzero(cols, out.primary, "feature"))
 
 

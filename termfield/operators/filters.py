@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ def _bound(info: DataFrame, condition: Column | str | None, model: TermModel) ->
     """Rows of an info table where the condition holds; globals are columns there; null drops."""
     if condition is None:
         return info
+    if re.search(r"\bN\b", str(condition)):
+        model.N  # noqa: B018  (summed now if it was not before)
     extra = {k: v for k, v in model.globals.items() if k not in info.columns and isinstance(v, (int, float, str, bool))}
     return info.withColumns({k: F.lit(v) for k, v in extra.items()}).where(condition).select(*info.columns)
 
