@@ -78,12 +78,14 @@ def patterns_of(text: str) -> list[bool]:
     return [bool(_BANG.search(text)), bool(_STARS.search(text)), text.isupper()]
 
 
-def mine(texts: DataFrame, terms: int = 4000, evidence: float = 25.0) -> Lexicon:
+def mine(texts: DataFrame, terms: int = 4000, evidence: float = 25.0, share: float = 0.06) -> Lexicon:
     """Terms of toxic texts, from training rows (text, toxic).
 
     Per term, toxic and clean texts that hold it are counted over all rows given.  A term is
-    kept if its log-likelihood ratio is at least ``evidence`` and over 0.8 of its texts would
-    be toxic at equal class sizes; the ``terms`` strongest of them are the lexicon.
+    kept if its log-likelihood ratio is at least ``evidence`` and at least ``share`` of the
+    strongest term's, and over 0.8 of its texts would be toxic at equal class sizes; the
+    ``terms`` strongest of them are the lexicon.  Words that toxic texts hold by chance gain
+    evidence with the number of texts as voters do, so only a share of it keeps them out.
     """
 
     def count(batches):
@@ -124,8 +126,9 @@ def mine(texts: DataFrame, terms: int = 4000, evidence: float = 25.0) -> Lexicon
     hit = F.col("toxic") * F.log(F.col("toxic") / (both * base))
     miss = F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - base)))).otherwise(0.0)
     rated = rated.where(F.col("nc") > 0).withColumn("rate", 2 * (hit + miss)).where((F.col("rate") >= evidence) & (pt / (pt + pc) > 0.8))
-    top = [r["term"] for r in rated.orderBy(F.desc("rate"), "term").limit(terms).collect()]
-    return Lexicon(tuple(dict.fromkeys((*SEED_LEXICON, *top))))
+    top = rated.orderBy(F.desc("rate"), "term").select("term", "rate").limit(terms).collect()
+    kept = [r["term"] for r in top if r["rate"] >= share * top[0]["rate"]]
+    return Lexicon(tuple(dict.fromkeys((*SEED_LEXICON, *kept))))
 
 
 def vote(docs: DataFrame, lexicon: Lexicon, extra: list[str]) -> DataFrame:
