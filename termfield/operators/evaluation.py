@@ -1,7 +1,6 @@
 """Evaluation against gold standards: similarity ratings, multiple choice, clustering.
 
-Gold standards are small tables; distances come from Spark, and only clustering takes its
-distance table (checked in size) to the driver.
+Distances stay in Spark; of a clustering only the medoids are on the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions.association import named
 from ..model import ModelError
 from ..shared import written
-from .distances import is_similarity
+from .distances import distances, is_similarity
 from .filters import convert_lemma
 from .neighbours import pair_distances
 
@@ -198,6 +197,50 @@ def pam(d: np.ndarray, k: int) -> np.ndarray:
     return np.array([order[c] for c in own.tolist()])
 
 
+def medoid_clusters(d: DataFrame, k: int) -> DataFrame:
+    """(w, cluster): ``pam`` over a written table (a, b, distance) of all ordered pairs, the diagonal too; ties go by name.
+
+    Each step is one aggregation over the pairs; a swap has to lower the cost by more than the
+    rounding of sums in another order.  What each word has beside its pairs (a row a word) is
+    small next to them and broadcast.
+    """
+    spark = d.sparkSession
+    pick = lambda found, by: found.agg(F.min(F.struct(by, "b")).alias("x")).first()["x"]
+    medoids = [pick(d.groupBy("b").agg(F.sum("distance").alias("cost")), "cost")["b"]]
+
+    def near() -> DataFrame:
+        """(a, m, n1, n2): position of the nearest medoid, a medoid's own first, and the two least distances."""
+        at = spark.createDataFrame(list(enumerate(medoids)), "m int, b string")
+        first = F.struct(F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("other"), "distance", "m")
+        got = d.join(F.broadcast(at), "b").groupBy("a").agg(F.slice(F.array_sort(F.collect_list(first)), 1, 2).alias("x"))
+        second = F.when(F.size("x") > 1, F.col("x")[F.size("x") - 1]["distance"]).otherwise(float("inf"))
+        return written(got.select("a", F.col("x")[0]["m"].alias("m"), F.col("x")[0]["distance"].alias("n1"), second.alias("n2")), "near")
+
+    def others(at: DataFrame) -> DataFrame:
+        return d.join(F.broadcast(spark.createDataFrame([(x,) for x in medoids], "b string")), "b", "left_anti").join(F.broadcast(at), "a")
+
+    at = near()
+    while len(medoids) < k:
+        gain = others(at).groupBy("b").agg((-F.sum(F.greatest(F.col("n1") - F.col("distance"), F.lit(0.0)))).alias("loss"))
+        medoids.append(pick(gain, "loss")["b"])
+        at = near()
+    while True:
+        kept, moved = F.least("distance", "n1"), F.least("distance", "n2")
+        by = others(at).groupBy("b", "m").agg(F.sum(kept - F.col("n1")).alias("all"), F.sum(moved - kept).alias("own"))
+        # Every medoid is near itself, so each candidate has a row for each of them.
+        best = by.groupBy("b").agg(F.sum("all").alias("all"), F.min(F.struct("own", "m")).alias("x"))
+        best = best.agg(F.min(F.struct((F.col("all") + F.col("x.own")).alias("change"), "x.m", "b")).alias("x")).first()["x"]
+        cost = at.agg(F.sum("n1")).first()[0]
+        if best is None or not best["change"] < -1e-9 * cost - 1e-12:
+            break
+        medoids[best["m"]] = best["b"]
+        at = near()
+    # Clusters are numbered by their first word.
+    order = [r["m"] for r in at.groupBy("m").agg(F.min("a").alias("a")).orderBy("a").collect()]
+    number = spark.createDataFrame([(m, str(i + 1)) for i, m in enumerate(order)], "m int, cluster string")
+    return at.join(F.broadcast(number), "m").select(F.col("a").alias("w"), "cluster")
+
+
 def majority(assigned: DataFrame) -> DataFrame:
     """(cluster, label): the most frequent gold class of each cluster, ties to the first in the alphabet."""
     w = Window.partitionBy("cluster").orderBy(F.desc("count"), "gold")
@@ -222,26 +265,25 @@ def entropy(assigned: DataFrame, scale: bool = False) -> DataFrame:
     return total.crossJoin(gold).select((F.col("entropy") / F.col("h")).alias("entropy"))
 
 
-def clustering_details(task: DataFrame, table: DataFrame, form: str | None = None, clusters: int | None = None, word: str = "word", gold: str = "class", most: int = 5000, **how) -> DataFrame:
+def clustering_details(task: DataFrame, table: DataFrame, form: str | None = None, clusters: int | None = None, word: str = "word", gold: str = "class", **how) -> DataFrame:
     """(word, cluster, label, gold, correct, missing); words without a vector are the cluster n/a."""
-    spark = table.sparkSession
-    rows = task.select(F.col(word).alias("word"), _words(word, form).alias("w"), F.col(gold).cast("string").alias("gold")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ModelError(f"clustering takes its distances to the driver: at most {most} words")
-    words = list(dict.fromkeys(r["w"] for r in rows))
-    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(words) for b in words[:i]] or [], "w1 string, w2 string")
-    known = {r["w"] for r in table.select(F.col(table.columns[0]).alias("w")).distinct().join(spark.createDataFrame([(x,) for x in words], "w string"), "w").collect()}
-    words = [x for x in words if x in known]
-    found = {}
-    if words:
-        at = {x: i for i, x in enumerate(words)}
-        d = np.zeros((len(words), len(words)))
-        for r in pair_distances(pairs, table, **how).collect():
-            if r["w1"] in at and r["w2"] in at:
-                d[at[r["w1"]], at[r["w2"]]] = d[at[r["w2"]], at[r["w1"]]] = r["distance"]
-        k = len({r["gold"] for r in rows}) if clusters is None else clusters
-        found = dict(zip(words, (str(c + 1) for c in pam(d, min(k, len(words)))), strict=True))
-    assigned = spark.createDataFrame([(r["word"], found.get(r["w"], "n/a"), r["gold"], r["w"] not in found) for r in rows], "word string, cluster string, gold string, missing boolean")
+    rows = task.select(F.col(word).alias("word"), _words(word, form).alias("w"), F.col(gold).cast("string").alias("gold"))
+    known = table.select(F.col(table.columns[0]).cast("string").alias("term")).distinct()
+    if how.get("info") is not None:
+        known = known.join(how["info"].select("term"), "term", "left_semi")
+    words = written(known.join(rows.select(F.col("w").alias("term")), "term", "left_semi"), "words")
+    k = min(rows.select("gold").distinct().count() if clusters is None else clusters, words.count())
+    if k:
+        transform = how.pop("transform", None)
+        half = distances(table, terms=words, skip_missing=True, **how).where("a > b")
+        half = half.select("a", "b", (transform(F.col("distance")) if transform else F.col("distance")).alias("distance"))
+        half = written(half, "distances")
+        every = half.union(half.select("b", "a", "distance")).union(words.select("term", "term", F.lit(0.0)))
+        found = medoid_clusters(written(every, "pairs"), k)
+    else:
+        found = words.select(F.col("term").alias("w"), F.lit(None).cast("string").alias("cluster"))
+    assigned = rows.join(found, "w", "left")
+    assigned = assigned.select("word", F.coalesce("cluster", F.lit("n/a")).alias("cluster"), "gold", F.col("cluster").isNull().alias("missing"))
     out = assigned.join(majority(assigned), "cluster")
     return out.select("word", "cluster", "label", "gold", (F.col("label") == F.col("gold")).alias("correct"), "missing")
 
