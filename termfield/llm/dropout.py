@@ -4,10 +4,9 @@ Pieces, their scores and their kinds come from the model file; merges are done h
 is cut before every word (spaces belong to the word after them), since no piece of a BPE
 model crosses such a cut.  In a segment every adjacent pair whose joined piece exists is on
 an agenda, best score first, then leftmost.  A merge that comes up is skipped if the keyed
-hash of (seed, variant, segment, its bounds) draws a skip at the dropout rate; a skipped pair
-comes back only as part of another.  The variant of a segment follows a keyed sequence from
-a place that depends on the document, so a word is cut differently at different places, and
-a run can be repeated anywhere.  Dropout 0 gives the model's own segmentation.
+hash of (seed, document, place of the segment, its bounds) draws a skip at the dropout rate; a
+skipped pair comes back only as part of another.  Every occurrence of a word has draws of its
+own, and a run can be repeated anywhere.  Dropout 0 gives the model's own segmentation.
 
 Characters without a piece, and the space sign itself where the text has it, become byte
 pieces, so decoding restores every text.  Null and empty texts have no tokens.  Very long
@@ -20,7 +19,7 @@ import heapq
 import re
 import struct
 import zlib
-from itertools import islice
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +29,30 @@ from .common import remembered, slices
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _MASK = (1 << 64) - 1
-SEQUENCE = 4096
+_GOLDEN, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def _place(start: int, middle: int, end: int) -> int:
+    """A number for a candidate's bounds."""
+    return (start * 0xD6E8FEB86659FD93 + middle * 0xA0761D6478BD642F + end * 0xE7037ED1A0B428DB) & _MASK
+
+
+def _mixed(x):
+    """Well mixed 64-bit numbers of an array, as in ``Encoder.skips``."""
+    import numpy as np
+
+    x = (x ^ x >> np.uint64(30)) * np.uint64(_MIX1)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(_MIX2)
+    return x ^ x >> np.uint64(31)
+
+
+@dataclass(slots=True)
+class Node:
+    text: str
+    skipped: frozenset
+    merges: bytes  # a 64-bit number for each candidate's bounds
+    ids: bytes | None
+    after: dict
 
 
 class Pieces:
@@ -55,35 +77,18 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes texts; segments are remembered for each variant."""
+    """Encodes texts with draws of their own at every place; what draws can lead to is remembered.
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int = 4, keep: int = 800_000):
-        import xxhash
+    A node is a segment and the candidates skipped in it so far: the merges that come up after
+    them, the tokens if none of those is skipped, and a child for each that is.  Any sequence
+    of draws has its path, and ``keep`` bounds only what is remembered.
+    """
 
-        self.pieces, self.seed, self.keep = Pieces(path), seed, keep
+    def __init__(self, path: str, dropout: float, seed: int, keep: int = 300_000):
+        self.pieces, self.seed, self.keep, self.nodes = Pieces(path), seed, keep, 0
         self.varied = dropout > 0
-        self.variants = variants if self.varied else 1
-        self.known = [self._memory(v) for v in range(self.variants)]
-        draw = xxhash.xxh3_64_intdigest
-        # Keyed draws, one for each of 2^16 places; a candidate's place is hashed from its segment and bounds.
-        self.draws = bytes(draw(struct.pack("<qqd", seed, i, dropout)) < dropout * 2.0**64 for i in range(1 << 16))
-        turns = [draw(struct.pack("<qq", seed, i)) % self.variants for i in range(SEQUENCE)]
-        self.turns = [self.known[v] for v in turns]
-
-    def _memory(self, variant: int) -> dict[str, bytes]:
-        outer = self
-
-        class Memory(dict):
-            def __missing__(self, segment: str) -> bytes:
-                if len(self) * outer.variants > outer.keep:
-                    self.clear()
-                ids = outer.segment(segment, variant)
-                got = struct.pack(f"<{len(ids)}I", *ids)
-                if len(segment) < 64:
-                    self[segment] = got
-                return got
-
-        return Memory()
+        self.below = int(dropout * 2.0**53)
+        self.roots: dict[str, Node] = {}
 
     def packed(self, text: str | None, doc: int | None) -> bytes:
         """Token ids of a text as little-endian 32-bit numbers."""
@@ -91,39 +96,82 @@ class Encoder:
             return b""
         if SPACE in text:
             return self._escaped(text, doc)
-        segments = _SEGMENT.findall(SPACE + text.replace(" ", SPACE))
-        return b"".join([m[s] for m, s in zip(self._places(doc, len(segments)), segments, strict=True)])
-
-    def _places(self, doc: int | None, n: int):
-        import xxhash
-
-        at = xxhash.xxh3_64_intdigest(struct.pack("<qq?", self.seed, doc or 0, doc is None)) % SEQUENCE
-        turns = self.turns
-        if at + n <= SEQUENCE:
-            return turns[at : at + n]
-        many = -(-(at + n) // SEQUENCE)
-        return islice(turns * many, at, at + n)
+        return self._joined(_SEGMENT.findall(SPACE + text.replace(" ", SPACE)), doc, 0)
 
     def _escaped(self, text: str, doc: int | None) -> bytes:
         """Texts that hold the space sign: it becomes its bytes, between segments of its own."""
-        out, sign = [], [self.pieces.byte_ids[b] for b in SPACE.encode()]
+        out, sign, at = [], [self.pieces.byte_ids[b] for b in SPACE.encode()], 0
         parts = (SPACE + text.replace(SPACE, "\udfff").replace(" ", SPACE)).split("\udfff")
         for k, part in enumerate(parts):
             if k:
                 out.append(struct.pack(f"<{len(sign)}I", *sign))
             segments = _SEGMENT.findall(part)
-            out += [m[s] for m, s in zip(self._places(doc, len(segments)), segments, strict=True)]
+            out.append(self._joined(segments, doc, at))
+            at += len(segments)
         return b"".join(out)
 
+    def _joined(self, segments: list[str], doc: int | None, first: int) -> bytes:
+        """The tokens of segments that stand from place ``first`` on in a document."""
+        import numpy as np
+        import xxhash
+
+        if self.nodes > self.keep:
+            self.roots, self.nodes = {}, 0
+        roots = self.roots
+        nodes = [roots.get(s) or self._root(s) for s in segments]
+        if not self.varied:
+            return b"".join([n.ids for n in nodes])
+        text = xxhash.xxh3_64_intdigest(struct.pack("<qq?", self.seed, doc or 0, doc is None))
+        keys = _mixed(np.uint64(text) + np.arange(first, first + len(nodes), dtype=np.uint64) * np.uint64(_GOLDEN))
+        open_ = np.arange(len(nodes))
+        while len(open_):
+            merges = [nodes[i].merges for i in open_.tolist()]
+            many = np.fromiter(map(len, merges), np.int64, len(merges)) >> 3
+            owner = np.repeat(np.arange(len(merges)), many)
+            x = np.frombuffer(b"".join(merges), np.uint64) + keys[open_][owner]
+            hit = np.flatnonzero((_mixed(x) >> np.uint64(11)) < np.uint64(self.below))
+            own = owner[hit]
+            new = np.ones(len(own), dtype=bool)
+            new[1:] = own[1:] != own[:-1]
+            hit, own = hit[new], own[new]
+            at = hit - (np.cumsum(many) - many)[own]
+            open_ = open_[own]
+            for i, k in zip(open_.tolist(), at.tolist(), strict=True):
+                node = nodes[i]
+                nodes[i] = node.after.get(k) or self._child(node, k)
+        # Long segments are merged at their place.
+        return b"".join([n.ids if n.ids is not None else self._ids(self.parts(s, int(keys[i]))) for i, (n, s) in enumerate(zip(nodes, segments, strict=True))])
+
+    def _root(self, text: str) -> Node:
+        if len(text) >= 64:
+            return Node(text, frozenset(), b"", None if self.varied else self._ids(self.parts(text, frozenset())), {})
+        node = self.roots[text] = self._node(text, frozenset())
+        return node
+
+    def _child(self, node: Node, k: int) -> Node:
+        """The node that a skip of the k-th merge leads to."""
+        seen: list[tuple[int, int, int]] = []
+        self.parts(node.text, node.skipped, seen)
+        child = node.after[k] = self._node(node.text, node.skipped | {seen[k]})
+        return child
+
+    def _node(self, text: str, skipped: frozenset) -> Node:
+        seen: list[tuple[int, int, int]] = []
+        ids = self._ids(self.parts(text, skipped, seen))
+        self.nodes += 1
+        return Node(text, skipped, b"".join([struct.pack("<Q", _place(*c)) for c in seen]), ids, {})
+
     def skips(self, key: int, start: int, middle: int, end: int) -> bool:
-        return bool(self.draws[(key + start * 4177 + middle * 257 + end * 31) & 0xFFFF])
+        x = (key + _place(start, middle, end)) & _MASK
+        x = ((x ^ x >> 30) * _MIX1) & _MASK
+        x = ((x ^ x >> 27) * _MIX2) & _MASK
+        return (x ^ x >> 31) >> 11 < self.below
 
-    def segment(self, text: str, variant: int) -> list[int]:
-        """Ids of one segment."""
-        import xxhash
+    def parts(self, text: str, key: int | frozenset, seen: list | None = None) -> list[str]:
+        """Pieces of one segment; ``key`` has the draws, or is the set of candidates that are skipped."""
+        return self._short(text, key, seen) if len(text) <= 48 else self._long(text, key, seen)
 
-        key = xxhash.xxh3_64_intdigest(text.encode(), self.seed * 1_000_003 + variant & _MASK) if self.varied else 0
-        parts = self._short(text, key) if len(text) <= 48 else self._long(text, key)
+    def _ids(self, parts: list[str]) -> bytes:
         ids, bytes_of, out = self.pieces.ids, self.pieces.byte_ids, []
         for p in parts:
             i = ids.get(p)
@@ -131,11 +179,25 @@ class Encoder:
                 out.append(i)
             else:
                 out += [bytes_of[b] for b in p.encode()]
-        return out
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def _skipper(self, key: int | frozenset, seen: list | None):
+        """Whether a candidate is skipped; ``seen`` gets the merges since the last skip."""
+        if seen is None:
+            return (lambda *c: self.skips(key, *c)) if isinstance(key, int) else (lambda *c: c in key)
+
+        def skip(*c):
+            if c in key:
+                seen.clear()
+                return True
+            seen.append(c)
+            return False
+
+        return skip
 
-    def _short(self, text: str, key: int) -> list[str]:
+    def _short(self, text: str, key: int | frozenset, seen: list | None = None) -> list[str]:
         """The agenda as a list of ranks beside the parts: quick for a few parts."""
-        ranks, none, draws = self.pieces.ranks, 1 << 60, self.draws
+        ranks, none, skip = self.pieces.ranks, 1 << 60, self._skipper(key, seen)
         parts, starts = list(text), list(range(len(text) + 1))
         agenda = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while agenda:
@@ -143,7 +205,7 @@ class Encoder:
             if best == none:
                 break
             i = agenda.index(best)
-            if draws[(key + starts[i] * 4177 + starts[i + 1] * 257 + starts[i + 2] * 31) & 0xFFFF]:
+            if skip(starts[i], starts[i + 1], starts[i + 2]):
                 agenda[i] = none
                 continue
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
@@ -155,9 +217,9 @@ class Encoder:
                 agenda[i] = ranks.get(parts[i] + parts[i + 1], none)
         return parts
 
-    def _long(self, text: str, key: int) -> list[str]:
+    def _long(self, text: str, key: int | frozenset, seen: list | None = None) -> list[str]:
         """The agenda as a heap, for long segments; the same order and the same skips."""
-        ranks, n = self.pieces.ranks, len(text)
+        ranks, n, skip = self.pieces.ranks, len(text), self._skipper(key, seen)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at i
         agenda: list[tuple[int, int, int, int]] = []
 
@@ -173,7 +235,7 @@ class Encoder:
             _, a, b, z = heapq.heappop(agenda)
             if not (alive[a] and alive[b]) or end[a] != b or end[b] != z:
                 continue
-            if self.skips(key, a, b, z):
+            if skip(a, b, z):
                 continue
             alive[b], end[a] = 0, z
             if z < n:

@@ -67,3 +67,24 @@ def test_tables(spark, rate):
     assert all(r.lossless for r in full)
     assert sorted(r.n_tokens for r in full) == sorted(len(r.ids) for r in tokens.collect())
     assert d.round_trip(docs.limit(0), MODEL).collect() == []
+
+
+def test_every_occurrence_has_its_own_draws():
+    """Many occurrences of one word get far more than four segmentations."""
+    n = 3000
+    words = d._SEGMENT.findall(d.SPACE + d.SPACE.join(["internationalization"] * n))
+    got = [VARIED._joined([w], 1, k) for k, w in enumerate(words)]
+    assert b"".join(got) == VARIED.packed(" ".join(["internationalization"] * n), 1)
+    assert len(set(got)) > 50
+
+
+def test_remembered_paths_are_the_drawn_ones():
+    """The tokens found through remembered nodes are those of a fresh run of the agenda with the same draws."""
+    import numpy as np
+    import xxhash
+
+    text = xxhash.xxh3_64_intdigest(d.struct.pack("<qq?", 1, 7, False))
+    words = ["▁tokenization", "▁unbelievable", "▁the", "▁abcabcabcabc", "▁" + "lengthy" * 12] * 40
+    keys = d._mixed(np.uint64(text) + np.arange(len(words), dtype=np.uint64) * np.uint64(d._GOLDEN))
+    want = b"".join(VARIED._ids(VARIED.parts(w, int(k))) for w, k in zip(words, keys, strict=True))
+    assert VARIED._joined(words, 7, 0) == want
