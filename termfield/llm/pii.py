@@ -103,8 +103,6 @@ def offers(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
             lower = text.lower()
             if " at " not in lower and "(at)" not in lower and "[at]" not in lower:
                 continue
-            if " dot " not in lower and "dot)" not in lower and "dot]" not in lower and "(at)" not in lower and "[at]" not in lower:
-                continue
         elif not _DIGIT.search(text):
             break
         for m in pattern.finditer(text):

@@ -67,3 +67,10 @@ def test_edges(spark):
     texts = {r.doc_id: r.text for r in masked.collect()}
     assert texts[1] is None and texts[2] == "" and texts[3] == "call <PHONE>" and texts[4].endswith("<IP>")
     assert pii.find(docs.limit(0), pii.learn(docs.limit(0))).collect() == []
+
+
+def test_written_out_addresses_with_a_plain_dot_are_offered():
+    """What else stands in the text does not decide whether a span is a candidate."""
+    text = "mail: jane.doe at example.com"
+    for t in (text, text + ", or ask (at) the desk"):
+        assert ["jane.doe at example.com"] == [t[a:b] for k, a, b in pii.offers(t, []) if pii.KINDS[k] == "email"]
