@@ -120,7 +120,7 @@ class _Stock:
         if found or gap < 3:
             return found
         c = np.arange(1, gap - 1)
-        for x in c[(self.n[c] > 0) & self.pair_sums()[gap - c]][::-1][:64]:
+        for x in c[(self.n[c] > 0) & self.pair_sums()[gap - c]][::-1]:
             if (found := self._pair(gap - int(x), [*held, int(x)])) is not None:
                 return [int(x), *found]
         return None

@@ -73,3 +73,15 @@ def test_exact_complements_are_found():
     counts = np.zeros(11, dtype=np.int64)
     counts[[7, 2, 1]] = 5
     assert pk.plan(counts, 10) == [([7, 2, 1], 5)]
+
+
+def test_a_triple_is_found_behind_many_longer_first_lengths():
+    """Over 64 longer lengths only reach the gap with a piece that is already held."""
+    import numpy as np
+
+    from termfield.llm.packing import _Stock
+
+    counts = np.zeros(2400, dtype=np.int64)
+    x = np.arange(1190, 1332, 2)
+    counts[x], counts[1700 - x], counts[301], counts[667] = 1, 1, 1, 3
+    assert _Stock(counts).exact(2001, [301]) == [667, 667, 667]
