@@ -1,8 +1,8 @@
 """From shared buckets to groups of linked items, without all pairs of a bucket.
 
-Items share buckets (bands of a signature, cells of a Hamming table).  Every member of a
-bucket is first tested against one leader, what those links leave apart against two leaders
-more.  What links join is one component.  In buckets that still hold several, members outside
+Items share buckets (bands of a signature, cells of a Hamming table).  Every item is first
+tested against one of the leaders of its buckets; in buckets that those links leave apart,
+against the bucket's leader and then against two more.  What links join is one component.  In buckets that still hold several, members outside
 the largest one are tested against all members of the others: as pairs in small buckets, block
 against block inside tasks in crowded ones, so that rows grow with members and links.  A pair
 that is never tested lies in one component already, so groups are those that testing all
@@ -66,22 +66,29 @@ def linked(members: DataFrame, payload: DataFrame, tester: Callable, compare: Ca
     items = written(shared.select("id").distinct(), "items")
     # What an item holds is moved once; every test joins it where it lies.
     buckets = max(8, min(10_000, items.count() // 10_000))
-    held = bucketed(payload.repartition(buckets, "id").join(items, "id", "left_semi"), "id", buckets, "held")
+    held = bucketed(payload.join(items, "id", "left_semi").repartition(buckets, "id"), "id", buckets, "held")
     test = tester(held)
-    # The first leader is the same item in as many buckets as can be, so its pairs are few.
+    # The leader is the same item in as many buckets as can be.
     lead = shared.groupBy("bucket").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(1))).alias("lead"))
-    shared = written(shared.join(lead, "bucket").select("bucket", "id", "n", F.col("lead.id").alias("y"), F.col("lead.n").alias("m")), "buckets")
-    tested = written(test(_pairs(shared.withColumnRenamed("id", "x"), ratio)), "tested")
+    seats = written(shared.join(lead, "bucket").select("bucket", "id", "n", F.col("lead.id").alias("y"), F.col("lead.n").alias("m")), "buckets")
+    # First each item meets one of its leaders, the one that leads most: one edge an item.
+    one = seats.withColumnRenamed("id", "x").groupBy("x", "n").agg(F.min_by(F.struct("y", "m"), F.xxhash64("y", F.lit(1))).alias("l"))
+    tested = written(test(_pairs(one.select("x", "n", F.col("l.y").alias("y"), F.col("l.m").alias("m")), ratio)), "tested")
     links = tested.where("link").select("a", "b")
-    seats = shared.select("bucket", "id", "n", F.col("y").alias("lead"))
+    # Then the leaders of its other buckets, where these lie in other components.
+    placed = _apart(seats, links)
+    other = _pairs(placed.where("root != first").withColumnRenamed("id", "x"), ratio).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    tested = tested.unionByName(written(test(other), "tested"))
+    links = written(tested.where("link").select("a", "b"), "found")
+    apart = _apart(placed.select("bucket", "id", "n", "y", "m"), links)
+    seats = apart
     if slack is not None:
         ends = tested.select("a", "b", "far")
-        seats = seats.withColumn("a", F.least("id", "lead")).withColumn("b", F.greatest("id", "lead")).join(ends, ["a", "b"], "left").drop("a", "b")
-        seats = seats.withColumn("far", F.when(F.col("id") == F.col("lead"), 0.0).otherwise(F.col("far")))
+        seats = seats.withColumn("a", F.least("id", "y")).withColumn("b", F.greatest("id", "y")).join(ends, ["a", "b"], "left").drop("a", "b")
+        seats = seats.withColumn("far", F.when(F.col("id") == F.col("y"), 0.0).otherwise(F.col("far")))
     else:
         seats = seats.withColumn("far", F.lit(None).cast("double"))
-    seats = seats.drop("lead")
-    apart = _apart(seats, links)
+    apart = written(seats.select("bucket", "id", "n", "y", "far", "root", "most"), "seats")
     # Then leaders of the bucket's own, from its largest component.
     own = lambda k: F.min_by(F.struct("id", "n"), F.xxhash64("id", "bucket", F.lit(k)))
     leads = apart.where("root = most").groupBy("bucket").agg(F.array(own(2), own(3)).alias("leads"))
@@ -90,8 +97,7 @@ def linked(members: DataFrame, payload: DataFrame, tester: Callable, compare: Ca
     more = written(test(more), "tested")
     tested = tested.unionByName(more)
     links = written(links.union(more.where("link").select("a", "b")), "found")
-    seats = apart.select("bucket", "id", "n", "far")
-    apart = _apart(seats, links)
+    apart = _apart(apart.select("bucket", "id", "n", "y", "far"), links)
     crowded = apart.groupBy("bucket").count().where(F.col("count") > crowd).select("bucket")
     x, y = apart.where("root != most").join(crowded, "bucket", "left_anti").alias("x"), apart.alias("y")
     near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
@@ -158,8 +164,9 @@ def _pairs(to: DataFrame, ratio: float) -> DataFrame:
 
 
 def _apart(seats: DataFrame, links: DataFrame) -> DataFrame:
-    """Seats of buckets that hold several components, with root and the largest root there (most)."""
+    """Seats of buckets that hold several components: root, that of the leader (first) and the largest root there (most)."""
     placed = rooted(seats, written(components(links), "roots"))
-    sizes = placed.groupBy("bucket", "root").count()
-    most = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots"))
+    leads = F.max(F.when(F.col("id") == F.col("y"), F.col("root"))).alias("first")
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("count"), leads)
+    most = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots"), F.max("first").alias("first"))
     return written(placed.join(most.where("roots > 1").drop("roots"), "bucket"), "seats")

@@ -23,7 +23,7 @@ import re
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
@@ -128,7 +128,7 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCH = "row_id long, doc_id long, mark long, n long, digest binary, bands array<long>, hashes binary, counts binary"
+SKETCH = "row_id long, doc_id long, mark string, n long, digest binary, bands array<long>, hashes binary, counts binary"
 
 
 def sketch(docs: DataFrame, bands: int, rows: int, gather: int = 150_000) -> DataFrame:
@@ -155,7 +155,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, gather: int = 150_000) -> Dat
             cols = [
                 pa.array(range(row, row + len(held)), pa.int64()),
                 pa.array([x[0] for x in held], pa.int64()),
-                pa.array([x[1] for x in held], pa.int64()),
+                pa.array([x[1] for x in held], pa.string()),
                 pa.array([int(x[3].sum()) for x in held], pa.int64()),
                 pa.array(digest, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * bands, pa.int32()), band_type),
@@ -176,7 +176,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, gather: int = 150_000) -> Dat
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("mark").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.col("mark").cast("string"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
 def overlap(h1: bytes, c1: bytes, h2: bytes, c2: bytes) -> float:
@@ -248,15 +248,15 @@ def comparer(threshold: float):
     return compare
 
 
-def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, crowd: int = 32) -> DataFrame:
-    """(doc_id, mark, class_id, kept) of every row of ``docs`` (doc_id, text, and mark if there).
+def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 18, rows: int = 4, crowd: int = 32, mark: Column | None = None) -> DataFrame:
+    """(doc_id, mark, class_id, kept) of every row of ``docs`` (doc_id, text).
 
     class_id is the smallest doc_id of the class; one row of a class is kept: the one with
-    that doc_id (of repeated rows, one).  ``mark`` is a number of the caller's for the row.
+    that doc_id (of repeated rows, one).  ``mark`` is a text of the caller's for the row.
+    A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^rows)^bands: 0.9999.
     """
-    if "mark" not in docs.columns:
-        docs = docs.withColumn("mark", F.lit(0))
-    found = written(sketch(docs, bands, rows), "sketch")
+    mark = F.lit(None) if mark is None else mark
+    found = written(sketch(docs.select("doc_id", mark.cast("string").alias("mark"), "text"), bands, rows), "sketch")
     # Rows with equal multisets are one item, named by one of its rows.
     items = written(found.groupBy("digest").agg(F.min("row_id").alias("id")), "items")
     firsts = items.select("id")
@@ -273,9 +273,15 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows:
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One document of each class of near copies, with all columns of ``docs``."""
-    mark = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], mark.alias("_mark"))
-    found = near_copies(docs.select("doc_id", "text", mark.alias("mark")), threshold)
-    kept = found.where("kept").select(F.col("mark").alias("_mark")).distinct()
-    return marked.join(kept, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
+    """One document of each class of near copies, with all columns of ``docs``.
+
+    A row is known by two hashes of all its columns, nulls among them, so rows that share a
+    mark are the same in every column, and one of them stays.
+    """
+    names = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    held = [x for c in names for x in (c.isNull(), c.cast("string"))]
+    mark = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *held)), 16, "0") for seed in (1, 2)])
+    own = next(x for x in (f"mark_{k}" for k in range(len(names) + 1)) if x not in {c.lower() for c in docs.columns})
+    found = near_copies(docs, threshold, mark=mark)
+    kept = found.where("kept").select(F.col("mark").alias(own)).distinct()
+    return docs.withColumn(own, mark).join(kept, own, "left_semi").dropDuplicates([own]).drop(own)
