@@ -1,35 +1,40 @@
 """Brown class-based bigram scoring.
 
 Words fall into classes; a text's probability is the product over its tokens of a class
-transition and a word emission.  Exchange clustering finds the classes: the most frequent
-words, and all other words grouped by their last letters and shape, are units; each round
-moves a share of the units, in parallel, to the class that raises the likelihood of the class
-bigrams most, against counts that are renewed every round.  Units are bounded, so rounds read
-a table of at most units² bigram counts, whatever the size of the corpus; counting words and
-bigrams reads all of it.
-
-Counts of the ``common`` most frequent words travel to the tasks (a bounded table); each other
-word of a text is joined to its count.  An unknown word has the mass that absolute discounting
-takes from the known words of each class.
+transition and a word emission.  Exchange clustering finds the classes.  The ``common`` most
+frequent words are units of their own, all other words share units by their last letters and
+shape.  A round looks for each unit's best class against the class bigram counts, in
+parallel, and moves a keyed share of the units; counts are renewed and the round stands only
+if the likelihood of the class bigrams has risen, else the share is halved.  Rounds end when no
+unit moves or a round gains less than ``tolerance`` of the likelihood.  Words beyond the
+common ones then each get the class that their own neighbours make likeliest.
+
+Counting words and bigrams reads the whole corpus; unit bigrams are a table in Spark, and the
+driver holds one class a unit and classes² counts.  Counts and classes of common words travel
+to the tasks (a bounded table); each other word of a text is joined to its own.  An unknown
+word stands for all unknown words of its shape's class, whose mass is what absolute discounting
+takes from the class's known words, so the next step is conditioned on what was paid for.
 
 Null texts are empty: one end token.  Repeated rows are scored each on their own.  Without
-training rows every token is unknown and certain (score 0).
+training rows every token is unknown: score 0, and log10(0.5 / 0.5) = 0 a token for the base.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import slices, written
+from .common import remembered, slices, written
 
 #: The end token; a space cannot be in a word.
 END = b" "
@@ -53,6 +58,10 @@ def shape_bucket(word: bytes, buckets: int) -> int:
     return h % buckets
 
 
+def bytes_of(docs: DataFrame) -> Column:
+    return F.col("text").cast("string").cast("binary").alias("text")
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all tokens of ``docs`` (text)."""
 
@@ -70,103 +79,172 @@ def count_words(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    parts = docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "word binary, n long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(bytes_of(docs)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Units:
-    """Unit of a word: its own if frequent, else its shape's."""
+    """Unit of a word: its own if common, else its shape's."""
 
-    own: dict[bytes, int]
+    common: list[bytes]
     buckets: int
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
     def size(self) -> int:
-        return len(self.own) + self.buckets
+        return len(self.common) + self.buckets
+
+    def index(self) -> dict[bytes, int]:
+        """Common words to units; one a worker process."""
+        return remembered("brown_units", (self.name,), lambda: {w: i for i, w in enumerate(self.common)})
+
+    def shape(self, word: bytes) -> int:
+        return len(self.common) + shape_bucket(word, self.buckets)
 
     def of(self, word: bytes) -> int:
-        u = self.own.get(word)
-        return u if u is not None else len(self.own) + shape_bucket(word, self.buckets)
+        u = self.index().get(word)
+        return self.shape(word) if u is None else u
+
+
+class Numbering(dict):
+    """Units of words as they come; rare words are remembered up to a bound."""
+
+    def __init__(self, units: Units):
+        self.units, self.known = units, units.index()
+
+    def __missing__(self, word: bytes) -> int:
+        u = self.known.get(word)
+        if u is None:
+            if len(self) > 200_000:
+                self.clear()
+            u = self[word] = self.units.shape(word)
+        return u
+
+
+def packed(data: np.ndarray, many: np.ndarray) -> pa.Array:
+    """A binary value for each run of ``many`` numbers."""
+    at = np.concatenate([[0], np.cumsum(many * data.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def unpacked(column, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of a column of packed runs, how many in each)."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype), np.array([len(v) for v in values], dtype=np.int64) // np.dtype(dtype).itemsize
 
 
-def bigrams(docs: DataFrame, units: Units) -> DataFrame:
-    """(unit, side, row): for every unit its counts before (side 0) and after (side 1) each unit, packed int64."""
+ROWS = "unit int, side int, salt int, others binary, counts binary"
+
+
+def _rows(key: np.ndarray, n: np.ndarray, size: int, salt: int) -> pa.RecordBatch:
+    """A row for each (unit, side): ``key`` is sorted (2 unit + side) · size + other."""
+    first, other = key // size, (key % size).astype(np.int32)
+    cuts = np.flatnonzero(np.diff(first, prepend=-1))
+    many = np.diff(np.append(cuts, len(key)))
+    head = first[cuts]
+    cols = [pa.array((head >> 1).astype(np.int32)), pa.array((head & 1).astype(np.int32)), pa.array(np.full(len(cuts), salt, np.int32)), packed(other, many), packed(n.astype(np.int32), many)]
+    return pa.RecordBatch.from_arrays(cols, names=["unit", "side", "salt", "others", "counts"])
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    by = np.argsort(key, kind="stable")
+    key, n = key[by], n[by]
+    cuts = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[cuts], np.add.reduceat(n, cuts) if len(cuts) else n
+
+
+def bigrams(docs: DataFrame, units: Units, hot: np.ndarray, gather: int = 1_000_000) -> DataFrame:
+    """(unit, side, others, counts): how often each other unit stands after (side 1) or before (side 0) a unit.
+
+    Rows of the units ``hot`` are first summed in salted groups, so that what one task sums for
+    a unit does not grow with the tasks before it.
+    """
     size = units.size
-    words, buckets = list(units.own), units.buckets
-    shared = docs.sparkSession.sparkContext.broadcast((words, buckets))
+    shared = docs.sparkSession.sparkContext.broadcast(units)
 
     def run(batches):
-        listed, many = shared.value
-        at = Units({w: i for i, w in enumerate(listed)}, many)
-        known = dict(at.own)
-        end, total = at.of(END), np.zeros(0, dtype=np.int64)
-        counts = np.zeros(0, dtype=np.int64)
-
-        def folded(keys: list[np.ndarray]):
-            k, n = np.unique(np.concatenate(keys), return_counts=True)
-            both = np.concatenate([total, k])
-            order, inverse = np.unique(both, return_inverse=True)
-            return order, np.bincount(inverse, np.concatenate([counts, n]), len(order)).astype(np.int64)
-
-        keys, held = [], 0
-        for b in slices(batches):
+        number = Numbering(shared.value)
+        end, salt = number[END], TaskContext.get().partitionId()
+        keys, counts, held, pieces, raw = [], [], 0, [], 0
+
+        def fold():
+            nonlocal raw
+            x, n = np.unique(np.concatenate(pieces), return_counts=True)
+            keys.append(x)
+            counts.append(n)
+            pieces.clear()
+            raw = 0
+            return len(x)
+
+        def flush():
+            key, n = _summed(keys, counts)
+            a, b = key // size, key % size
+            for side, x in ((1, key + a * size + size), (0, 2 * b * size + a)):
+                by = np.argsort(x, kind="stable")
+                yield _rows(x[by], n[by], size, salt)
+            keys.clear()
+            counts.clear()
+
+        for b in slices(batches, 128):
             for text in b.column(0).to_pylist():
-                ids = [end]
-                for w in tokens(text or b""):
-                    u = known.get(w)
-                    if u is None:
-                        if len(known) > 400_000:
-                            known = dict(at.own)
-                        u = known[w] = at.of(w)
-                    ids.append(u)
-                x = np.array(ids, dtype=np.int64)
-                keys.append(x[:-1] * size + x[1:])
-                held += len(x)
-            if held > 1_000_000:
-                total, counts = folded(keys)
-                keys, held = [], 0
-        if keys:
-            total, counts = folded(keys)
-        # A row a first unit and side: the other units and their counts, packed.
-        for side in (1, 0):
-            first, other = (total // size, total % size) if side else (total % size, total // size)
-            order = np.argsort(first, kind="stable")
-            f, o, c = first[order], other[order].astype(np.int32), counts[order]
-            cuts = np.flatnonzero(np.diff(f)) + 1
-            starts = np.concatenate([[0], cuts]) if len(f) else np.zeros(0, dtype=int)
-            ends = np.concatenate([cuts, [len(f)]]) if len(f) else starts
-            if len(starts):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(f[starts], pa.int64()),
-                        pa.array(np.full(len(starts), side), pa.int32()),
-                        pa.array([o[a:z].tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary()),
-                        pa.array([c[a:z].tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary()),
-                    ],
-                    names=["unit", "side", "others", "counts"],
-                )
-
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
-        row = np.zeros(size, dtype=np.int64)
-        for b in parts:
-            for o, c in zip(b.column("others").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                row[np.frombuffer(o, np.int32)] += np.frombuffer(c, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), pa.array([row.tobytes()], pa.binary())], names=["unit", "side", "row"]
-        )
-
-    parts = docs.select(F.col("text").cast("string").cast("binary").alias("text"))
-    parts = parts.mapInArrow(run, "unit long, side int, others binary, counts binary")
-    # Rows of one unit number at most two a task; sums are of bounded vectors.
-    return parts.groupBy("unit", "side").applyInArrow(add, "unit long, side int, row binary")
+                x = np.array([end, *map(number.__getitem__, tokens(text or b""))], dtype=np.int64)
+                pieces.append(x[:-1] * size + x[1:])
+                raw += len(x)
+            if raw > gather // 2:
+                held += fold()
+            if held > 2 * gather:
+                yield from flush()
+                held = 0
+        if pieces:
+            held += fold()
+        if held:
+            yield from flush()
+
+    def merge(batches):
+        keys, counts, held = [], [], 0
+
+        def flush(last: bool):
+            """Sums of all units but the last, which may go on."""
+            nonlocal held
+            key, n = _summed(keys, counts)
+            cut = len(key) if last else np.searchsorted(key, key[-1] // (2 * size) * (2 * size))
+            keys[:], counts[:] = [key[cut:]], [n[cut:]]
+            held = len(key) - cut
+            if cut:
+                yield _rows(key[:cut], n[:cut], size, 0)
+
+        for b in slices(batches, 4096):
+            other, many = unpacked(b.column(3), np.int32)
+            first = 2 * b.column(0).to_numpy().astype(np.int64) + b.column(1).to_numpy()
+            keys.append(np.repeat(first, many) * size + other)
+            counts.append(unpacked(b.column(4), np.int32)[0].astype(np.int64))
+            held += len(other)
+            if held > gather:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    parts = docs.select(bytes_of(docs)).mapInArrow(run, ROWS)
+    busy = F.col("unit").isin([int(u) for u in hot]) if len(hot) else F.lit(False)
+    salted = parts.where(busy).withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(64)))
+    if len(hot):
+        parts = written(parts, "parts", 1 << 20)
+        salted = parts.where(busy).withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(64)))
+        salted = salted.repartition("unit", "side", "salt").sortWithinPartitions("unit", "side").mapInArrow(merge, ROWS)
+        parts = parts.where(~busy).unionByName(salted)
+    return parts.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(merge, ROWS).drop("salt")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
 
+def likelihood(counts: np.ndarray) -> float:
+    """Log-likelihood of the class bigrams, up to what the words alone decide."""
+    return float(_xlogx(counts).sum() - _xlogx(counts.sum(0)).sum() - _xlogx(counts.sum(1)).sum())
+
+
 def best_class(old: int, before: np.ndarray, after: np.ndarray, itself: float, counts: np.ndarray, out: np.ndarray, into: np.ndarray) -> int:
     """The class for a unit that raises the class-bigram likelihood most.
 
@@ -194,193 +272,278 @@ def best_class(old: int, before: np.ndarray, after: np.ndarray, itself: float, c
     return best if gain[best] > gain[old] + 1e-9 else old
 
 
-def exchange(table: DataFrame, units: int, classes: int, start: np.ndarray, rounds: int = 9) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class bigram counts); ``table`` is a written table of bigrams()."""
-    spark = table.sparkSession
-    cls = start
-    rights = table.where("side = 1").select("unit", "row")
-    both = rights.alias("r").join(table.where("side = 0").alias("l"), F.col("r.unit") == F.col("l.unit"), "full")
-    both = both.select(F.coalesce("r.unit", "l.unit").alias("unit"), F.col("r.row").alias("after"), F.col("l.row").alias("before"))
-    both = written(both, "units")
-    for k in range(rounds + 1):
-        at = spark.sparkContext.broadcast((cls, None if k == 0 else counts))  # noqa: F821
-
-        def run(batches, k=k, at=at):
-            c, n = at.value
-            total = np.zeros((classes, classes))
-            moved, to = [], []
-            for b in batches:
-                for u, after, before in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                    row = np.frombuffer(after, np.int64) if after else np.zeros(units, dtype=np.int64)
-                    col = np.frombuffer(before, np.int64) if before else np.zeros(units, dtype=np.int64)
-                    a = np.bincount(c, row, classes)
-                    mine = c[u]
-                    if n is not None and (u * 2654435761 >> 7) % 3 == k % 3:
-                        mine = best_class(mine, np.bincount(c, col, classes), a, float(row[u]), n, n.sum(1), n.sum(0))
-                        if mine != c[u]:
-                            moved.append(u)
-                            to.append(mine)
-                    total[c[u]] += a
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([moved], pa.list_(pa.int64())), pa.array([to], pa.list_(pa.int64())), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))],
-                names=["moved", "to", "total"],
-            )
-
-        # At most ``units`` moves and classes² counts a task.
-        got = both.mapInArrow(run, "moved array<long>, to array<long>, total array<double>").collect()
-        if k == 0:
-            counts = sum(np.array(r["total"]).reshape(classes, classes) for r in got) if got else np.zeros((classes, classes))
-            continue
-        new = cls.copy()
-        for r in got:
-            new[np.array(r["moved"], dtype=int)] = r["to"]
-        if (new == cls).all() and k > 3:
-            break
-        cls = new
-        # Renew the class bigrams for the new classes.
-        at = spark.sparkContext.broadcast(cls)
+def quick_gains(old: np.ndarray, before: np.ndarray, after: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Gains of each class for light units (rows of ``before`` and ``after``), to first order.
+
+    What a unit adds to a cell is small against the cell, so cells count at the value they
+    have without the unit (plus one half).  ``old`` is -1 for units that are in no class yet.
+    """
+    half = 0.5
+    out, into = counts.sum(1), counts.sum(0)
+    na, nb = after.sum(1), before.sum(1)
+    got = after @ np.log(counts + half).T + before @ np.log(counts + half) - np.outer(na, np.log(out + half)) - np.outer(nb, np.log(into + half))
+    i = np.flatnonzero(old >= 0)
+    k, a, b = old[i], after[i], before[i]
+    less = lambda n, x: np.log(np.maximum(n - x, 0) + half)
+    own = (a * less(counts[k], a)).sum(1) + (b * less(counts[:, k].T, b)).sum(1)
+    got[i, k] = own - na[i] * less(out[k], na[i]) - nb[i] * less(into[k], nb[i])
+    return got
+
+
+def contexts(b: pa.RecordBatch, cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(units, before, after, itself) of a batch that holds all rows of its units."""
+    unit, side = b.column(0).to_numpy(), b.column(1).to_numpy()
+    other, many = unpacked(b.column(2), np.int32)
+    n = unpacked(b.column(3), np.int32)[0].astype(float)
+    units, at = np.unique(unit, return_inverse=True)
+    row = np.repeat(2 * at + side, many)
+    both = np.bincount(row * classes + cls[other], n, 2 * len(units) * classes).reshape(len(units), 2, classes)
+    same = (np.repeat(unit, many) == other) & (np.repeat(side, many) == 1)
+    itself = np.bincount(np.repeat(at, many)[same], n[same], len(units))
+    return units, both[:, 0], both[:, 1], itself
+
+
+def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut between units: the rows of a unit, which lie together, come together."""
+    held = None
+    for b in slices(batches, 1024):
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        unit = b.column(0).to_numpy()
+        cut = int(np.searchsorted(unit, unit[-1]))
+        if cut:
+            yield b.slice(0, cut)
+        held = b.slice(cut)
+    if held is not None:
+        yield held
+
+
+def moves(batches: Iterator[pa.RecordBatch], cls: np.ndarray, counts: np.ndarray, classes: int, heavy: float) -> Iterator[pa.RecordBatch]:
+    """(unit, to) of all units that another class would suit better."""
+    out, into = counts.sum(1), counts.sum(0)
+    for b in whole_units(batches):
+        units, before, after, itself = contexts(b, cls, classes)
+        old = cls[units].astype(int)
+        gain = quick_gains(old, before, after, counts)
+        to = gain.argmax(1)
+        to[gain[np.arange(len(to)), to] <= gain[np.arange(len(to)), old] + 1e-9] = -1
+        to = np.where(to < 0, old, to)
+        for i in np.flatnonzero(after.sum(1) > heavy):
+            to[i] = best_class(old[i], before[i], after[i], itself[i], counts, out, into)
+        moved = to != old
+        yield pa.RecordBatch.from_arrays([pa.array(units[moved], pa.int32()), pa.array(to[moved], pa.int32())], names=["unit", "to"])
+
+
+def _table(name: str, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["cell", name])
+
+
+def class_bigrams(table: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
+    """Class bigram counts: classes² sums."""
+    at = table.sparkSession.sparkContext.broadcast(cls)
 
-        def renew(batches, at=at):
-            c = at.value
-            total = np.zeros((classes, classes))
-            for b in batches:
-                for u, after in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if after:
-                        total[c[u]] += np.bincount(c, np.frombuffer(after, np.int64), classes)
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["total"])
+    def run(batches):
+        c, total = at.value, np.zeros(classes * classes)
+        for b in batches:
+            other, many = unpacked(b.column(1), np.int32)
+            n = unpacked(b.column(2), np.int32)[0].astype(float)
+            total += np.bincount(np.repeat(c[b.column(0).to_numpy()], many).astype(int) * classes + c[other], n, len(total))
+        yield _table("n", total)
+
+    got = table.where("side = 1").select("unit", "others", "counts").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(classes * classes)
+    for r in got:
+        out[r["cell"]] = r["n"]
+    return out.reshape(classes, classes)
 
-        got = both.select("unit", "after").mapInArrow(renew, "total array<double>").collect()
-        counts = sum(np.array(r["total"]).reshape(classes, classes) for r in got)
-    return cls, counts
+
+def exchange(table: DataFrame, start: np.ndarray, classes: int, tolerance: float = 2e-4, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(class of each unit, class bigram counts, likelihood after each round); ``table`` is a written table of bigrams().
+
+    ``rounds`` only guards against a tolerance that is too small; a warning tells if it ends the search.
+    """
+    spark = table.sparkSession
+    cls, counts = start, class_bigrams(table, start, classes)
+    history, share = [likelihood(counts)], 0.5
+    for k in range(rounds):
+        at = spark.sparkContext.broadcast((cls, counts))
+        heavy = counts.sum() / 4000
+
+        def run(batches, at=at, heavy=heavy):
+            yield from moves(batches, *at.value, classes, heavy)
+
+        # At most one row a unit.
+        found = table.select("unit", "side", "others", "counts").mapInArrow(run, "unit int, to int").toArrow()
+        unit, to = found.column("unit").to_numpy().astype(int), found.column("to").to_numpy()
+        draw = ((unit * 2654435761 + k * 40503) % (1 << 32) * 2246822519 % (1 << 32)) / 2.0**32
+        gained = 0.0
+        while len(unit) and share > 1e-3:
+            new = cls.copy()
+            new[unit[draw < share]] = to[draw < share]
+            renewed = class_bigrams(table, new, classes)
+            gained = likelihood(renewed) - history[-1]
+            if gained > 0:
+                cls, counts = new, renewed
+                history.append(likelihood(counts))
+                share = min(0.9, 1.5 * share)
+                break
+            share /= 2
+        if gained <= tolerance * abs(history[-1]):
+            break
+    return cls, counts, history
 
 
 @dataclass
 class Model:
-    units: list[bytes]
-    buckets: int
+    units: Units
     cls: np.ndarray
-    common: list[tuple[bytes, int]]
+    counts: list[int]  # of the common words
     discount: float
     tokens: int
     types: int
     log_move: np.ndarray  # class x class, log10
-    log_unknown: np.ndarray  # by the class before, log10
+    log_unknown: np.ndarray  # by class, log10: the mass of all its unknown words
     class_tokens: np.ndarray
+    history: list[float]
 
     @property
     def log_floor(self) -> float:
-        return math.log10(self.tokens + 0.5 * (self.types + 1)) if self.tokens else 0.0
+        return math.log10(self.tokens + 0.5 * (self.types + 1))
 
 
-def learn(docs: DataFrame, training: Column, classes: int = 64, frequent: int = 3072, buckets: int = 1024, common: int = 1 << 18) -> tuple[Model, DataFrame]:
-    """(model, written table of all word counts) of the rows where ``training`` holds."""
+def tail_classes(docs: DataFrame, words: DataFrame, units: Units, cls: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``words`` (word, n) with cls: common words have their own, each other one the class that suits its neighbours best.
+
+    A neighbour that is itself not common counts as its shape's class.  Of a word at most
+    (classes + 1)² different pairs of neighbours' classes come together.
+    """
+    classes = len(counts)
+    shared = docs.sparkSession.sparkContext.broadcast((units, cls, counts))
+
+    def run(batches):
+        units, cls, _ = shared.value
+        number, first = Numbering(units), len(units.common)
+        end = number[END]
+        for b in slices(batches):
+            word, before, after = [], [], []
+            for text in b.column(0).to_pylist():
+                ws = tokens(text or b"")
+                x = np.array([end, *map(number.__getitem__, ws), end])
+                at = np.flatnonzero(x[1:-1] >= first)
+                word += [ws[i] for i in at.tolist()]
+                before.append(cls[x[at]])
+                # Nothing follows the end of a text.
+                after.append(np.where(at + 1 < len(ws), cls[x[at + 2]], classes))
+            pair = np.concatenate(before).astype(int) * (classes + 1) + np.concatenate(after)
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(pair, pa.int32())], names=["word", "pair"])
+
+    def choose(batches):
+        _, cls, counts = shared.value
+        index = shared.value[0]
+        for b in slices(batches, 4096):
+            pairs = b.column(2)
+            many = np.diff(pairs.offsets.to_numpy())
+            flat = pairs.flatten()
+            pair, n = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(float)
+            row = np.repeat(np.arange(len(many)), many)
+            left, right = pair // (classes + 1), pair % (classes + 1)
+            before = np.bincount(row * classes + left, n, len(many) * classes).reshape(-1, classes)
+            has = right < classes
+            after = np.bincount((row * classes + right)[has], n[has], len(many) * classes).reshape(-1, classes)
+            # The word's tokens are counted in its shape's class.
+            old = cls[[index.shape(w) for w in b.column(0).to_pylist()]].astype(int)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(quick_gains(old, before, after, counts).argmax(1), pa.int32())], names=["word", "n", "cls"])
+
+    met = docs.select(bytes_of(docs)).mapInArrow(run, "word binary, pair int").groupBy("word", "pair").agg(F.count("*").alias("k"))
+    met = met.groupBy("word").agg(F.sum("k").alias("n"), F.collect_list(F.struct("pair", "k")).alias("pairs"))
+    return met.mapInArrow(choose, "word binary, n long, cls int")
+
+
+def learn(docs: DataFrame, training: Column, classes: int = 64, common: int = 1 << 18, buckets: int = 1024) -> tuple[Model, DataFrame]:
+    """(model, written table of the words that are not common: word, n, cls) of the rows where ``training`` holds."""
     spark = docs.sparkSession
     rows = docs.where(training).select("text")
     words = written(count_words(rows), "words")
     top = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(common).toLocalIterator()]
-    units = Units({w: i for i, (w, _) in enumerate(top[:frequent])}, buckets)
-    table = written(bigrams(rows, units), "bigrams")
+    units, n = Units([w for w, _ in top], buckets), [x for _, x in top]
+    sums = words.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
+    total, types, ones, twos = (int(x or 0) for x in sums)
+    # A unit with more tokens than this is summed in salted groups.
+    hot = np.flatnonzero(np.array(n, dtype=np.int64) > 1 << 24)
+    table = written(bigrams(rows, units, hot), "bigrams")
     start = np.arange(units.size) % classes
-    cls, counts = exchange(table, units.size, classes, start)
-    listed = spark.sparkContext.broadcast(([w for w, _ in top[:frequent]], buckets, cls))
-
-    def sums(batches):
-        words, many, c = listed.value
-        at = Units({w: i for i, w in enumerate(words)}, many)
-        total = np.zeros((4, classes))
-        for b in batches:
-            n = b.column(1).to_numpy()
-            k = c[[at.of(w) for w in b.column(0).to_pylist()]]
-            for i, x in enumerate((n, np.ones(len(n)), n == 1, n == 2)):
-                total[i] += np.bincount(k, x, classes)
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
-
-    got = words.mapInArrow(sums, "s array<double>").collect()
-    s = sum((np.array(r["s"]).reshape(4, classes) for r in got), np.zeros((4, classes)))
-    n, types, ones, twos = s[0], s[1], s[2].sum(), s[3].sum()
+    cls, counts, history = exchange(table, start.astype(np.int16), classes)
+    tail = written(tail_classes(rows, words, units, cls, counts), "tail") if types > len(top) else spark.createDataFrame([], "word binary, n long, cls int")
+    size = np.bincount(cls[: len(n)], n, classes) if n else np.zeros(classes)
+    kinds = np.bincount(cls[: len(n)], minlength=classes) if n else np.zeros(classes)
+    for r in tail.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        size[r["cls"]] += r["n"]
+        kinds[r["cls"]] += r["k"]
     discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-    total = n.sum()
     if total:
-        share = (n + 0.5) / (n + 0.5).sum()
+        share = (size + 0.5) / (size + 0.5).sum()
         move = (counts + 4.0 * share[None, :]) / (counts.sum(1, keepdims=True) + 4.0)
-        unknown = np.where(n > 0, discount * types / np.maximum(n, 1), 1.0)
-        log_move, log_unknown = np.log10(move), np.log10(move @ unknown)
+        log_move, log_unknown = np.log10(move), np.log10(np.where(size > 0, discount * kinds / np.maximum(size, 1), 1.0))
     else:
         log_move, log_unknown = np.zeros((classes, classes)), np.zeros(classes)
-    return Model([w for w, _ in top[:frequent]], buckets, cls, top, discount, int(total), int(types.sum()), log_move, log_unknown, n), words
+    return Model(units, cls, n, discount, total, types, log_move, log_unknown, size, history), tail
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    m = model
+    m, classes = model, len(model.class_tokens)
     # Plain values only: bounded by the numbers of units, classes and common words.
-    shared = spark.sparkContext.broadcast((m.units, m.buckets, m.cls, m.common, m.discount, m.log_floor, m.log_move, m.log_unknown, np.maximum(m.class_tokens, 1)))
+    shared = spark.sparkContext.broadcast((m.units, m.cls, np.array(m.counts, dtype=float), m.discount, m.log_floor, m.log_move, np.maximum(m.class_tokens, 1)))
 
     def run(batches):
-        listed, buckets, cls, top, discount, floor, move, unknown, size = shared.value
-        at = Units({w: i for i, w in enumerate(listed)}, buckets)
-        logs = np.log10(size)
-        # id of a common word → its class, base and emission; rare words get ids from -1 down.
-        index = {w: i for i, (w, _) in enumerate(top)}
-        n = np.array([c for _, c in top], dtype=float)
-        k = cls[[at.of(w) for w, _ in top]] if top else np.zeros(0, dtype=int)
+        units, cls, n, discount, floor, move, size = shared.value
+        number, first = Numbering(units), len(units.common)
+        end = int(cls[number[END]])
         base = np.log10(n + 0.5) - floor
-        emit = np.log10(np.maximum(n - discount, 1e-9)) - logs[k]
+        emit = np.log10(np.maximum(n - discount, 1e-9)) - np.log10(size)[cls[: len(n)]]
         row_id = TaskContext.get().partitionId() << 33
-        end = int(cls[at.of(END)]) if len(cls) else 0
-        rare_class: dict[bytes, int] = {}
+        entry = pa.struct([("before", pa.int32()), ("shape", pa.int32()), ("after", pa.int32()), ("word", pa.binary())])
         for b in slices(batches):
-            out = []
+            out, rare, ends = [], [], [0]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = tokens(text or b"")
-                ids = np.array([index.get(w, -1) for w in words])
-                known = ids >= 0
-                c = np.zeros(len(ids), dtype=int)
-                c[known] = k[ids[known]]
-                where = np.flatnonzero(~known)
-                if len(rare_class) > 300_000:
-                    rare_class.clear()
-                for i in where:
-                    w = words[i]
-                    x = rare_class.get(w)
-                    if x is None:
-                        x = rare_class[w] = int(cls[at.of(w)])
-                    c[i] = x
+                ws = tokens(text or b"")
+                ids = np.array([*map(number.__getitem__, ws)])
+                known = ids < first
+                c = cls[ids].astype(np.int64)
                 prev = np.concatenate([[end], c[:-1]])
-                steps = move[prev, c]
+                sure = known & np.concatenate([[True], known[:-1]])
                 have = ids[known]
-                total = steps[known].sum() + emit[have].sum()
-                # A rare word: what it adds if its count is known, and if it is not.
-                rare: dict[bytes, list] = {}
-                for i in where:
-                    w = words[i]
-                    r = rare.get(w)
-                    if r is None:
-                        rare[w] = [1, float(steps[i] - logs[c[i]]), float(unknown[prev[i]])]
-                    else:
-                        r[0] += 1
-                        r[1] += float(steps[i] - logs[c[i]])
-                        r[2] += float(unknown[prev[i]])
-                listed_rare = [{"word": w, "k": r[0], "a": r[1], "b": r[2]} for w, r in rare.items()]
-                out.append((row_id, doc, len(words), len(have), float(base[have].sum()), float(total), listed_rare))
+                out.append((row_id, doc, len(ws), len(have), float(base[have].sum()), float(move[prev[sure], c[sure]].sum() + emit[have].sum())))
+                at = np.flatnonzero(~known)
+                if len(at):
+                    # Steps to and from a rare word wait for its class; -1: the neighbour is rare too, or none follows.
+                    before = np.where(np.concatenate([[True], known[:-1]])[at], prev[at], -1)
+                    follows = np.append(np.where(known, c, -1), -1)[at + 1]
+                    rare += zip(before.tolist(), c[at].tolist(), follows.tolist(), [ws[i] for i in at.tolist()], strict=True)
+                ends.append(len(rare))
                 row_id += 1
             cols = list(zip(*out, strict=True))
-            rare_type = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64()), ("a", pa.float64()), ("b", pa.float64())]))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type]
+            fields = [pa.array(x, t) for x, t in zip(zip(*rare, strict=True), [f.type for f in entry], strict=True)] if rare else [pa.array([], f.type) for f in entry]
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(entry)))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             names = ["row_id", "doc_id", "n_tokens", "n_common", "base", "total", "rare"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
-
-    schema = "row_id long, doc_id long, n_tokens long, n_common long, base double, total double, rare array<struct<word:binary,k:bigint,a:double,b:double>>"
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    lines = written(texts.mapInArrow(run, schema), "lines")
-    rare = lines.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.*")
-    found = rare.join(words, "word", "left")
-    base = F.col("k") * (F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5) - F.lit(m.log_floor))
-    mine = F.when(F.col("n").isNull(), F.col("b")).otherwise(F.col("a") + F.col("k") * F.log10(F.col("n") - F.lit(m.discount)))
-    found = found.groupBy("row_id").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("rare_known"), F.sum(base).alias("rare_base"), F.sum(mine).alias("rare_total")
-    )
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(cols, types, strict=True)), listed], names=names)
+
+    schema = "row_id long, doc_id long, n_tokens long, n_common long, base double, total double, rare array<struct<before:int,shape:int,after:int,word:binary>>"
+    lines = written(docs.select(F.col("doc_id").cast("long"), bytes_of(docs)).mapInArrow(run, schema), "lines")
+    rare = lines.select("row_id", F.posexplode("rare").alias("at", "r")).select("row_id", "at", "r.*").join(tail, "word", "left")
+    rare = rare.select("row_id", "at", "before", "after", "n", F.coalesce("cls", "shape").alias("cls"))
+    order = Window.partitionBy("row_id").orderBy("at")
+    rare = rare.withColumn("before", F.when(F.col("before") < 0, F.lag("cls").over(order)).otherwise(F.col("before")))
+    # Tables of classes² and of classes numbers.
+    steps = spark.createDataFrame([(i, j, float(m.log_move[i, j])) for i in range(classes) for j in range(classes)], "i int, j int, step double")
+    of = spark.createDataFrame([(i, float(math.log10(max(1, m.class_tokens[i]))), float(m.log_unknown[i])) for i in range(classes)], "cls int, size double, unknown double")
+    rare = rare.join(F.broadcast(steps.toDF("before", "cls", "to")), ["before", "cls"], "left").join(F.broadcast(steps.toDF("cls", "after", "on")), ["cls", "after"], "left")
+    rare = rare.join(F.broadcast(of), "cls")
+    emit = F.when(F.col("n").isNull(), F.col("unknown")).otherwise(F.log10(F.col("n") - F.lit(m.discount)) - F.col("size"))
+    base = F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5) - F.lit(m.log_floor)
+    found = rare.groupBy("row_id").agg(F.count("n").alias("rare_known"), F.sum(base).alias("rare_base"), F.sum(F.col("to") + F.coalesce("on", F.lit(0.0)) + emit).alias("rare_total"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return lines.drop("rare").join(found, "row_id", "left").select(
         "doc_id",

@@ -35,20 +35,88 @@ def test_query(spark):
     assert better / held > 0.6
 
 
+def class_of(m, tail, w):
+    """A word's class: common words by their unit, other known ones by the tail table, unknown ones by shape."""
+    if m.units.index().get(w) is None and w in tail:
+        return tail[w]
+    return int(m.cls[m.units.of(w)])
+
+
 def test_model_is_a_distribution(spark):
-    """Over all known words and the unknown one, probabilities after any class sum to 1."""
+    """Over all known words and the unknown one of each class, probabilities after any class sum to 1."""
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a d", "c c a b b", "e f"])], "doc_id long, text string")
-    m, words = brown.learn(docs, F.lit(True), classes=4, frequent=4, buckets=3)
-    counts = {bytes(r["word"]): r["n"] for r in words.collect()}
-    units = brown.Units({w: i for i, w in enumerate(m.units)}, m.buckets)
+    m, tail = brown.learn(docs, F.lit(True), classes=4, common=4, buckets=3)
+    counts = dict(zip(m.units.common, m.counts, strict=True)) | {bytes(r["word"]): r["n"] for r in tail.collect()}
+    where = {bytes(r["word"]): r["cls"] for r in tail.collect()}
+    assert len(counts) == 7 and sum(counts.values()) == m.tokens == 18
     for before in range(4):
-        total = 10 ** m.log_unknown[before]
+        total = sum(10 ** (m.log_move[before, k] + m.log_unknown[k]) for k in range(4))
         for w, n in counts.items():
-            k = m.cls[units.of(w)]
+            k = class_of(m, where, w)
             total += 10 ** m.log_move[before, k] * (n - m.discount) / m.class_tokens[k]
         assert abs(total - 1) < 1e-9
 
 
+def test_score_against_plain_sum(spark):
+    """Every document's score by walking its tokens one by one over the same model, with few common words."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    m, tail = brown.learn(docs, F.col("doc_id") % 5 != 1, classes=16, common=2000, buckets=64)
+    known = {bytes(r["word"]): r for r in tail.collect()}
+    n = dict(zip(m.units.common, m.counts, strict=True)) | {w: r["n"] for w, r in known.items()}
+    where = {w: r["cls"] for w, r in known.items()}
+    assert len(where) > 1000 and len(set(where.values())) > 8 and sum(n.values()) == m.tokens
+    got = {r.doc_id: r for r in brown.score(docs, m, tail).collect()}
+    unknown = 0
+    for d in docs.collect():
+        c, total = class_of(m, where, brown.END), 0.0
+        for w in words_of(d.text):
+            w = brown.END if w is None else w
+            k = class_of(m, where, w)
+            total += m.log_move[c, k] + (math.log10((n[w] - m.discount) / m.class_tokens[k]) if w in n else m.log_unknown[k])
+            unknown += w not in n
+            c = k
+        assert abs(got[d.doc_id].score - total) < 1e-6 * max(1, abs(total)), d.doc_id
+    assert unknown > 100
+
+
+def test_bigrams_are_those_of_the_texts(spark):
+    """Unit bigrams, also where units are summed in salted groups and tables are flushed early."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").repartition(5)
+    want = collections.Counter()
+    units = brown.Units([brown.END, b"the", b"der", b"la"], 16)
+    for d in docs.collect():
+        ids = [units.of(brown.END if w is None else w) for w in [None, *words_of(d.text)]]
+        want.update(zip(ids, ids[1:]))
+    got = collections.Counter()
+    for r in brown.bigrams(docs, units, np.array([0, 1]), gather=50).collect():
+        others, counts = np.frombuffer(r.others, np.int32).tolist(), np.frombuffer(r.counts, np.int32).tolist()
+        for o, n in zip(others, counts, strict=True):
+            pair = (r.unit, o) if r.side else (o, r.unit)
+            got[(*pair, r.side)] += n
+    assert got == {(*k, side): n for k, n in want.items() for side in (0, 1)}
+
+
+def test_clustering_improves(spark):
+    """The likelihood never falls, ends well above its start, and tokens lie in most classes; the counts are those of the classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)
+    m, _ = brown.learn(docs, F.lit(True), classes=32)
+    assert all(a < b for a, b in zip(m.history, m.history[1:]))
+    assert m.history[-1] - m.history[0] > 0.05 * abs(m.history[0])
+    share = np.sort(m.class_tokens)[::-1] / m.class_tokens.sum()
+    assert (share > 0).sum() > 24 and share[0] < 0.35
+
+
+def test_quick_gains_agree_with_exact_ones():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(2_000, 40_000, (6, 6)).astype(float)
+    for _ in range(50):
+        old = int(rng.integers(6))
+        before, after = rng.integers(0, 12, 6).astype(float), rng.integers(0, 12, 6).astype(float)
+        got = brown.quick_gains(np.array([old]), before[None], after[None], counts)[0]
+        best = brown.best_class(old, before, after, 0.0, counts, counts.sum(1), counts.sum(0))
+        assert got[best] >= got.max() - 0.05
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 20, (6, 6)).astype(float)
@@ -76,12 +144,12 @@ def test_exchange_raises_likelihood():
 
 
 def test_edges(spark):
-    rows = [(1, None, 0), (2, "", 0), (3, "A b", 0), (3, "A b", 0), (None, "zz top b", 0), (4, "w x " * 100_000, 0)]
+    rows = [(1, None, 0), (2, "", 0), (3, "A b", 0), (3, "A b", 0), (None, "zz top b", 0), (4, "w x " * 100_000, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
-    m, words = brown.learn(docs, F.col("doc_id") > 1, classes=4, frequent=8, buckets=4)
+    m, words = brown.learn(docs, F.col("doc_id") > 1, classes=4, common=3, buckets=4)
     got = {r.doc_id: r for r in brown.score(docs, m, words).collect()}
     assert got[1].n_tokens == got[2].n_tokens == 1 and got[1].score == got[2].score
-    assert got[None].n_tokens == 3 and got[4].n_tokens == 200_001 and got[4].n_known == 200_001
+    assert got[None].n_tokens == 4 and got[None].n_known == 2 and got[4].n_tokens == 200_001 and got[4].n_known == 200_001
     none, words = brown.learn(docs, F.lit(False))
-    assert {(r.score, r.n_known) for r in brown.score(docs, none, words).collect()} == {(0.0, 0)}
+    assert {(r.score, r.base_score, r.n_known) for r in brown.score(docs, none, words).collect()} == {(0.0, 0.0, 0)}
     assert brown.score(docs.limit(0), m, words).collect() == []
