@@ -1,5 +1,8 @@
 import hashlib
 import re
+import time
+
+import numpy as np
 
 from termfield.llm import pii
 from termfield.llm.queries import op3_pii
@@ -74,3 +77,48 @@ def test_written_out_addresses_with_a_plain_dot_are_offered():
     text = "mail: jane.doe at example.com"
     for t in (text, text + ", or ask (at) the desk"):
         assert ["jane.doe at example.com"] == [t[a:b] for k, a, b in pii.offers(t, []) if pii.KINDS[k] == "email"]
+
+
+PLANTED = [
+    "contact jane.doe(at)example.com today", "mail bob at site dot org please", "write to ann_1 [at] web [dot] net now", "email joe at firm.com",
+    "call (555) 210-9943 now", "phone 619 555 1368 today", "tel 030 1234 5678 bitte", "server 10[.]0[.]12[.]7 is down", "from host 192 dot 168 dot 1 dot 20 again",
+    "card 4111.1111.1111.1111 was charged", "visa 5500/0000/0000/0004 expired",
+]
+LOOK_ALIKES = [
+    "we met at home. Then we left", "look at this. Now", "he was at work. She too", "on 2024-01-05 it rained", "between 1999.12.31 and later", "pages 100-200 300", "about 12 000 000 people",
+    "number 1234.5678.9012.3456 failed", "id 9999-0000-1111-2223", "sizes 900[.]800[.]700[.]999 here",
+]
+
+
+def test_candidates_are_accepted_and_refused(spark):
+    """Written-out data beside base data of the same kinds becomes spans; look-alikes do not."""
+    base = ["mail ann@site.org or call +49 30 1234567", "server 10.0.0.1 took card 4111 1111 1111 1111", "tel +1 (619) 555-1368, joe@web.com"]
+    rows = [(i, t, 0) for i, t in enumerate((base + PLANTED) * 12 + LOOK_ALIKES * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    model = pii.learn(docs)
+    for t in PLANTED:
+        found, more = pii.spans_of(t, model)
+        assert not found and len(more) == 1, t
+    for t in LOOK_ALIKES:
+        assert pii.offers(t, []) and pii.spans_of(t, model)[1] == [], t
+    added = pii.find(docs, model).where("n_added > 0").count()
+    assert added == 12 * len(PLANTED)
+    assert len({r.text for r in pii.redact(docs.limit(3 + len(PLANTED)), model).collect() if any(c.isdigit() for c in r.text)} & set(PLANTED)) == 0
+
+
+def test_without_candidates_the_start_rates_decide(spark):
+    model = pii.learn(spark.createDataFrame([], "text string"))
+    assert pii.spans_of("contact jane.doe(at)example.com today", model)[1] and not pii.spans_of("we met at home. Then we left", model)[1]
+
+
+def test_long_runs_take_linear_time():
+    """A million characters of digits, dots, signs and names: seconds, no crash, and the plain patterns' result on short ones."""
+    model = pii.SpanModel(np.full(4, 0.3), np.full((4, 5), 0.8), np.full((4, 5), 0.3), np.zeros((4, 11)))
+    n = 1_000_000
+    start = time.process_time()
+    for t in ("0" * n + ".1.1.1", "1." * (n // 2), "." * n, "@" * n, "a" * n + " at ", "a@" * (n // 2), "+1" * (n // 2), "1 " * (n // 2), "12-" * (n // 3), "555 010 9999, " * (n // 14), "x at y.z " * (n // 9)):
+        pii.spans_of(t, model)
+    assert time.process_time() - start < 60
+    for t in ("0" * 300 + ".1.1.1", "0" * 300 + "1.2.3.4 5", "1.2.3.4" * 20, "00.1..2.3.4.5", "1" * 200 + ".2.3.4", "+1" * 40, "a@b." * 30, "@.1.1.1.1@"):
+        assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(t)] == plain(t)
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)]
