@@ -70,7 +70,7 @@ def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir)
     found = langid.identify(docs, langid.learn(docs, fold("doc_id", 5) != 0))
-    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin")
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
