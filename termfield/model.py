@@ -117,6 +117,19 @@ class TermModel:
         )
         return got.select("pos", (F.lit(nr * nc) - F.col("pos") - F.col("neg")).alias("zero"), "neg")
 
+    def canonical(self, what: str = "auto") -> DataFrame:
+        """One row of facts about a matrix: rows, cols, stored cells, nonzero ones, whether zeros or pairs twice are stored, and whether no value is negative."""
+        nr, nc = self.dim()
+        t = self.matrix(what)
+        once = t.groupBy("target", "feature").agg(F.count("*").alias("n"), F.sum((F.col("value") != 0).cast("long")).alias("k"), F.min("value").alias("low"))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+        got = once.agg(total("n").alias("stored"), total("k").alias("nonzero"), F.coalesce(F.max("n") > 1, F.lit(False)).alias("repeats"), F.coalesce(F.min("low") >= 0, F.lit(True)).alias("nonneg"))
+        return got.select(F.lit(nr).cast("long").alias("rows"), F.lit(nc).cast("long").alias("cols"), "stored", "nonzero", (F.col("stored") > F.col("nonzero")).alias("zeros_stored"), "repeats", "nonneg")
+
+    def canonical_cells(self, what: str = "auto") -> DataFrame:
+        """The matrix with each pair once and no stored zeros: (target, feature, value)."""
+        return self.matrix(what).groupBy("target", "feature").agg(F.sum("value").alias("value")).where("value != 0")
+
     def nonneg(self, what: str = "auto") -> bool:
         low = self.matrix(what).agg(F.min("value")).first()[0]
         return low is None or low >= 0
@@ -255,12 +268,14 @@ def from_dense(table: DataFrame, features: list[str], term: str = "term", vector
     return out.replaced(**{part: kept.where(F.col(kept.columns[2]) != 0)})
 
 
-def to_arrays(table: DataFrame, cols: DataFrame) -> DataFrame:
+def to_arrays(table: DataFrame, cols: DataFrame, most: int = 20_000) -> DataFrame:
     """(term, vec): each target's values as an array in the order of ``cols``.
 
-    Every array is as long as ``cols``, so this is for models of few features.
+    Every array is as long as ``cols``, so this is for models of at most ``most`` features.
     """
-    names = [r["term"] for r in in_order(cols).select("term").collect()]
+    names = [r["term"] for r in in_order(cols).select("term").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ModelError(f"arrays of more than {most} features are too wide")
     t = values(table)
     held = t.groupBy(F.col("target").alias("term")).agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m"))
     at = F.array(*[F.lit(n) for n in names])

@@ -26,12 +26,21 @@ def _words(c: str, form: str | None) -> Column:
     return F.col(c).cast("string") if form is None else convert_lemma(F.col(c).cast("string"), form)
 
 
-def average_rank(c: Column | str, over: Window | None = None) -> Column:
-    """Ranks where ties share their mean rank."""
-    w = over if over is not None else Window.partitionBy(F.lit(1))
-    ordered = w.orderBy(c)
-    ties = F.count("*").over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return (F.rank().over(ordered) + ties) / 2
+def with_average_rank(df: DataFrame, name: str, as_name: str) -> DataFrame:
+    """``df`` with the ranks of a column, ties sharing their mean rank.
+
+    Distinct values are numbered by range partitions: rows below a partition are counted, and
+    only sums inside a partition are ordered.
+    """
+    own = f"{as_name}_part"
+    sizes = df.groupBy(name).agg(F.count("*").alias("_k")).repartitionByRange(name).sortWithinPartitions(name)
+    sizes = written(sizes.withColumn(own, F.spark_partition_id()), "ranks")
+    # One row a partition.
+    parts = sizes.groupBy(own).agg(F.sum("_k").alias("_n"), F.min(name).alias("_low"))
+    below = parts.alias("x").join(F.broadcast(parts.alias("y")), F.col("y._low") < F.col("x._low"), "left").groupBy(F.col(f"x.{own}").alias(own)).agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_below"))
+    inside = F.sum("_k").over(Window.partitionBy(own).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = sizes.withColumn("_in", inside).join(F.broadcast(below), own).select(name, (F.col("_below") + F.col("_in") - (F.col("_k") - 1) / 2).alias(as_name))
+    return df.join(ranked, name)
 
 
 @dataclass(frozen=True)
@@ -104,7 +113,8 @@ def similarity_correlation(task: DataFrame, table: DataFrame, form: str | None =
 
 def correlation(found: DataFrame) -> Correlation:
     """Statistics of a table (score, distance, missing)."""
-    ranked = found.withColumn("rs", average_rank("score")).withColumn("rd", average_rank("distance"))
+    held = written(found.select("score", "distance", "missing"), "rated")
+    ranked = with_average_rank(with_average_rank(held, "score", "rs"), "distance", "rd")
     got = ranked.agg(F.corr("rs", "rd").alias("rho"), F.corr("score", "distance").alias("r"), F.count("*").alias("n"), F.sum(F.col("missing").cast("long")).alias("missing")).first()
     n, rho, r = got["n"], got["rho"], got["r"]
     if rho is None or r is None:
@@ -324,6 +334,12 @@ def scaled_map(found: DataFrame, most: int = 2000) -> DataFrame:
     return found.sparkSession.createDataFrame([(x, float(xy[i, 0]), float(xy[i, 1])) for i, x in enumerate(names)], "term string, x double, y double")
 
 
+def nearest_point(points: DataFrame, x: float, y: float, within: float = float("inf")) -> DataFrame:
+    """The point of a map (term, x, y) nearest to a place: (term, x, y, distance); none if it is further than ``within``."""
+    far = F.hypot(F.col("x") - F.lit(float(x)), F.col("y") - F.lit(float(y)))
+    return points.withColumn("distance", far).where(F.col("distance") <= F.lit(within)).orderBy("distance", "term").limit(1).select("term", "x", "y", "distance")
+
+
 def map_edges(found: DataFrame, similarity: bool = False, share: float = 2 / 3) -> DataFrame:
     """Edges (a, b, distance, strength) of a map: pairs nearer than the quantile, strength from 0 to 1."""
     pairs = found.where("a < b")

@@ -6,9 +6,10 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.association import named
-from ..model import ModelError, TermModel, with_nonzero
+from ..model import ModelError, TermModel, missing, values, with_nonzero
 from ..shared import written
 
 
@@ -29,7 +30,6 @@ def subset(
     recursive: bool = False,
     drop_zeroes: bool = False,
     matrix_only: bool = False,
-    rounds: int = 50,
 ):
     """The part of a model whose targets and features meet the conditions.
 
@@ -40,7 +40,8 @@ def subset(
     if recursive and matrix_only:
         raise ValueError("recursive and matrix_only do not go together")
     out, size = model, None
-    for _ in range(rounds if recursive else 1):
+    # Sizes only fall, so a round that drops nothing comes.
+    while True:
         out = _once(out, rows, cols, drop_zeroes)
         if matrix_only:
             return out.primary
@@ -51,7 +52,6 @@ def subset(
         if now == size:
             return out
         size = now
-    raise ModelError(f"the subset still changed after {rounds} rounds")
 
 
 def _once(model: TermModel, rows: Column | str | None, cols: Column | str | None, drop_zeroes: bool) -> TermModel:
@@ -79,6 +79,36 @@ def _once(model: TermModel, rows: Column | str | None, cols: Column | str | None
     return model.replaced(rows=r, cols=c, cells=cells, scores=scores)
 
 
+def numbered(info: DataFrame, *by: str) -> DataFrame:
+    """``info`` with k: places from 1 in the order of ``by``.
+
+    Rows are sorted by range, and what stands before a partition is added from sums, so no task
+    orders them all.
+    """
+    placed = written(info.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()), "numbered")
+    # One row a partition.
+    sums = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*by))
+    out = placed.withColumn("inside", inside).join(F.broadcast(sums.select("part", before.alias("before"))), "part")
+    return out.select(*info.columns, (F.col("before") + F.col("inside")).alias("k"))
+
+
+def at_labels(table: DataFrame, labels: list[str], by_row: bool = True, skip_missing: bool = False, info: DataFrame | None = None) -> DataFrame:
+    """(pos, target, feature, value): the rows (or columns) of the labels in the order asked for, as often as asked for.
+
+    ``pos`` counts from 1.  ``info`` names labels that have no cells: they have a row (pos,
+    label, null, null).  Unknown labels are an error, or left out.
+    """
+    t = values(table)
+    key = "target" if by_row else "feature"
+    asked = table.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(labels)], f"pos int, {key} string")
+    known = (info.select(F.col("term").cast("string").alias(key)) if info is not None else t.select(key)).distinct()
+    if not skip_missing:
+        missing(asked.select(F.col(key).alias("term")), known.select(F.col(key).alias("term")), "unknown labels:")
+    return asked.join(known, key, "left_semi").join(t, key, "left").select("pos", "target", "feature", "value")
+
+
 def match_split(table: DataFrame, value: str, group: str, order: str, values: list | None = None, groups: list | None = None) -> DataFrame:
     """For each value, the position of its first row in each group: (value, one column a group).
 

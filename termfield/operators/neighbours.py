@@ -3,16 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.association import named
-from ..model import missing, values
+from ..model import ModelError, missing, values
+from ..shared import written
 from .distances import METRICS, distances, is_similarity, measured, vectors_of
 
 
+@dataclass(frozen=True)
+class DistanceTable:
+    """A table (target, feature, value) of distances or similarities, and whether it is symmetric.
+
+    A symmetric table has the same labels on both sides, and the diagonal is not a neighbour.
+    """
+
+    cells: DataFrame
+    similarity: bool = False
+    symmetric: bool = False
+
+
+def as_distances(matrix: DataFrame, similarity: bool = False, symmetric: bool | None = None) -> DistanceTable:
+    """A checked :class:`DistanceTable` of (row, column, value).
+
+    Distances must not be negative.  ``symmetric`` None finds out: both labels and values have to
+    agree; True is an error where they do not.
+    """
+    t = values(matrix)
+    if not similarity and t.where("value < 0").limit(1).count():
+        raise ModelError("distances must not be negative")
+    if symmetric is not False:
+        turned = t.select(F.col("feature").alias("target"), F.col("target").alias("feature"), F.col("value").alias("other"))
+        # Cells that are not stored are 0.
+        uneven = t.join(turned, ["target", "feature"], "full").where(F.abs(F.coalesce("value", F.lit(0.0)) - F.coalesce("other", F.lit(0.0))) > 1e-12 * (1 + F.abs(F.coalesce("value", F.lit(0.0)))))
+        even = not uneven.limit(1).count()
+        if even:
+            rows, cols = t.select("target").distinct(), t.select(F.col("feature").alias("target")).distinct()
+            even = not rows.exceptAll(cols).limit(1).count() and not cols.exceptAll(rows).limit(1).count()
+        if symmetric and not even:
+            raise ModelError("the table is not symmetric")
+        symmetric = even
+    return DistanceTable(t, similarity, symmetric)
+
+
 def _order(similarity: bool) -> Column:
     return F.desc("distance") if similarity else F.asc("distance")
 
@@ -53,12 +90,14 @@ def neighbours_of_vectors(vectors: DataFrame, table: DataFrame, n: int = 10, met
     return _nearest(found, n, is_similarity(method, convert))
 
 
-def neighbours_in_matrix(matrix: DataFrame, terms: list[str], n: int = 10, similarity: bool = False, symmetric: bool = True, by_row: bool = True, sparse: bool = False, skip_missing: bool = False) -> DataFrame:
+def neighbours_in_matrix(matrix: DataFrame | DistanceTable, terms: list[str], n: int = 10, similarity: bool = False, symmetric: bool = True, by_row: bool = True, sparse: bool = False, skip_missing: bool = False) -> DataFrame:
     """Neighbours from a distance or similarity table (row, column, value).
 
-    A symmetric table leaves out the term itself.  In a sparse similarity table only cells
-    above 0 are candidates.
+    A symmetric table leaves out the term itself; a :class:`DistanceTable` tells what it is.
+    In a sparse similarity table only cells above 0 are candidates.
     """
+    if isinstance(matrix, DistanceTable):
+        matrix, similarity, symmetric = matrix.cells, matrix.similarity, matrix.symmetric
     t = values(matrix)
     t = t if by_row else t.select(F.col("feature").alias("target"), F.col("target").alias("feature"), "value")
     if not skip_missing:
@@ -105,8 +144,10 @@ def pair_distances(
     return out.select(*pairs.columns, (transform(value) if transform else value).alias("distance"))
 
 
-def pairs_in_matrix(pairs: DataFrame, matrix: DataFrame, similarity: bool = False) -> DataFrame:
+def pairs_in_matrix(pairs: DataFrame, matrix: DataFrame | DistanceTable, similarity: bool = False) -> DataFrame:
     """``pairs`` with values of a table (row, column, value): cells not stored are 0, unknown labels infinitely far."""
+    if isinstance(matrix, DistanceTable):
+        matrix, similarity = matrix.cells, matrix.similarity
     t = values(matrix)
     rows, cols = t.select(F.col("target").alias("w1"), F.lit(True).alias("_r")).distinct(), t.select(F.col("feature").alias("w2"), F.lit(True).alias("_c")).distinct()
     out = pairs.join(rows, "w1", "left").join(cols, "w2", "left").join(t.select(F.col("target").alias("w1"), F.col("feature").alias("w2"), "value"), ["w1", "w2"], "left")
@@ -129,17 +170,57 @@ def averaged(forward: Column, backward: Column, how: str = "arithmetic") -> Colu
     return F.when(all_far, inf).when(any_far, one_far).otherwise(both)
 
 
-def ranks(found: DataFrame, similarity: bool = False, own: bool = True, sparse: bool = False) -> DataFrame:
-    """(a, b, rank) of a full distance table (a, b, distance): ties share the best rank.
+def ranks_of_pairs(asked: DataFrame, found: DataFrame, similarity: bool = False, own: bool = True, sparse: bool = False) -> DataFrame:
+    """(a, b, rank) of the ``asked`` pairs (a, b) in a distance table (a, b, distance): ties share the best rank.
 
-    ``own``: the term itself stands first and is not counted.  ``sparse``: cells at 0 are
-    infinitely far.
+    A rank is one more than the number of nearer targets.  Distances are sorted by range, and what
+    stands before a partition is added from sums, so the targets of one term are not ordered in
+    one task.  ``own``: the term itself stands first and is not counted.  ``sparse``: cells at 0
+    are infinitely far.
     """
-    w = Window.partitionBy("a").orderBy(_order(similarity))
-    value = F.rank().over(w).cast("double") - F.lit(1.0 if own else 0.0)
-    if sparse:
-        value = F.when(F.col("distance") == 0, F.lit(float("inf"))).otherwise(value)
-    return found.select("a", "b", value.alias("rank"))
+    far = -F.col("distance") if similarity else F.col("distance")
+    table = written(found.select("a", "b", far.alias("d")), "distances")
+    counts = written(table.groupBy("a", "d").agg(F.count("*").alias("n")), "counts")
+    placed = written(counts.repartitionByRange("a", "d").withColumn("part", F.spark_partition_id()), "placed")
+    before = lambda c, *keys: F.coalesce(F.sum(c).over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = placed.groupBy("a", "part").agg(F.sum("n").alias("m")).select("a", "part", before("m", "a", "part").alias("below"))
+    ranked = placed.select("a", "d", "part", before("n", "part", "a", "d").alias("inside")).join(parts, ["a", "part"])
+    ranked = ranked.select("a", "d", (F.col("below") + F.col("inside") + (0 if own else 1)).cast("double").alias("rank"))
+    out = asked.select("a", "b").distinct().join(table, ["a", "b"]).join(ranked, ["a", "d"])
+    value = F.when(F.col("d") == 0, F.lit(float("inf"))).otherwise(F.col("rank")) if sparse else F.col("rank")
+    return out.select("a", "b", value.alias("rank"))
+
+
+def pair_ranks_in_matrix(pairs: DataFrame, matrix: DataFrame | DistanceTable, direction: str = "fwd", average: str = "arithmetic", similarity: bool = False, symmetric: bool = False, sparse: bool = False) -> DataFrame:
+    """``pairs`` (w1, w2, ...) with rank from a table of distances or similarities; unknown pairs rank at Infinity.
+
+    Forward, w2 is ranked among the cells of row w1; backward, w1 among those of column w2.  The
+    diagonal of a symmetric table is not counted.
+    """
+    if isinstance(matrix, DistanceTable):
+        matrix, similarity, symmetric = matrix.cells, matrix.similarity, matrix.symmetric
+    direction = named(direction, ["fwd", "bwd", "avg"], "direction")
+    t = values(matrix)
+
+    def one(first: str, second: str, name: str) -> DataFrame:
+        key, other = ("target", "feature") if name == "_fwd" else ("feature", "target")
+        found = t.select(F.col(key).alias("a"), F.col(other).alias("b"), F.col("value").alias("distance"))
+        asked = pairs.select(F.col(first).alias("a"), F.col(second).alias("b"))
+        got = ranks_of_pairs(asked, found, similarity, symmetric, sparse)
+        return got.select(F.col("a").alias(first), F.col("b").alias(second), F.col("rank").alias(name))
+
+    return _with_ranks(pairs, direction, average, one, None)
+
+
+def _with_ranks(pairs: DataFrame, direction: str, average: str, one: Callable, transform: Callable[[Column], Column] | None) -> DataFrame:
+    out, far = pairs, F.lit(float("inf"))
+    if direction in ("fwd", "avg"):
+        out = out.join(one("w1", "w2", "_fwd"), ["w1", "w2"], "left")
+    if direction in ("bwd", "avg"):
+        out = out.join(one("w2", "w1", "_bwd"), ["w1", "w2"], "left")
+    fwd, bwd = F.coalesce("_fwd", far) if direction != "bwd" else None, F.coalesce("_bwd", far) if direction != "fwd" else None
+    value = fwd if direction == "fwd" else bwd if direction == "bwd" else averaged(fwd, bwd, average)
+    return out.select(*pairs.columns, (transform(value) if transform else value).alias("rank"))
 
 
 def pair_ranks(
@@ -162,15 +243,9 @@ def pair_ranks(
     direction = named(direction, ["fwd", "bwd", "avg"], "direction")
 
     def one(first: str, second: str, name: str) -> DataFrame:
-        asked = pairs.select(F.col(first).alias("term")).distinct()
-        found = distances(table, None, method, p, normalized, True, convert, asked, "all", True, False, info)
-        return ranks(found, is_similarity(method, convert)).select(F.col("a").alias(first), F.col("b").alias(second), F.col("rank").alias(name))
+        asked = pairs.select(F.col(first).alias("a"), F.col(second).alias("b"))
+        found = distances(table, None, method, p, normalized, True, convert, asked.select(F.col("a").alias("term")).distinct(), "all", True, False, info)
+        got = ranks_of_pairs(asked, found, is_similarity(method, convert))
+        return got.select(F.col("a").alias(first), F.col("b").alias(second), F.col("rank").alias(name))
 
-    out, far = pairs, F.lit(float("inf"))
-    if direction in ("fwd", "avg"):
-        out = out.join(one("w1", "w2", "_fwd"), ["w1", "w2"], "left")
-    if direction in ("bwd", "avg"):
-        out = out.join(one("w2", "w1", "_bwd"), ["w1", "w2"], "left")
-    fwd, bwd = F.coalesce("_fwd", far) if direction != "bwd" else None, F.coalesce("_bwd", far) if direction != "fwd" else None
-    value = fwd if direction == "fwd" else bwd if direction == "bwd" else averaged(fwd, bwd, average)
-    return out.select(*pairs.columns, (transform(value) if transform else value).alias("rank"))
+    return _with_ranks(pairs, direction, average, one, transform)

@@ -45,9 +45,11 @@ class _Packed:
     features: list[str]
 
 
-def _packed(table: DataFrame, cols: DataFrame, rows: DataFrame | None) -> _Packed:
-    """One row a target: numbers of its features and its values."""
-    names = [r["term"] for r in in_order(cols).select("term").collect()]
+def _packed(table: DataFrame, cols: DataFrame, rows: DataFrame | None, most: int) -> _Packed:
+    """One row a target: numbers of its features and its values; at most ``most`` features are numbered."""
+    names = [r["term"] for r in in_order(cols).select("term").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ModelError(f"a basis of more than {most} features exceeds the limit; use random indexing first")
     numbers = table.sparkSession.createDataFrame(list(enumerate(names)), "at int, feature string") if names else None
     if numbers is None:
         raise ModelError("the matrix has no features")
@@ -140,7 +142,7 @@ def project(
     power: float = 1.0,
     with_basis: bool = False,
     seed: int = 42,
-    limit: int = 64_000_000,
+    limit: int = 16_000_000,
 ) -> Projection:
     """Reduce a model's scores (or counts) to ``n`` dimensions.
 
@@ -171,7 +173,7 @@ def project(
         names = table.sparkSession.range(between).select(F.col("id").cast("string").alias("term"))
         got = project(TermModel(model.rows, names, None, long.withColumnRenamed("value", "score")), n, "svd", power=power, seed=seed, limit=limit)
         return Projection(got.vectors, "ri+svd", None, None)
-    packed = _packed(table, model.cols, model.rows)
+    packed = _packed(table, model.cols, model.rows, limit // n)
     fitted = packed
     if method == "asvd":
         want = min(rows, int(n * (oversampling or 10)))
@@ -205,8 +207,10 @@ def random_indexing(table: DataFrame, n: int, rate: float, seed: int, width: int
     # Each draw has a strip of dimensions of its own, so one feature never falls on one twice.
     strip = n / fill
     low, high = F.floor(F.col("d") * strip), F.floor((F.col("d") + 1) * strip)
-    k = low + F.pmod(F.xxhash64("feature", "d", F.lit(seed)), high - low)
-    sign = F.when(F.pmod(F.xxhash64("feature", "d", F.lit(seed + 1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    # Twelve hexadecimal digits place the draw, the next one has its sign; engines agree on this hash.
+    drawn = F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col("d").cast("string"), F.col("feature")))
+    k = low + F.pmod(F.conv(F.substring(drawn, 1, 12), 16, 10).cast("long"), high - low)
+    sign = F.when(F.substring(drawn, 13, 1) < "8", 1.0).otherwise(-1.0)
     sums = parts.groupBy(F.col("target").alias("term"), k.cast("int").alias("k")).agg(F.sum(sign * F.col("value") * unit).alias("v"))
     maps = sums.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     if rows is not None:

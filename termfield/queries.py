@@ -129,7 +129,18 @@ def subset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.subset(parts(spark, sf_dir), F.expr("f >= N / 2500 and length(term) <= 5"), "length(term) <= 3").rows.select("term", "f", "nnzero")
 
 
-@query()
+def _fixed_point_sql(rounds: int = 40) -> str:
+    """Enough unrolled rounds for the fixed point; later ones change nothing."""
+    parts = ["S0 AS MATERIALIZED (SELECT target, feature, f FROM M)"]
+    for k in range(rounds):
+        parts.append(
+            f"""S{k + 1} AS MATERIALIZED (SELECT S.* FROM S{k} S SEMI JOIN (SELECT target FROM S{k} GROUP BY 1 HAVING count(*) FILTER (f <> 0) >= 8) A USING (target)
+SEMI JOIN (SELECT feature FROM S{k} GROUP BY 1 HAVING count(*) FILTER (f <> 0) >= 8) B USING (feature))"""
+        )
+    return f"WITH {PARTS_SQL}, " + ", ".join(parts) + f" SELECT target, feature, f FROM S{rounds}"
+
+
+@query(_fixed_point_sql())
 def subset_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers that keep enough cells among each other, to the fixed point."""
     return filters.subset(parts(spark, sf_dir), "nnzero >= 8", "nnzero >= 8", recursive=True).cells

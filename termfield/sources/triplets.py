@@ -33,6 +33,9 @@ def read_columns(spark: SparkSession, path: str, schema: str | None, header: boo
         df = reader.option("mode", "FAILFAST").schema(schema).csv(path)
         return recoded(df, encoding) if own else df
     df = reader.option("inferSchema", True).csv(path)
+    if any(t in ("date", "timestamp", "timestamp_ntz") for _, t in df.dtypes):
+        # Labels such as 1995-01 are no times.
+        df = reader.schema(", ".join(f"`{c}` {'string' if t in ('date', 'timestamp', 'timestamp_ntz') else t}" for c, t in df.dtypes)).csv(path)
     df = recoded(df, encoding) if own else df
     whole = [c for c, t in df.dtypes if t in ("int", "bigint", "smallint", "tinyint")]
     return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in whole})

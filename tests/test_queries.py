@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import termfield.queries_more  # noqa: F401  (adds its queries)
 from termfield.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
