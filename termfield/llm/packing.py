@@ -89,17 +89,24 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0)
 
 
 class _Stock:
-    """How many pieces of each length are left, and which sums of two lengths they make."""
+    """How many pieces of each length are left, and an index of the sums that two and three lengths make.
+
+    The index is of lengths that are left at all; counts are looked at when a sum is taken.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.n, self._pairs = counts, None
+        self.n, self._sums = counts, None
 
-    def pair_sums(self) -> np.ndarray:
-        if self._pairs is None:
-            have, width = (self.n > 0).astype(float), 1 << (2 * len(self.n) - 1).bit_length()
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each number up to the longest length is a sum of two, and of three lengths."""
+        if self._sums is None:
+            size = len(self.n)
+            have, width = (self.n > 0).astype(float), 1 << (2 * size - 1).bit_length()
             spectrum = np.fft.rfft(have, width)
-            self._pairs = np.fft.irfft(spectrum * spectrum, width)[: 2 * len(self.n)] > 0.5
-        return self._pairs
+            pairs = np.fft.irfft(spectrum * spectrum, width)[:size] > 0.5
+            triples = np.fft.irfft(np.fft.rfft(pairs.astype(float), width) * spectrum, width)[:size] > 0.5
+            self._sums = pairs, triples
+        return self._sums
 
     def fits(self, lengths: list[int]) -> bool:
         return all(self.n[x] >= lengths.count(x) for x in lengths)
@@ -109,7 +116,7 @@ class _Stock:
         for x in lengths:
             self.n[x] -= times
             if not self.n[x]:
-                self._pairs = None
+                self._sums = None
         return times
 
     def exact(self, gap: int, held: list[int]) -> list[int] | None:
@@ -117,16 +124,17 @@ class _Stock:
         if self.n[gap] > 0 and self.fits([*held, gap]):
             return [gap]
         found = self._pair(gap, held)
-        if found or gap < 3:
+        pairs, triples = self.sums()
+        if found or not triples[gap]:
             return found
         c = np.arange(1, gap - 1)
-        for x in c[(self.n[c] > 0) & self.pair_sums()[gap - c]][::-1]:
+        for x in c[(self.n[c] > 0) & pairs[gap - c]][::-1]:
             if (found := self._pair(gap - int(x), [*held, int(x)])) is not None:
                 return [int(x), *found]
         return None
 
     def _pair(self, gap: int, held: list[int]) -> list[int] | None:
-        if gap < 2 or not self.pair_sums()[gap]:
+        if not self.sums()[0][gap]:
             return None
         a = np.arange(1, gap // 2 + 1)
         for x in a[(self.n[a] > 0) & (self.n[gap - a] > 0)]:
