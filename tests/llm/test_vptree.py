@@ -32,6 +32,27 @@ def test_factor_one_is_exact(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = found(vptree.neighbours(vectors, F.col("vec_id") % 100 == 0, factor=1.0, shard_rows=128, block_rows=3).collect())
     assert got == brute(ids, x)
+    # Few regions, each of several shards.
+    got = found(vptree.neighbours(vectors, F.col("vec_id") % 100 == 0, factor=1.0, shard_rows=64, regions=3).collect())
+    assert got == brute(ids, x)
+
+
+def test_shards_are_left_out(spark):
+    """In well separated groups a query visits few shards, and the result is exact all the same."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(150, 8)) + 100 * rng.normal(size=8) for _ in range(8)])
+    ids = np.arange(len(x))
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = found(vptree.neighbours(vectors, F.col("vec_id") % 100 == 0, factor=1.0, shard_rows=50).collect())
+    assert got == brute(ids, x)
+    rows = vptree.usable(vectors, F.col("vec_id") % 100 == 0)
+    pivots = vptree.pivots_of(rows, 50, 4096)
+    table = vptree.placed(rows, pivots)
+    stats = {(r.dim, r.region): r for r in table.groupBy("dim", "region").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect()}
+    asked = table.where("asked").select("row", "id", "dim", "v", "region", F.lit(0).alias("sub"), F.lit(5.0).alias("most"))
+    radii = {(8, r): (np.inf, 0.0) for r in range(len(pivots[8]))} | {k: (r.lo, r.hi) for k, r in stats.items()}
+    visits = vptree.elsewhere(asked, pivots, {k: r.n for k, r in stats.items()}, radii, 50, 1.0).count()
+    assert visits < 0.5 * asked.count() * len(stats)
 
 
 def test_recall_of_the_query(spark):
@@ -50,14 +71,15 @@ def test_edges(spark):
         (6, [1.0, None], 7), (7, [float("nan"), 1.0], 8), (8, [float("inf"), 1.0], 9), (None, [1.0, 0.0], 1), (9, [1.0, 0.0, 0.0], 1), (100, [2.0, 0.0], 1),
     ]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
-    got = found(vptree.neighbours(vectors, F.col("vec_id") % 100 == 0).collect())
-    assert got == {0: [(1, 0.0), (2, 0.0), (100, 1.0)], 100: [(0, 1.0), (1, 1.0), (2, 1.0)]}
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vptree.neighbours(vectors, F.col("vec_id") % 100 == 0).collect())
+    # Both rows with id 0 are queries, and each finds the other.
+    zero = [(0, k + 1, i, d) for k, (i, d) in enumerate([(0, 0.0), (1, 0.0), (2, 0.0), (100, 1.0)]) for _ in range(2)]
+    assert got == zero + [(100, k + 1, i, 1.0) for k, i in enumerate([0, 0, 1, 2])]
     assert vptree.neighbours(vectors.where("vec_id = 4"), F.lit(True)).collect() == []
     assert vptree.neighbours(vectors.limit(0), F.lit(True)).collect() == []
 
 
 def test_equal_vectors_fill_a_leaf():
-    x = np.ones((500, 3))
-    tree = vptree.build(x)
-    best = vptree.search(tree, x, np.arange(500), x[:2], np.array([0, 1]), 3, 1.0)
+    x, ids = np.ones((500, 3)), np.arange(500)
+    best = vptree.search(vptree.build(x), x, ids, ids, x[:2], ids[:2], np.full(2, np.inf), 3, 1.0)
     assert best.ids.tolist() == [[1, 2, 3], [0, 2, 3]]
