@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 
 from termfield.llm import license as li
@@ -17,8 +19,20 @@ def test_matches_sql(spark):
     assert got == want and len(got) > 10
 
 
+def test_published_layout_inside_a_long_document(spark):
+    """Licences with blank lines between their paragraphs, wrapped lines and other text around them."""
+    wrap = lambda t: "\n\n".join("\n".join(textwrap.wrap(p, 72)) for p in t.split("\n\n"))
+    around = "Chapter one tells of other things.\n\n" * 50
+    long = {"mit": 2, "apache-2.0": 1, "isc": 0, "bsd-3-clause": 1}
+    rows = [(k, around + wrap(li.TEMPLATES[name][at]) + "\n\n" + around) for k, (name, at) in enumerate(long.items())]
+    rows.append((9, li.TEMPLATES["bsd-2-clause"][0].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS")))
+    got = {(r.doc_id, r.license) for r in li.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(k, name) for k, name in enumerate(long)} <= got
+    assert (9, "bsd-2-clause") in got and not {x for k, x in got if k in (0, 1, 2, 3) and x != list(long)[k]}
+
+
 def test_levels_and_edges(spark):
-    mit = li.TEMPLATES["mit"][2]
+    mit = li.TEMPLATES["mit"][2].replace("\n\n", " ")
     broken = "\n".join(mit[i : i + 70] for i in range(0, len(mit), 70))
     changed = mit.replace("Software", "Work")
     rows = [
