@@ -11,14 +11,41 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a private one where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir.
+
+    Where that is unset a local session (tests) gets a folder of its own; on a cluster it is an
+    error, since other executors would miss what one writes to its own disk.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='termfield-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: Paths of the tables written so far, and names of those in the catalog.
+_PLACES: list[tuple[str, str | None]] = []
+
+
+def place() -> int:
+    """How many tables have been written; see :func:`discard`."""
+    return len(_PLACES)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Delete the tables written since ``since``, but for the last ``keep``, which no longer need the others."""
+    spent = _PLACES[since : len(_PLACES) - keep]
+    del _PLACES[since : len(_PLACES) - keep]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path, name in spent:
+        if name is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 #: Bytes of an Arrow batch that goes to Python; buffers on both sides grow with it.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -38,6 +65,7 @@ def written(df: DataFrame, tag: str, batch_bytes: int = 4 << 20) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(BATCH, before)
+    _PLACES.append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,7 +73,9 @@ def bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
     """A written table that joins on ``key`` without a shuffle of its own."""
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    _PLACES.append((path, name))
     return spark.table(name)
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import discard, place, slices, written
 from .groups import components, linked, rooted
 
 _WORD = re.compile(r"\w+")
@@ -256,6 +256,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 18, rows:
     A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^rows)^bands: 0.9999.
     """
     mark = F.lit(None) if mark is None else mark
+    since = place()
     found = written(sketch(docs.select("doc_id", mark.cast("string").alias("mark"), "text"), bands, rows), "sketch")
     # Rows with equal multisets are one item, named by one of its rows.
     items = written(found.groupBy("digest").agg(F.min("row_id").alias("id")), "items")
@@ -266,6 +267,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 18, rows:
     links = written(linked(members, sets, lambda held: tester(held, threshold), comparer(threshold), 1 - threshold, threshold, crowd), "joined")
     roots = rooted(items, components(links))
     rows_of = written(found.select("row_id", "doc_id", "mark", "digest").join(roots.select("digest", "root"), "digest").drop("digest"), "rooted")
+    discard(docs.sparkSession, since)
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
     heads = rows_of.groupBy("root").agg(F.min(key).alias("head"))
     out = rows_of.join(heads, "root")
@@ -284,4 +286,4 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     own = next(x for x in (f"mark_{k}" for k in range(len(names) + 1)) if x not in {c.lower() for c in docs.columns})
     found = near_copies(docs, threshold, mark=mark)
     kept = found.where("kept").select(F.col("mark").alias(own)).distinct()
-    return docs.withColumn(own, mark).join(kept, own, "left_semi").dropDuplicates([own]).drop(own)
+    return docs.withColumn(own, mark).join(kept, own, "left_semi").dropDuplicates([own]).select(*names)
