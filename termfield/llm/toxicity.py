@@ -78,14 +78,59 @@ def patterns_of(text: str) -> list[bool]:
     return [bool(_BANG.search(text)), bool(_STARS.search(text)), text.isupper()]
 
 
-def mine(texts: DataFrame, terms: int = 4000, evidence: float = 25.0, share: float = 0.06) -> Lexicon:
-    """Terms of toxic texts, from training rows (text, toxic).
-
-    Per term, toxic and clean texts that hold it are counted over all rows given.  A term is
-    kept if its log-likelihood ratio is at least ``evidence`` and at least ``share`` of the
-    strongest term's, and over 0.8 of its texts would be toxic at equal class sizes; the
-    ``terms`` strongest of them are the lexicon.  Words that toxic texts hold by chance gain
-    evidence with the number of texts as voters do, so only a share of it keeps them out.
+#: Shares of the strongest term's evidence that are tried, largest first.
+SHARES = tuple(2.0 ** (-k / 2) for k in range(21))
+
+
+def mine(texts: DataFrame, terms: int = 4000, evidence: float = 25.0, share: float | None = None) -> Lexicon:
+    """Terms of toxic texts, from training rows (doc_id, text, toxic).
+
+    A term is kept if it has at least ``share`` of the strongest term's evidence: words that
+    toxic texts hold by chance gain evidence with the number of texts as voters do, so only a
+    share of it keeps them out.  Without ``share`` a quarter of the training rows chooses it,
+    with terms rated by the others.
+    """
+    if share is None:
+        part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4))
+        share = chosen_share(texts.where(part == 0), rated(texts.where(part != 0), terms, evidence))
+    top = rated(texts, terms, evidence)
+    kept = [term for term, rate in top if rate >= share * top[0][1]]
+    return Lexicon(tuple(dict.fromkeys((*SEED_LEXICON, *kept))))
+
+
+def chosen_share(texts: DataFrame, top: list[tuple[str, float]]) -> float:
+    """The share at which the kept terms part toxic from clean ``texts`` best: most toxic ones held, fewest clean ones.
+
+    Of equally good shares the middle one; a text counts by its strongest term.
+    """
+    strength = {term: rate / top[0][1] for term, rate in top} if top else {}
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = np.zeros((2, len(SHARES) + 1), dtype=np.int64)
+        for b in slices(batches):
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                best = max((strength.get(t, 0.0) for t in terms_of(text or "")), default=0.0)
+                held[toxic, next((k for k, s in enumerate(SHARES) if best >= s), len(SHARES))] += 1
+        label, k = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(k, pa.int32()), pa.array(held[label, k], pa.int64())], names=["toxic", "k", "n"])
+
+    found = np.zeros((2, len(SHARES) + 1))
+    for r in texts.select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, k int, n long").groupBy("toxic", "k").agg(F.sum("n").alias("n")).collect():
+        found[r["toxic"], r["k"]] = r["n"]
+    rates = found.cumsum(1)[:, :-1] / np.maximum(found.sum(1, keepdims=True), 1)
+    gap = rates[1] - rates[0]
+    best = np.flatnonzero(gap >= gap.max() - 1e-9)
+    return SHARES[int(best[len(best) // 2])]
+
+
+def rated(texts: DataFrame, terms: int, evidence: float) -> list[tuple[str, float]]:
+    """The ``terms`` strongest terms of ``texts`` (text, toxic) with their evidence, strongest first.
+
+    Per term, toxic and clean texts that hold it are counted over all rows given.  A term counts
+    if its log-likelihood ratio is at least ``evidence`` and over 0.8 of its texts would be toxic
+    at equal class sizes.
     """
 
     def count(batches):
@@ -119,16 +164,14 @@ def mine(texts: DataFrame, terms: int = 4000, evidence: float = 25.0, share: flo
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = written(counts.where((F.col("toxic") > 1) | (F.col("term") == "")), "terms")
     sizes = counts.where(F.col("term") == "").select(F.col("toxic").alias("nt"), F.col("clean").alias("nc"))
-    rated = counts.where(F.col("term") != "").join(F.broadcast(sizes))
+    found = counts.where(F.col("term") != "").join(F.broadcast(sizes))
     pt, pc = (F.col("toxic") + 0.5) / (F.col("nt") + 1), (F.col("clean") + 0.5) / (F.col("nc") + 1)
     both = F.col("toxic") + F.col("clean")
     base = F.col("nt") / (F.col("nt") + F.col("nc"))
     hit = F.col("toxic") * F.log(F.col("toxic") / (both * base))
     miss = F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - base)))).otherwise(0.0)
-    rated = rated.where(F.col("nc") > 0).withColumn("rate", 2 * (hit + miss)).where((F.col("rate") >= evidence) & (pt / (pt + pc) > 0.8))
-    top = rated.orderBy(F.desc("rate"), "term").select("term", "rate").limit(terms).collect()
-    kept = [r["term"] for r in top if r["rate"] >= share * top[0]["rate"]]
-    return Lexicon(tuple(dict.fromkeys((*SEED_LEXICON, *kept))))
+    found = found.where(F.col("nc") > 0).withColumn("rate", 2 * (hit + miss)).where((F.col("rate") >= evidence) & (pt / (pt + pc) > 0.8))
+    return [tuple(r) for r in found.orderBy(F.desc("rate"), "term").select("term", "rate").limit(terms).collect()]
 
 
 def vote(docs: DataFrame, lexicon: Lexicon, extra: list[str]) -> DataFrame:
@@ -220,14 +263,15 @@ def fit_label_model(votes: DataFrame, voters: int, rounds: int = 6) -> LabelMode
     """EM over vote patterns; ``votes`` holds votes and toxic (null: not known) of every document.
 
     Patterns are counted first, so rounds read a table of patterns, not documents.  The first
-    round sees known labels alone, if there are any.  In the middle each voter's share of its
-    evidence is set to 1 / (1 + sum of its strong correlations with others given the class).
+    round sees known labels alone, if there are any.  From the middle on each round estimates the
+    correlations of voters given the class anew, and a voter's share of its evidence is
+    1 / (1 + sum of its strong correlations with others).
     """
     known = F.coalesce(F.col("toxic").cast("int"), F.lit(-1)).alias("known")
     patterns = written(votes.groupBy("votes", known).count(), "votes").coalesce(6)
     model = LabelModel(0.05, np.full(voters, 0.2), np.full(voters, 0.002), np.ones(voters))
     for k in range(rounds):
-        pairs = k == rounds // 2
+        pairs = k >= rounds // 2
         s = _moments(patterns, model, pairs, only_known=k == 0)
         pt, c = s[0], s[1]
         if pt == 0 or pt == c:
