@@ -6,8 +6,10 @@ frequent words are units of their own, all other words share units by their last
 shape.  A round looks for each unit's best class against the class bigram counts, in
 parallel, and moves a keyed share of the units; counts are renewed and the round stands only
 if the likelihood of the class bigrams has risen, else the share is halved.  Rounds end when no
-unit moves or a round gains less than ``tolerance`` of the likelihood.  Words beyond the
-common ones then each get the class that their own neighbours make likeliest.
+unit moves or a round gains less than ``tolerance`` of the likelihood.  The ``head`` most
+frequent units go first, by their bigrams with one another; all units are then placed beside
+them and rounds go on over all.  Words beyond the common ones then each get the class that
+their own neighbours make likeliest.
 
 Counting words and bigrams reads the whole corpus; unit bigrams are a table in Spark, and the
 driver holds one class a unit and classes² counts.  Counts and classes of common words travel
@@ -34,12 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import remembered, slices, written
+from .common import discard, place, remembered, slices, written
 
 #: The end token; a space cannot be in a word.
 END = b" "
 
 
+#: Units in a block, and bits for the other unit of a bigram.
+SLOTS, OTHER = 16, 27
+
+
 def tokens(text: bytes) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case, then one end."""
     words = text.lower().split()
@@ -94,56 +100,102 @@ class Units:
     def size(self) -> int:
         return len(self.common) + self.buckets
 
-    def index(self) -> dict[bytes, int]:
-        """Common words to units; one a worker process."""
-        return remembered("brown_units", (self.name,), lambda: {w: i for i, w in enumerate(self.common)})
+    @property
+    def blocks(self) -> int:
+        """Units are kept in blocks of at most SLOTS; the most frequent ones are in different blocks."""
+        return -(-self.size // SLOTS)
 
-    def shape(self, word: bytes) -> int:
-        return len(self.common) + shape_bucket(word, self.buckets)
+    def numbering(self) -> Numbering:
+        """Words to units; one a worker process."""
+        return remembered("brown_units", (self.name,), lambda: Numbering(self))
 
     def of(self, word: bytes) -> int:
-        u = self.index().get(word)
-        return self.shape(word) if u is None else u
+        return self.numbering()[word]
 
 
 class Numbering(dict):
-    """Units of words as they come; rare words are remembered up to a bound."""
+    """Units of the common words; other words go to their shape's, which is remembered up to a bound."""
 
     def __init__(self, units: Units):
-        self.units, self.known = units, units.index()
+        super().__init__(zip(units.common, range(len(units.common)), strict=True))
+        self.first, self.buckets, self.rare = len(units.common), units.buckets, {}
 
     def __missing__(self, word: bytes) -> int:
-        u = self.known.get(word)
+        u = self.rare.get(word)
         if u is None:
-            if len(self) > 200_000:
-                self.clear()
-            u = self[word] = self.units.shape(word)
+            if len(self.rare) > 200_000:
+                self.rare.clear()
+            u = self.rare[word] = self.first + shape_bucket(word, self.buckets)
         return u
 
 
+def stream(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    """(tokens of all texts, one after the other; where each text ends)."""
+    words: list[bytes] = []
+    ends = []
+    for t in texts:
+        if t:
+            words += t.lower().split()
+        words.append(END)
+        ends.append(len(words))
+    return words, np.array(ends, dtype=np.int64)
+
+
+def numbers(words: list[bytes], number: Numbering) -> np.ndarray:
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+
 def packed(data: np.ndarray, many: np.ndarray) -> pa.Array:
     """A binary value for each run of ``many`` numbers."""
     at = np.concatenate([[0], np.cumsum(many * data.itemsize)]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
-def unpacked(column, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """(all numbers of a column of packed runs, how many in each)."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype), np.array([len(v) for v in values], dtype=np.int64) // np.dtype(dtype).itemsize
-
+ROWS = "block int, side int, salt int, k0 binary, k1 binary, k2 binary, k3 binary, low binary, high binary"
+NAMES = [c.split()[0] for c in ROWS.split(", ")]
 
-ROWS = "unit int, side int, salt int, others binary, counts binary"
 
+def _rows(key: np.ndarray, n: np.ndarray, side: int, salt: int) -> pa.RecordBatch:
+    """A row for each block: ``key`` is sorted, (block · SLOTS + slot) << OTHER | other.
 
-def _rows(key: np.ndarray, n: np.ndarray, size: int, salt: int) -> pa.RecordBatch:
-    """A row for each (unit, side): ``key`` is sorted (2 unit + side) · size + other."""
-    first, other = key // size, (key % size).astype(np.int32)
-    cuts = np.flatnonzero(np.diff(first, prepend=-1))
+    Keys are kept as steps, a column for each of their bytes, and counts as single bytes with
+    those from 255 on apart: most bytes are alike and compress.
+    """
+    block = key >> np.int64(OTHER + 4)
+    cuts = np.flatnonzero(np.diff(block, prepend=-1))
     many = np.diff(np.append(cuts, len(key)))
-    head = first[cuts]
-    cols = [pa.array((head >> 1).astype(np.int32)), pa.array((head & 1).astype(np.int32)), pa.array(np.full(len(cuts), salt, np.int32)), packed(other, many), packed(n.astype(np.int32), many)]
-    return pa.RecordBatch.from_arrays(cols, names=["unit", "side", "salt", "others", "counts"])
+    local = (key & np.int64((1 << OTHER + 4) - 1)).astype(np.int64)
+    steps = np.diff(local, prepend=0)
+    steps[cuts] = local[cuts]
+    planes = steps.astype("<u4").view(np.uint8).reshape(-1, 4)
+    large = n >= 255
+    owner = np.repeat(np.arange(len(cuts)), many)
+    cols = [pa.array(block[cuts].astype(np.int32)), pa.array(np.full(len(cuts), side, np.int32)), pa.array(np.full(len(cuts), salt, np.int32))]
+    cols += [packed(np.ascontiguousarray(planes[:, i]), many) for i in range(4)]
+    cols += [packed(np.minimum(n, 255).astype(np.uint8), many), packed(n[large].astype("<i8"), np.bincount(owner[large], minlength=len(cuts)))]
+    return pa.RecordBatch.from_arrays(cols, names=NAMES)
+
+
+def _joined(column) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of a binary column, how many in each row)."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values], dtype=np.int64)
+
+
+def entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each entry, slot, other unit, count) of a batch of packed rows."""
+    at = {x: b.schema.get_field_index(x) for x in ("k0", "k1", "k2", "k3", "low", "high")}
+    low, many = _joined(b.column(at["low"]))
+    steps = np.zeros(len(low), dtype=np.int64)
+    for i in range(4):
+        steps |= _joined(b.column(at[f"k{i}"]))[0].astype(np.int64) << (8 * i)
+    total = np.cumsum(steps)
+    starts = np.cumsum(many) - many
+    base = np.where(many > 0, total[np.minimum(starts, max(0, len(total) - 1))] - steps[np.minimum(starts, max(0, len(total) - 1))], 0) if len(total) else np.zeros(len(many), np.int64)
+    local = total - np.repeat(base, many)
+    n = low.astype(np.int64)
+    n[n == 255] = _joined(b.column(at["high"]))[0].view("<i8")
+    return np.repeat(np.arange(len(many)), many), local >> OTHER, local & ((1 << OTHER) - 1), n
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,18 +207,21 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def bigrams(docs: DataFrame, units: Units, hot: np.ndarray, gather: int = 1_000_000) -> DataFrame:
-    """(unit, side, others, counts): how often each other unit stands after (side 1) or before (side 0) a unit.
+    """How often each unit stands after (side 1) or before (side 0) each unit, as packed rows of blocks of units.
 
-    Rows of the units ``hot`` are first summed in salted groups, so that what one task sums for
-    a unit does not grow with the tasks before it.
+    Blocks of the units ``hot`` are first summed in salted groups, so that what one task sums
+    for a unit does not grow with the tasks before it.
     """
-    size = units.size
+    size, blocks = units.size, units.blocks
     shared = docs.sparkSession.sparkContext.broadcast(units)
 
+    def place_of(unit: np.ndarray) -> np.ndarray:
+        return unit % blocks * SLOTS + unit // blocks
+
     def run(batches):
-        number = Numbering(shared.value)
-        end, salt = number[END], TaskContext.get().partitionId()
+        number, salt = shared.value.numbering(), TaskContext.get().partitionId()
         keys, counts, held, pieces, raw = [], [], 0, [], 0
+        last = np.array([number[END]])
 
         def fold():
             nonlocal raw
@@ -180,17 +235,17 @@ def bigrams(docs: DataFrame, units: Units, hot: np.ndarray, gather: int = 1_000_
         def flush():
             key, n = _summed(keys, counts)
             a, b = key // size, key % size
-            for side, x in ((1, key + a * size + size), (0, 2 * b * size + a)):
+            for side, x in ((1, place_of(a) << OTHER | b), (0, place_of(b) << OTHER | a)):
                 by = np.argsort(x, kind="stable")
-                yield _rows(x[by], n[by], size, salt)
+                yield _rows(x[by], n[by], side, salt)
             keys.clear()
             counts.clear()
 
         for b in slices(batches, 128):
-            for text in b.column(0).to_pylist():
-                x = np.array([end, *map(number.__getitem__, tokens(text or b""))], dtype=np.int64)
-                pieces.append(x[:-1] * size + x[1:])
-                raw += len(x)
+            # A text's first token follows an end, as it does in the stream.
+            x = np.concatenate([last, numbers(stream(b.column(0).to_pylist())[0], number)])
+            pieces.append(x[:-1] * size + x[1:])
+            raw += len(x)
             if raw > gather // 2:
                 held += fold()
             if held > 2 * gather:
@@ -202,38 +257,47 @@ def bigrams(docs: DataFrame, units: Units, hot: np.ndarray, gather: int = 1_000_
             yield from flush()
 
     def merge(batches):
-        keys, counts, held = [], [], 0
+        held: dict[int, list] = {0: [], 1: []}
+        many = 0
 
         def flush(last: bool):
-            """Sums of all units but the last, which may go on."""
-            nonlocal held
-            key, n = _summed(keys, counts)
-            cut = len(key) if last else np.searchsorted(key, key[-1] // (2 * size) * (2 * size))
-            keys[:], counts[:] = [key[cut:]], [n[cut:]]
-            held = len(key) - cut
-            if cut:
-                yield _rows(key[:cut], n[:cut], size, 0)
-
-        for b in slices(batches, 4096):
-            other, many = unpacked(b.column(3), np.int32)
-            first = 2 * b.column(0).to_numpy().astype(np.int64) + b.column(1).to_numpy()
-            keys.append(np.repeat(first, many) * size + other)
-            counts.append(unpacked(b.column(4), np.int32)[0].astype(np.int64))
-            held += len(other)
-            if held > gather:
+            """Sums of all blocks but the last, which may go on."""
+            nonlocal many
+            many = 0
+            top = max(int(k[-1]) >> OTHER + 4 for parts in held.values() for k, _ in parts)
+            for side, parts in held.items():
+                if not parts:
+                    continue
+                key, n = _summed([k for k, _ in parts], [n for _, n in parts])
+                cut = len(key) if last else int(np.searchsorted(key, top << OTHER + 4))
+                held[side] = [(key[cut:], n[cut:])] if cut < len(key) else []
+                many += len(key) - cut
+                if cut:
+                    yield _rows(key[:cut], n[:cut], side, 0)
+
+        for b in slices(batches, 1024):
+            row, slot, other, n = entries(b)
+            block, side = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()
+            key = (block[row] * SLOTS + slot) << OTHER | other
+            for x in (0, 1):
+                mine = side[row] == x
+                if mine.any():
+                    held[x].append((key[mine], n[mine]))
+            many += len(key)
+            if many > 2 * gather:
                 yield from flush(False)
-        if held:
+        if many:
             yield from flush(True)
 
     parts = docs.select(bytes_of(docs)).mapInArrow(run, ROWS)
-    busy = F.col("unit").isin([int(u) for u in hot]) if len(hot) else F.lit(False)
-    salted = parts.where(busy).withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(64)))
     if len(hot):
+        busy = F.col("block").isin(sorted({int(u) % blocks for u in hot}))
         parts = written(parts, "parts", 1 << 20)
-        salted = parts.where(busy).withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(64)))
-        salted = salted.repartition("unit", "side", "salt").sortWithinPartitions("unit", "side").mapInArrow(merge, ROWS)
+        salted = parts.where(busy).withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(64)).cast("int"))
+        salted = salted.repartition("block", "salt").sortWithinPartitions("block", "salt").mapInArrow(merge, ROWS)
         parts = parts.where(~busy).unionByName(salted)
-    return parts.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(merge, ROWS).drop("salt")
+    # The rows of a block come together, the sides one after the other.
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, ROWS).drop("salt").sortWithinPartitions("block", "side")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -290,17 +354,17 @@ def quick_gains(old: np.ndarray, before: np.ndarray, after: np.ndarray, counts:
     return got
 
 
-def contexts(b: pa.RecordBatch, cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(units, before, after, itself) of a batch that holds all rows of its units."""
-    unit, side = b.column(0).to_numpy(), b.column(1).to_numpy()
-    other, many = unpacked(b.column(2), np.int32)
-    n = unpacked(b.column(3), np.int32)[0].astype(float)
+def contexts(b: pa.RecordBatch, cls: np.ndarray, classes: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(units, before, after, itself) of a batch that holds all rows of its units; neighbours that have no class yet are left out."""
+    row, slot, other, n = entries(b)
+    n = n.astype(float)
+    block, side = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy().astype(np.int64)
+    unit = slot * blocks + block[row]
     units, at = np.unique(unit, return_inverse=True)
-    row = np.repeat(2 * at + side, many)
-    both = np.bincount(row * classes + cls[other], n, 2 * len(units) * classes).reshape(len(units), 2, classes)
-    same = (np.repeat(unit, many) == other) & (np.repeat(side, many) == 1)
-    itself = np.bincount(np.repeat(at, many)[same], n[same], len(units))
-    return units, both[:, 0], both[:, 1], itself
+    wide = classes + 1
+    both = np.bincount((2 * at + side[row]) * wide + cls[other], n, 2 * len(units) * wide).reshape(len(units), 2, wide)[:, :, :classes]
+    same = (unit == other) & (side[row] == 1)
+    return units, both[:, 0], both[:, 1], np.bincount(at[same], n[same], len(units))
 
 
 def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,69 +382,64 @@ def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def moves(batches: Iterator[pa.RecordBatch], cls: np.ndarray, counts: np.ndarray, classes: int, heavy: float) -> Iterator[pa.RecordBatch]:
-    """(unit, to) of all units that another class would suit better."""
-    out, into = counts.sum(1), counts.sum(0)
+def moves(batches: Iterator[pa.RecordBatch], cls: np.ndarray, counts: np.ndarray, blocks: int, heavy: float) -> Iterator[pa.RecordBatch]:
+    """(unit, to) of all units that another class would suit better; units of the class ``len(counts)`` have none yet."""
+    out, into, classes = counts.sum(1), counts.sum(0), len(counts)
     for b in whole_units(batches):
-        units, before, after, itself = contexts(b, cls, classes)
-        old = cls[units].astype(int)
+        units, before, after, itself = contexts(b, cls, classes, blocks)
+        old = np.where(cls[units] < classes, cls[units], -1).astype(int)
         gain = quick_gains(old, before, after, counts)
+        row = np.arange(len(units))
         to = gain.argmax(1)
-        to[gain[np.arange(len(to)), to] <= gain[np.arange(len(to)), old] + 1e-9] = -1
-        to = np.where(to < 0, old, to)
-        for i in np.flatnonzero(after.sum(1) > heavy):
+        to = np.where((old >= 0) & (gain[row, to] <= gain[row, old] + 1e-9), old, to)
+        for i in np.flatnonzero((after.sum(1) > heavy) & (old >= 0)):
             to[i] = best_class(old[i], before[i], after[i], itself[i], counts, out, into)
         moved = to != old
         yield pa.RecordBatch.from_arrays([pa.array(units[moved], pa.int32()), pa.array(to[moved], pa.int32())], names=["unit", "to"])
 
 
-def _table(name: str, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["cell", name])
-
-
-def class_bigrams(table: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
+def class_bigrams(table: DataFrame, cls: np.ndarray, classes: int, blocks: int) -> np.ndarray:
     """Class bigram counts: classes² sums."""
     at = table.sparkSession.sparkContext.broadcast(cls)
 
     def run(batches):
-        c, total = at.value, np.zeros(classes * classes)
+        c, total = at.value.astype(np.int64), np.zeros(classes * classes)
         for b in batches:
-            other, many = unpacked(b.column(1), np.int32)
-            n = unpacked(b.column(2), np.int32)[0].astype(float)
-            total += np.bincount(np.repeat(c[b.column(0).to_numpy()], many).astype(int) * classes + c[other], n, len(total))
-        yield _table("n", total)
+            row, slot, other, n = entries(b)
+            block = b.column(0).to_numpy().astype(np.int64)
+            total += np.bincount(c[slot * blocks + block[row]] * classes + c[other], n, len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total)], names=["cell", "n"])
 
-    got = table.where("side = 1").select("unit", "others", "counts").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    got = table.where("side = 1").drop("side").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(classes * classes)
     for r in got:
         out[r["cell"]] = r["n"]
     return out.reshape(classes, classes)
 
 
-def exchange(table: DataFrame, start: np.ndarray, classes: int, tolerance: float = 2e-4, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(class of each unit, class bigram counts, likelihood after each round); ``table`` is a written table of bigrams().
+def better(table: DataFrame, cls: np.ndarray, counts: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(units, classes) of the moves of a round: at most one a unit."""
+    at, heavy = table.sparkSession.sparkContext.broadcast((cls, counts)), counts.sum() / 4000
 
-    ``rounds`` only guards against a tolerance that is too small; a warning tells if it ends the search.
-    """
-    spark = table.sparkSession
-    cls, counts = start, class_bigrams(table, start, classes)
-    history, share = [likelihood(counts)], 0.5
-    for k in range(rounds):
-        at = spark.sparkContext.broadcast((cls, counts))
-        heavy = counts.sum() / 4000
-
-        def run(batches, at=at, heavy=heavy):
-            yield from moves(batches, *at.value, classes, heavy)
-
-        # At most one row a unit.
-        found = table.select("unit", "side", "others", "counts").mapInArrow(run, "unit int, to int").toArrow()
-        unit, to = found.column("unit").to_numpy().astype(int), found.column("to").to_numpy()
+    def run(batches):
+        yield from moves(batches, *at.value, blocks, heavy)
+
+    found = table.mapInArrow(run, "unit int, to int").toArrow()
+    return found.column("unit").to_numpy().astype(np.int64), found.column("to").to_numpy()
+
+
+def exchange(table: DataFrame, cls: np.ndarray, counts: np.ndarray, blocks: int, tolerance: float = 5e-4) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(class of each unit, class bigram counts, likelihood after each round) from a start and its counts."""
+    history, share, k = [likelihood(counts)], 0.5, 0
+    while True:
+        unit, to = better(table, cls, counts, blocks)
+        k += 1
         draw = ((unit * 2654435761 + k * 40503) % (1 << 32) * 2246822519 % (1 << 32)) / 2.0**32
         gained = 0.0
         while len(unit) and share > 1e-3:
             new = cls.copy()
             new[unit[draw < share]] = to[draw < share]
-            renewed = class_bigrams(table, new, classes)
+            renewed = class_bigrams(table, new, len(counts), blocks)
             gained = likelihood(renewed) - history[-1]
             if gained > 0:
                 cls, counts = new, renewed
@@ -389,8 +448,42 @@ def exchange(table: DataFrame, start: np.ndarray, classes: int, tolerance: float
                 break
             share /= 2
         if gained <= tolerance * abs(history[-1]):
-            break
-    return cls, counts, history
+            return cls, counts, history
+
+
+def among(table: DataFrame, head: int) -> DataFrame:
+    """The bigrams of the first ``head`` units with one another, in the same packed rows."""
+
+    def run(batches):
+        for b in slices(batches, 1024):
+            row, slot, other, n = entries(b)
+            block, side = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()
+            keep = (slot == 0) & (other < head)
+            key = (block[row] * SLOTS) << OTHER | other
+            for x in (0, 1):
+                mine = keep & (side[row] == x)
+                if mine.any():
+                    yield _rows(key[mine], n[mine], x, 0)
+
+    return table.where(F.col("block") < head).select("block", "side", *NAMES[3:]).mapInArrow(run, ROWS).drop("salt")
+
+
+def cluster(table: DataFrame, units: Units, classes: int, head: int = 4096) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(class of each unit, class bigram counts, likelihoods: of a start by rank, then after each round over all units)."""
+    blocks, rank = units.blocks, (np.arange(units.size) % classes).astype(np.int16)
+    counts = class_bigrams(table, rank, classes, blocks)
+    if blocks < head:
+        return exchange(table, rank, counts, blocks)
+    start = likelihood(counts)
+    few = written(among(table, head), "head")
+    cls, counts, _ = exchange(few, rank, class_bigrams(few, rank, classes, blocks), blocks)
+    cls[head:] = classes
+    unit, to = better(table, cls, counts, blocks)
+    new = np.where(cls < classes, cls, rank).astype(np.int16)
+    placed = cls[unit] == classes
+    new[unit[placed]] = to[placed]
+    cls, counts, history = exchange(table, new, class_bigrams(table, new, classes, blocks), blocks)
+    return cls, counts, [start, *history]
 
 
 @dataclass
@@ -411,8 +504,8 @@ class Model:
         return math.log10(self.tokens + 0.5 * (self.types + 1))
 
 
-def tail_classes(docs: DataFrame, words: DataFrame, units: Units, cls: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``words`` (word, n) with cls: common words have their own, each other one the class that suits its neighbours best.
+def tail_classes(docs: DataFrame, units: Units, cls: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(word, n, cls) of the words that are not common: each gets the class that suits its neighbours best.
 
     A neighbour that is itself not common counts as its shape's class.  Of a word at most
     (classes + 1)² different pairs of neighbours' classes come together.
@@ -422,24 +515,21 @@ def tail_classes(docs: DataFrame, words: DataFrame, units: Units, cls: np.ndarra
 
     def run(batches):
         units, cls, _ = shared.value
-        number, first = Numbering(units), len(units.common)
-        end = number[END]
+        number, last = units.numbering(), int(cls[units.of(END)])
         for b in slices(batches):
-            word, before, after = [], [], []
-            for text in b.column(0).to_pylist():
-                ws = tokens(text or b"")
-                x = np.array([end, *map(number.__getitem__, ws), end])
-                at = np.flatnonzero(x[1:-1] >= first)
-                word += [ws[i] for i in at.tolist()]
-                before.append(cls[x[at]])
-                # Nothing follows the end of a text.
-                after.append(np.where(at + 1 < len(ws), cls[x[at + 2]], classes))
-            pair = np.concatenate(before).astype(int) * (classes + 1) + np.concatenate(after)
+            ws, ends = stream(b.column(0).to_pylist())
+            x = numbers(ws, number)
+            c = cls[x].astype(np.int64)
+            at = np.flatnonzero(x >= number.first)
+            word = [ws[i] for i in at.tolist()]
+            follows = np.append(c[1:], classes)
+            # Nothing follows the end of a text.
+            follows[ends - 1] = classes
+            pair = np.concatenate([[last], c[:-1]])[at] * (classes + 1) + follows[at]
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(pair, pa.int32())], names=["word", "pair"])
 
     def choose(batches):
-        _, cls, counts = shared.value
-        index = shared.value[0]
+        units, cls, counts = shared.value
         for b in slices(batches, 4096):
             pairs = b.column(2)
             many = np.diff(pairs.offsets.to_numpy())
@@ -451,7 +541,7 @@ def tail_classes(docs: DataFrame, words: DataFrame, units: Units, cls: np.ndarra
             has = right < classes
             after = np.bincount((row * classes + right)[has], n[has], len(many) * classes).reshape(-1, classes)
             # The word's tokens are counted in its shape's class.
-            old = cls[[index.shape(w) for w in b.column(0).to_pylist()]].astype(int)
+            old = cls[[units.of(w) for w in b.column(0).to_pylist()]].astype(int)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(quick_gains(old, before, after, counts).argmax(1), pa.int32())], names=["word", "n", "cls"])
 
     met = docs.select(bytes_of(docs)).mapInArrow(run, "word binary, pair int").groupBy("word", "pair").agg(F.count("*").alias("k"))
@@ -462,7 +552,7 @@ def tail_classes(docs: DataFrame, words: DataFrame, units: Units, cls: np.ndarra
 def learn(docs: DataFrame, training: Column, classes: int = 64, common: int = 1 << 18, buckets: int = 1024) -> tuple[Model, DataFrame]:
     """(model, written table of the words that are not common: word, n, cls) of the rows where ``training`` holds."""
     spark = docs.sparkSession
-    rows = docs.where(training).select("text")
+    rows, since = docs.where(training).select("text"), place()
     words = written(count_words(rows), "words")
     top = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(common).toLocalIterator()]
     units, n = Units([w for w, _ in top], buckets), [x for _, x in top]
@@ -471,9 +561,10 @@ def learn(docs: DataFrame, training: Column, classes: int = 64, common: int = 1
     # A unit with more tokens than this is summed in salted groups.
     hot = np.flatnonzero(np.array(n, dtype=np.int64) > 1 << 24)
     table = written(bigrams(rows, units, hot), "bigrams")
-    start = np.arange(units.size) % classes
-    cls, counts, history = exchange(table, start.astype(np.int16), classes)
-    tail = written(tail_classes(rows, words, units, cls, counts), "tail") if types > len(top) else spark.createDataFrame([], "word binary, n long, cls int")
+    cls, counts, history = cluster(table, units, classes)
+    tail = tail_classes(rows, units, cls, counts) if types > len(top) else spark.createDataFrame([], "word binary, n long, cls int")
+    tail = written(tail, "tail")
+    discard(spark, since)
     size = np.bincount(cls[: len(n)], n, classes) if n else np.zeros(classes)
     kinds = np.bincount(cls[: len(n)], minlength=classes) if n else np.zeros(classes)
     for r in tail.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
@@ -498,37 +589,34 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
 
     def run(batches):
         units, cls, n, discount, floor, move, size = shared.value
-        number, first = Numbering(units), len(units.common)
+        number, row_id = units.numbering(), TaskContext.get().partitionId() << 33
         end = int(cls[number[END]])
-        base = np.log10(n + 0.5) - floor
-        emit = np.log10(np.maximum(n - discount, 1e-9)) - np.log10(size)[cls[: len(n)]]
-        row_id = TaskContext.get().partitionId() << 33
-        entry = pa.struct([("before", pa.int32()), ("shape", pa.int32()), ("after", pa.int32()), ("word", pa.binary())])
+        # By unit; units of rare words add nothing here.
+        few = np.zeros(units.buckets)
+        base = np.concatenate([np.log10(n + 0.5) - floor, few])
+        emit = np.concatenate([np.log10(np.maximum(n - discount, 1e-9)) - np.log10(size)[cls[: len(n)]], few])
+        names = ["row_id", "doc_id", "n_tokens", "n_common", "base", "total", "rare"]
         for b in slices(batches):
-            out, rare, ends = [], [], [0]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ws = tokens(text or b"")
-                ids = np.array([*map(number.__getitem__, ws)])
-                known = ids < first
-                c = cls[ids].astype(np.int64)
-                prev = np.concatenate([[end], c[:-1]])
-                sure = known & np.concatenate([[True], known[:-1]])
-                have = ids[known]
-                out.append((row_id, doc, len(ws), len(have), float(base[have].sum()), float(move[prev[sure], c[sure]].sum() + emit[have].sum())))
-                at = np.flatnonzero(~known)
-                if len(at):
-                    # Steps to and from a rare word wait for its class; -1: the neighbour is rare too, or none follows.
-                    before = np.where(np.concatenate([[True], known[:-1]])[at], prev[at], -1)
-                    follows = np.append(np.where(known, c, -1), -1)[at + 1]
-                    rare += zip(before.tolist(), c[at].tolist(), follows.tolist(), [ws[i] for i in at.tolist()], strict=True)
-                ends.append(len(rare))
-                row_id += 1
-            cols = list(zip(*out, strict=True))
-            fields = [pa.array(x, t) for x, t in zip(zip(*rare, strict=True), [f.type for f in entry], strict=True)] if rare else [pa.array([], f.type) for f in entry]
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(entry)))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            names = ["row_id", "doc_id", "n_tokens", "n_common", "base", "total", "rare"]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(cols, types, strict=True)), listed], names=names)
+            ws, ends = stream(b.column(1).to_pylist())
+            x = numbers(ws, number)
+            starts = np.concatenate([[0], ends[:-1]])
+            known, c = x < number.first, cls[x].astype(np.int64)
+            # What stands before a text's first token is an end, which is common.
+            prev = np.concatenate([[end], c[:-1]])
+            prev[starts] = end
+            before = np.concatenate([[True], known[:-1]])
+            before[starts] = True
+            steps = np.where(known & before, move[prev, c], 0.0) + emit[x]
+            sums = [np.add.reduceat(v, starts) for v in (known.astype(np.int64), base[x], steps)]
+            # Steps to and from a rare word wait for its class; -1: the neighbour is rare too, or none follows.
+            at = np.flatnonzero(~known)
+            after = np.append(np.where(known, c, -1)[1:], -1)
+            after[ends - 1] = -1
+            fields = [pa.array(np.where(before, prev, -1)[at], pa.int32()), pa.array(c[at], pa.int32()), pa.array(after[at], pa.int32()), pa.array([ws[i] for i in at.tolist()], pa.binary())]
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.searchsorted(at, ends)]), pa.int32()), pa.StructArray.from_arrays(fields, names=["before", "shape", "after", "word"]))
+            ids = pa.array(np.arange(row_id, row_id + b.num_rows))
+            row_id += b.num_rows
+            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(ends - starts), *map(pa.array, sums), listed], names=names)
 
     schema = "row_id long, doc_id long, n_tokens long, n_common long, base double, total double, rare array<struct<before:int,shape:int,after:int,word:binary>>"
     lines = written(docs.select(F.col("doc_id").cast("long"), bytes_of(docs)).mapInArrow(run, schema), "lines")

@@ -37,9 +37,7 @@ def test_query(spark):
 
 def class_of(m, tail, w):
     """A word's class: common words by their unit, other known ones by the tail table, unknown ones by shape."""
-    if m.units.index().get(w) is None and w in tail:
-        return tail[w]
-    return int(m.cls[m.units.of(w)])
+    return tail[w] if w in tail else int(m.cls[m.units.of(w)])
 
 
 def test_model_is_a_distribution(spark):
@@ -88,11 +86,13 @@ def test_bigrams_are_those_of_the_texts(spark):
         ids = [units.of(brown.END if w is None else w) for w in [None, *words_of(d.text)]]
         want.update(zip(ids, ids[1:]))
     got = collections.Counter()
-    for r in brown.bigrams(docs, units, np.array([0, 1]), gather=50).collect():
-        others, counts = np.frombuffer(r.others, np.int32).tolist(), np.frombuffer(r.counts, np.int32).tolist()
-        for o, n in zip(others, counts, strict=True):
-            pair = (r.unit, o) if r.side else (o, r.unit)
-            got[(*pair, r.side)] += n
+    table = brown.bigrams(docs, units, np.array([0, 1]), gather=50).toArrow()
+    for b in table.to_batches():
+        row, slot, other, n = brown.entries(b)
+        unit = slot * units.blocks + b.column(0).to_numpy()[row]
+        for u, o, side, k in zip(unit.tolist(), other.tolist(), b.column(1).to_numpy()[row].tolist(), n.tolist(), strict=True):
+            got[(*((u, o) if side else (o, u)), side)] += k
+    assert max(got.values()) > 255 and len(got) == sum(len(brown.entries(b)[0]) for b in table.to_batches())
     assert got == {(*k, side): n for k, n in want.items() for side in (0, 1)}
 
 
@@ -100,6 +100,12 @@ def test_clustering_improves(spark):
     """The likelihood never falls, ends well above its start, and tokens lie in most classes; the counts are those of the classes."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)
     m, _ = brown.learn(docs, F.lit(True), classes=32)
+    table = brown.written(brown.bigrams(docs, m.units, np.zeros(0, int)), "bigrams")
+    # The same with a head of 300 units first, as large vocabularies have it.
+    cls, counts, history = brown.cluster(table, m.units, 32, head=300)
+    assert (counts == brown.class_bigrams(table, cls, 32, m.units.blocks)).all() and cls.max() < 32
+    assert all(a < b for a, b in zip(history, history[1:])) and history[-1] - history[0] > 0.05 * abs(history[0])
+    assert abs(history[-1] - m.history[-1]) < 0.03 * abs(m.history[-1])
     assert all(a < b for a, b in zip(m.history, m.history[1:]))
     assert m.history[-1] - m.history[0] > 0.05 * abs(m.history[0])
     share = np.sort(m.class_tokens)[::-1] / m.class_tokens.sum()
