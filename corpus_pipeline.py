@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage reads what the one before kept: toxic documents go, documents whose language the
-compressors cannot tell go, one document of each class of near copies stays, personal data
+compressors cannot tell (no letter, or a margin narrower than all but a hundredth of sampled
+documents have) go, one document of each class of near copies stays, personal data
 is replaced by its kind, and what is left is packed into sequences.  All stages but the last
 return the columns of documents.
 """
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termfield.llm import langid, nearcopies, packing, pii, toxicity
-from termfield.llm.common import docs_of, written
+from termfield.llm.common import discard, docs_of, place, written
 from termfield.llm.queries import vocabulary
 
 
@@ -53,7 +54,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
+        since = place()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name)
+            # What the stage wrote on its way, and the documents before it, are spent.
+            discard(spark, max(0, since - (k > 0)))
     return docs
