@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 class ModelError(ValueError):
     """The data do not make a valid model."""
@@ -78,6 +80,11 @@ class TermModel:
     def labels(self) -> tuple[DataFrame, DataFrame]:
         return in_order(self.rows).select("term"), in_order(self.cols).select("term")
 
+    def settled(self) -> TermModel:
+        """The same model in written tables, so that several actions do not compute it again."""
+        parts = {k: written(getattr(self, k), k) for k in ("rows", "cols", "cells", "scores") if getattr(self, k) is not None}
+        return self.replaced(**parts)
+
     def renamed(self, rows: DataFrame | None = None, cols: DataFrame | None = None) -> TermModel:
         """New labels from tables (old, new); every label needs one."""
         out = self
@@ -247,7 +254,8 @@ def from_triplets(
     table = cells.select("target", "feature", "f")
     known.update(N=N if N is not None else known.get("N"), locked=known.get("locked", False))
     if known["N"] is None and raw:
-        known["counts"] = table
+        # Summed before cells are: N needs no shuffle.
+        known["counts"] = base.select("f")
     if raw:
         return TermModel(infos[0], infos[1], table, None, known)
     return TermModel(infos[0], infos[1], None, table.withColumnRenamed("f", "score"), known)

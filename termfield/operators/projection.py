@@ -152,6 +152,9 @@ def project(
     sigma^power; 0 equalises them.
     """
     method = named(method, ["svd", "rsvd", "asvd", "ri", "ri+svd"], "method") if method not in ("ri", "svd") else method
+    if model.scores is not None:
+        model = model.replaced(cells=None)
+    model = model.settled()
     rows, width = model.rows.count(), model.cols.count()
     n = min(rows, width) if n is None else n
     if method == "ri" and 2 * n > width:
