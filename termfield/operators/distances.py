@@ -1,21 +1,26 @@
 """Distances and similarities between the vectors of long tables.
 
-All pairs asked for are in the result.  What two vectors share comes from an equi-join on the
-feature and one aggregation per pair; the rest of a distance follows from totals of each
-vector, so zeros are never stored or compared.  Only the maximum, which no totals give, is
-taken from pairs of whole vectors.
+All pairs asked for are in the result.  Where there are few features (at most ``DENSE``, as after
+a projection), vectors are packed into blocks, and a task compares block with block.  Otherwise
+what two vectors share comes from an equi-join on the feature and one aggregation per pair; the
+rest of a distance follows from totals of each vector, so zeros are never stored or compared.
+Only the maximum, which no totals give, is then taken from pairs of whole vectors.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.association import named
 from ..model import missing, values
+from ..shared import written
 
 METRICS = ["cosine", "euclidean", "maximum", "manhattan", "minkowski", "canberra", "jaccard", "overlap"]
 SIMILARITIES = {"cosine", "jaccard", "overlap"}
+#: Up to so many features vectors are compared as arrays, in blocks of about BLOCK.
+DENSE, BLOCK = 2048, 256
 
 
 def is_similarity(method: str, convert: bool = True) -> bool:
@@ -80,10 +85,93 @@ def distances(
         y, names2 = x, names
     else:
         y, names2 = vectors_of(table if other is None else other, None if isinstance(terms2, str) else terms2, skip_missing, info if other is None else info2)
+    same = other is None
+    features = [r["feature"] for r in x.select("feature").union(y.select("feature")).distinct().limit(DENSE + 1).collect()]
+    if len(features) <= DENSE:
+        left = _blocks(x, names, features)
+        return _compared(left, left if y is x else _blocks(y, names2, features), method, p, normalized, convert, same, compact)
     pairs = names.select(F.col("term").alias("a")).crossJoin(names2.select(F.col("term").alias("b")))
     return measured(pairs.where("a < b") if compact else pairs, x, y, method, p, normalized, convert, other is None)
 
 
+def _blocks(cells: DataFrame, names: DataFrame, features: list[str]) -> DataFrame:
+    """(names, held): a row for each block of about BLOCK targets, its numbers packed row by row."""
+    many = max(1, -(-names.count() // BLOCK))
+    at = {f: i for i, f in enumerate(features)}
+    shared = cells.sparkSession.sparkContext.broadcast(at)
+    held = cells.groupBy("target").agg(F.collect_list(F.struct("feature", "value")).alias("v"))
+    every = names.select(F.col("term").alias("target")).join(held, "target", "left").withColumn("block", F.pmod(F.xxhash64("target"), F.lit(many)))
+
+    def pack(key, table):
+        import pyarrow as pa
+
+        place, v = shared.value, table.column("v").combine_chunks()
+        out = np.zeros((table.num_rows, len(place)))
+        rows = np.repeat(np.arange(table.num_rows), np.nan_to_num(v.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
+        cells = v.flatten()
+        out[rows, [place[f] for f in cells.field("feature").to_pylist()]] = cells.field("value").to_numpy()
+        return pa.table({"names": pa.array([table.column("target").to_pylist()], pa.list_(pa.string())), "held": pa.array([out.tobytes()], pa.binary())})
+
+    # A block is bounded: targets are dealt by hash.
+    return written(every.groupBy("block").applyInArrow(pack, "names array<string>, held binary"), "blocks")
+
+
+def _compared(left: DataFrame, right: DataFrame, method: str, p: float, normalized: bool, convert: bool, same: bool, compact: bool) -> DataFrame:
+    """(a, b, distance) of all targets of two tables of blocks; ``compact`` keeps pairs with a before b."""
+    x = left.select(F.col("names").alias("a"), F.col("held").alias("x"))
+    y = right.select(F.col("names").alias("b"), F.col("held").alias("y"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a, u, b, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                u, v = np.frombuffer(u).reshape(len(a), -1), np.frombuffer(v).reshape(len(b), -1)
+                far = np.concatenate([_array_distances(u[i : i + 16], v, method, p, normalized, convert) for i in range(0, len(a), 16)])
+                n, m = np.array(a, dtype=object), np.array(b, dtype=object)
+                if same and method not in ("cosine", "jaccard", "overlap"):
+                    far[n[:, None] == m[None, :]] = 0.0
+                i, j = np.nonzero(n[:, None] < m[None, :]) if compact else (np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a)))
+                yield pa.RecordBatch.from_arrays([pa.array(a).take(pa.array(i)), pa.array(b).take(pa.array(j)), pa.array(far[i, j])], names=["a", "b", "distance"])
+
+    # Every block meets every block, since all distances are asked for.
+    both = x.crossJoin(y).repartition(F.xxhash64("a"), F.xxhash64("b"))
+    return both.select("a", "x", "b", "y").mapInArrow(run, "a string, b string, distance double")
+
+
+def _array_distances(x: np.ndarray, y: np.ndarray, method: str, p: float, normalized: bool, convert: bool) -> np.ndarray:
+    """Distances of the rows of ``x`` and of ``y``, as :func:`_plan` has them."""
+    if method == "cosine":
+        dot = x @ y.T
+        if not normalized:
+            size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                dot = np.where(size > 0, dot / size, np.nan)
+        dot = np.where(dot > 1 - 1e-12, 1.0, np.where(dot < -1 + 1e-12, -1.0, dot))
+        return np.degrees(np.arccos(dot)) if convert else dot
+    u, v = x[:, None, :], y[None, :, :]
+    if method in ("jaccard", "overlap"):
+        low = np.minimum(u, v).sum(2)
+        if method == "jaccard":
+            every = x.sum(1)[:, None] + y.sum(1)[None, :] - low
+            low = np.where(every == 0, 1.0, low / np.where(every == 0, 1.0, every))
+        elif not normalized:
+            total = x.sum(1)[:, None]
+            low = np.where(total == 0, 1.0, low / np.where(total == 0, 1.0, total))
+        return 1 - low if convert else low
+    gap = np.abs(u - v)
+    if method == "maximum":
+        return gap.max(2, initial=0.0)
+    if method == "canberra":
+        size = np.abs(u) + np.abs(v)
+        return (gap / np.where(size == 0, 1.0, size)).sum(2)
+    if method == "minkowski" and p == 0:
+        return (gap != 0).sum(2).astype(float)
+    power = {"euclidean": 2.0, "manhattan": 1.0}.get(method, float(p))
+    total = (gap if power == 1 else gap * gap if power == 2 else gap**power).sum(2)
+    return np.sqrt(total) if method == "euclidean" else total ** (1 / power) if power > 1 else total
+
+
 def measured(pairs: DataFrame, x: DataFrame, y: DataFrame, method: str, p: float = 2.0, normalized: bool = False, convert: bool = True, same: bool = True, few: bool = False) -> DataFrame:
     """(a, b, distance) of the given distinct pairs between targets of ``x`` and of ``y``.
 

@@ -52,9 +52,6 @@ def months(spark: SparkSession, sf_dir: str, where: str = "true") -> TermModel:
     return from_triplets(t.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("target"), F.date_format("l_shipdate", "yyyy-MM").alias("feature"), F.col("l_quantity").alias("f")))
 
 
-#: The supplier names the distance queries start from.
-SOME = ["s1", "s2", "s3", "s5", "s7"]
-
 PARTS_SQL = """M AS (SELECT 'p' || l_partkey AS target, 's' || l_suppkey AS feature, sum(l_quantity) AS f FROM lineitem GROUP BY 1, 2),
 R AS (SELECT target, sum(f) AS r1, count(*) FILTER (f <> 0) AS nr FROM M GROUP BY 1),
 C AS (SELECT feature, sum(f) AS c1, count(*) FILTER (f <> 0) AS nc FROM M GROUP BY 1),
@@ -66,7 +63,6 @@ G AS (SELECT sum(f) AS n FROM M)"""
 #: Suppliers by months with the zeros.
 FULL_SQL = MONTHS_SQL + """,
 D AS (SELECT R.target, C.feature, coalesce(M.f, 0.0) AS f FROM R CROSS JOIN C LEFT JOIN M USING (target, feature))"""
-SOME_SQL = ", ".join(f"'{s}'" for s in SOME)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -287,7 +283,7 @@ def scale_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- distances ----------------------------------------------------------------------------
 
-_PAIRS = f"{FULL_SQL}, P AS (SELECT A.target AS a, B.target AS b, A.f AS x, B.f AS y FROM D A JOIN D B USING (feature) WHERE A.target IN ({SOME_SQL}))"
+_PAIRS = f"{FULL_SQL}, P AS (SELECT A.target AS a, B.target AS b, A.f AS x, B.f AS y FROM D A JOIN D B USING (feature))"
 _COS = "least(1, greatest(-1, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)))))"
 _DIST = {
     "cosine": f"CASE WHEN {_COS} > 1 - 1e-12 THEN 0 ELSE degrees(acos({_COS})) END",
@@ -304,34 +300,15 @@ _DIST = {
 def _distance_queries() -> None:
     for method, sql in _DIST.items():
         query(f"WITH {_PAIRS} SELECT a, b, round({sql}, 6) + 0.0 AS distance FROM P GROUP BY a, b", f"distance_{method}")(
-            lambda spark, sf_dir, m=method: rounded(distances.distances(months(spark, sf_dir).cells, method=m, p=3.0, terms=SOME, terms2="all", skip_missing=True), "distance")
+            lambda spark, sf_dir, m=method: rounded(distances.distances(months(spark, sf_dir).cells, method=m, p=3.0), "distance")
         )
 
 
 _distance_queries()
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(sum(pow(abs(x - y), 0.5)), 6) + 0.0 AS distance FROM P WHERE b IN ({SOME_SQL}) AND a < b GROUP BY a, b")
+@query(f"WITH {_PAIRS} SELECT a, b, round(sum(pow(abs(x - y), 0.5)), 6) + 0.0 AS distance FROM P WHERE a < b GROUP BY a, b")
 def distance_compact_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(distances.distances(months(spark, sf_dir).cells, method="minkowski", p=0.5, terms=SOME, skip_missing=True, compact=True), "distance")
-
-
-#: The same for all suppliers, whatever the size of the table.
-_ALL_PAIRS = f"{FULL_SQL}, P AS (SELECT A.target AS a, B.target AS b, A.f AS x, B.f AS y FROM D A JOIN D B USING (feature))"
-
-
-def _whole_distance_queries() -> None:
-    for method, sql in _DIST.items():
-        query(f"WITH {_ALL_PAIRS} SELECT a, b, round({sql}, 6) + 0.0 AS distance FROM P GROUP BY a, b", f"distance_{method}_whole")(
-            lambda spark, sf_dir, m=method: rounded(distances.distances(months(spark, sf_dir).cells, method=m, p=3.0), "distance")
-        )
-
-
-_whole_distance_queries()
-
-
-@query(f"WITH {_ALL_PAIRS} SELECT a, b, round(sum(pow(abs(x - y), 0.5)), 6) + 0.0 AS distance FROM P WHERE a < b GROUP BY a, b")
-def distance_compact_half_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(distances.distances(months(spark, sf_dir).cells, method="minkowski", p=0.5, compact=True), "distance")
 
 
@@ -340,22 +317,18 @@ def distance_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(distances.distances(months(spark, sf_dir).cells, method="manhattan", by_row=False), "distance")
 
 
-@query(f"WITH {_PAIRS}, S AS (SELECT a, b, sum(abs(x - y)) AS d FROM P WHERE a <> b GROUP BY a, b), K AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM S) SELECT a AS target, b AS neighbour, rank, round(d, 6) + 0.0 AS distance FROM K WHERE rank <= 10")
+@query(f"WITH {_PAIRS}, S AS (SELECT a, b, sum(abs(x - y)) AS d FROM P WHERE a <> b AND substr(a, 2)::BIGINT % 100 = 0 GROUP BY a, b), K AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM S) SELECT a AS target, b AS neighbour, rank, round(d, 6) + 0.0 AS distance FROM K WHERE rank <= 10")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(neighbours.nearest_neighbours(months(spark, sf_dir).cells, SOME, 10, method="manhattan", skip_missing=True), "distance")
-
-
-@query(f"WITH {_ALL_PAIRS}, S AS (SELECT a, b, sum(abs(x - y)) AS d FROM P WHERE a <> b AND substr(a, 2)::BIGINT % 100 = 0 GROUP BY a, b), K AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM S) SELECT a AS target, b AS neighbour, rank, round(d, 6) + 0.0 AS distance FROM K WHERE rank <= 10")
-def nearest_neighbours_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier whose id is divisible by 100, searched among all."""
     asked = table(spark, sf_dir, "lineitem").where("l_suppkey % 100 = 0").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("term"))
     return rounded(neighbours.nearest_neighbours(months(spark, sf_dir).cells, asked, 10, method="manhattan", skip_missing=True), "distance")
 
 
-@query(f"WITH {_PAIRS}, V AS (SELECT feature, sum(f) AS x FROM D WHERE target IN ({SOME_SQL}) GROUP BY 1), S AS (SELECT target AS b, sum(abs(x - f)) AS d FROM D JOIN V USING (feature) GROUP BY 1), K AS (SELECT *, row_number() OVER (ORDER BY d, b) AS rank FROM S) SELECT 'sum' AS target, b AS neighbour, rank, round(d, 6) + 0.0 AS distance FROM K WHERE rank <= 10")
+@query(f"WITH {FULL_SQL}, V AS (SELECT feature, sum(f) AS x FROM D GROUP BY 1), S AS (SELECT target AS b, sum(abs(x - f)) AS d FROM D JOIN V USING (feature) GROUP BY 1), K AS (SELECT *, row_number() OVER (ORDER BY d, b) AS rank FROM S) SELECT 'sum' AS target, b AS neighbour, rank, round(d, 6) + 0.0 AS distance FROM K WHERE rank <= 10")
 def nearest_to_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers nearest to the sum of all."""
     cells = months(spark, sf_dir).cells
-    vector = cells.where(F.col("target").isin(SOME)).groupBy(F.lit("sum").alias("target"), "feature").agg(F.sum("f").alias("value"))
+    vector = cells.groupBy(F.lit("sum").alias("target"), "feature").agg(F.sum("f").alias("value"))
     return rounded(neighbours.neighbours_of_vectors(vector, cells, 10, "manhattan"), "distance")
 
 
@@ -377,13 +350,13 @@ def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbours.pair_distances(pairs, months(spark, sf_dir).cells, "manhattan"), "distance")
 
 
-_RANKS = f"""{FULL_SQL}, W AS (SELECT DISTINCT 's' || l_suppkey AS w1, 's' || (l_suppkey % 5 + 1) AS w2 FROM lineitem WHERE l_suppkey <= 40),
+_RANKS = f"""{FULL_SQL}, W AS (SELECT DISTINCT 's' || l_suppkey AS w1, 's' || (l_suppkey % 5 + 1) AS w2 FROM lineitem),
 S AS (SELECT A.target AS a, B.target AS b, sum(abs(A.f - B.f)) AS d FROM D A JOIN D B USING (feature) GROUP BY 1, 2),
 K AS (SELECT a, b, rank() OVER (PARTITION BY a ORDER BY d) - 1.0 AS r FROM S)"""
 
 
 def _rank_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem").where("l_suppkey <= 40")
+    t = table(spark, sf_dir, "lineitem")
     return t.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("w1"), F.concat(F.lit("s"), F.col("l_suppkey") % 5 + 1).alias("w2")).distinct()
 
 
@@ -402,31 +375,6 @@ def pair_ranks_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbours.pair_ranks(_rank_pairs(spark, sf_dir), months(spark, sf_dir).cells, "avg", "harmonic", method="manhattan"), "rank")
 
 
-def _all_rank_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem")
-    return t.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("w1"), F.concat(F.lit("s"), F.col("l_suppkey") % 5 + 1).alias("w2")).distinct()
-
-
-_ALL_RANKS = f"""{FULL_SQL}, W AS (SELECT DISTINCT 's' || l_suppkey AS w1, 's' || (l_suppkey % 5 + 1) AS w2 FROM lineitem),
-S AS (SELECT A.target AS a, B.target AS b, sum(abs(A.f - B.f)) AS d FROM D A JOIN D B USING (feature) GROUP BY 1, 2),
-K AS (SELECT a, b, rank() OVER (PARTITION BY a ORDER BY d) - 1.0 AS r FROM S)"""
-
-
-@query(f"WITH {_ALL_RANKS} SELECT w1, w2, r::DOUBLE AS rank FROM W JOIN K ON a = w1 AND b = w2")
-def pair_ranks_forward_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.pair_ranks(_all_rank_pairs(spark, sf_dir), months(spark, sf_dir).cells, "fwd", method="manhattan")
-
-
-@query(f"WITH {_ALL_RANKS} SELECT w1, w2, r::DOUBLE AS rank FROM W JOIN K ON a = w2 AND b = w1")
-def pair_ranks_backward_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.pair_ranks(_all_rank_pairs(spark, sf_dir), months(spark, sf_dir).cells, "bwd", method="manhattan")
-
-
-@query(f"WITH {_ALL_RANKS} SELECT w1, w2, round(CASE WHEN F.r + B.r = 0 THEN 0 ELSE 2 * F.r * B.r / (F.r + B.r) END, 6) + 0.0 AS rank FROM W JOIN K F ON F.a = w1 AND F.b = w2 JOIN K B ON B.a = w2 AND B.b = w1")
-def pair_ranks_harmonic_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(neighbours.pair_ranks(_all_rank_pairs(spark, sf_dir), months(spark, sf_dir).cells, "avg", "harmonic", method="manhattan"), "rank")
-
-
 # -- contexts -----------------------------------------------------------------------------
 
 

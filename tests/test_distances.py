@@ -1,6 +1,8 @@
 import math
 
 import pytest
+
+import termfield.operators.distances as distances_module
 from goldens import CONTEXT, HIERO, TERM, model
 from pyspark.sql import functions as F
 
@@ -117,3 +119,20 @@ def test_contexts(spark):
     two = spark.createDataFrame([("x", "cat", "dog")], "name string, w1 string, w2 string")
     assert {r.feature: r.value for r in composed(t, two).collect()}["breed"] == 663
     assert {r.feature: r.value for r in composed(t, two, "multiply").collect()}["tail"] == 17 * 14
+
+
+@pytest.mark.parametrize("method", distances_module.METRICS)
+def test_blocks_and_joins_agree(spark, monkeypatch, method):
+    """Few features are compared as arrays, many by joins: the same distances, zero vectors and unequal tables too."""
+    rows = [(f"t{i}", f"f{j}", float((i * 7 + j * 3) % 5)) for i in range(9) for j in range(6) if (i + j) % 3] + [("zero", "f1", 0.0)]
+    table = spark.createDataFrame(rows, "target string, feature string, value double")
+    other = table.where("target < 't5'")
+    get = lambda: [
+        {(r.a, r.b): r.distance for r in distances(table, y, method=method, p=2.5, convert=n, normalized=n).collect()} for y, n in ((None, False), (other, True))
+    ]
+    dense = get()
+    monkeypatch.setattr(distances_module, "DENSE", -1)
+    for a, b in zip(dense, get(), strict=True):
+        assert a.keys() == b.keys() and len(a) in (100, 50)
+        for k, v in a.items():
+            assert v == pytest.approx(b[k], abs=1e-9, nan_ok=True), k
