@@ -37,7 +37,7 @@ class WordEncoder:
     case or normal form need the library's own tables goes to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.words = Tokenizer.from_file(path), keep, {}
