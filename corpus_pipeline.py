@@ -1,7 +1,7 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage reads what the one before kept: toxic documents go, documents whose language the
-compressors cannot tell (no letter, or a margin narrower than all but a hundredth of sampled
+compressors cannot tell (no letter, or a margin narrower than all but one in 200 sampled
 documents have) go, one document of each class of near copies stays, personal data
 is replaced by its kind, and what is left is packed into sequences.  All stages but the last
 return the columns of documents.
