@@ -9,7 +9,8 @@ if the likelihood of the class bigrams has risen, else the share is halved.  Rou
 unit moves or a round gains less than ``tolerance`` of the likelihood.  The ``head`` most
 frequent units go first, by their bigrams with one another; all units are then placed beside
 them and rounds go on over all.  Words beyond the common ones then each get the class that
-their own neighbours make likeliest.
+their own neighbours make likeliest; words with less than ``least`` occurrences, whose few
+neighbours tell little, stay with their shape.
 
 Counting words and bigrams reads the whole corpus; unit bigrams are a table in Spark, and the
 driver holds one class a unit and classes² counts.  Counts and classes of common words travel
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, place, remembered, slices, written
+from .common import discard, place, remembered, slices, small_batches, written
 
 #: The end token; a space cannot be in a word.
 END = b" "
@@ -100,6 +101,11 @@ class Units:
     def size(self) -> int:
         return len(self.common) + self.buckets
 
+    @property
+    def plain(self) -> tuple[list[bytes], int, str]:
+        """What a broadcast holds: values that a worker needs no module for."""
+        return self.common, self.buckets, self.name
+
     @property
     def blocks(self) -> int:
         """Units are kept in blocks of at most SLOTS; the most frequent ones are in different blocks."""
@@ -213,13 +219,13 @@ def bigrams(docs: DataFrame, units: Units, hot: np.ndarray, gather: int = 1_000_
     for a unit does not grow with the tasks before it.
     """
     size, blocks = units.size, units.blocks
-    shared = docs.sparkSession.sparkContext.broadcast(units)
+    shared = docs.sparkSession.sparkContext.broadcast(units.plain)
 
     def place_of(unit: np.ndarray) -> np.ndarray:
         return unit % blocks * SLOTS + unit // blocks
 
     def run(batches):
-        number, salt = shared.value.numbering(), TaskContext.get().partitionId()
+        number, salt = Units(*shared.value).numbering(), TaskContext.get().partitionId()
         keys, counts, held, pieces, raw = [], [], 0, [], 0
         last = np.array([number[END]])
 
@@ -275,7 +281,7 @@ def bigrams(docs: DataFrame, units: Units, hot: np.ndarray, gather: int = 1_000_
                 if cut:
                     yield _rows(key[:cut], n[:cut], side, 0)
 
-        for b in slices(batches, 1024):
+        for b in slices(batches, 256):
             row, slot, other, n = entries(b)
             block, side = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()
             key = (block[row] * SLOTS + slot) << OTHER | other
@@ -370,7 +376,7 @@ def contexts(b: pa.RecordBatch, cls: np.ndarray, classes: int, blocks: int) -> t
 def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut between units: the rows of a unit, which lie together, come together."""
     held = None
-    for b in slices(batches, 1024):
+    for b in slices(batches, 64):
         if held is not None:
             b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
         unit = b.column(0).to_numpy()
@@ -404,13 +410,14 @@ def class_bigrams(table: DataFrame, cls: np.ndarray, classes: int, blocks: int)
 
     def run(batches):
         c, total = at.value.astype(np.int64), np.zeros(classes * classes)
-        for b in batches:
+        for b in slices(batches, 64):
             row, slot, other, n = entries(b)
             block = b.column(0).to_numpy().astype(np.int64)
             total += np.bincount(c[slot * blocks + block[row]] * classes + c[other], n, len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total)], names=["cell", "n"])
 
-    got = table.where("side = 1").drop("side").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    with small_batches(table.sparkSession):
+        got = table.where("side = 1").drop("side").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(classes * classes)
     for r in got:
         out[r["cell"]] = r["n"]
@@ -424,7 +431,8 @@ def better(table: DataFrame, cls: np.ndarray, counts: np.ndarray, blocks: int) -
     def run(batches):
         yield from moves(batches, *at.value, blocks, heavy)
 
-    found = table.mapInArrow(run, "unit int, to int").toArrow()
+    with small_batches(table.sparkSession):
+        found = table.mapInArrow(run, "unit int, to int").toArrow()
     return found.column("unit").to_numpy().astype(np.int64), found.column("to").to_numpy()
 
 
@@ -455,7 +463,7 @@ def among(table: DataFrame, head: int) -> DataFrame:
     """The bigrams of the first ``head`` units with one another, in the same packed rows."""
 
     def run(batches):
-        for b in slices(batches, 1024):
+        for b in slices(batches, 64):
             row, slot, other, n = entries(b)
             block, side = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()
             keep = (slot == 0) & (other < head)
@@ -504,17 +512,18 @@ class Model:
         return math.log10(self.tokens + 0.5 * (self.types + 1))
 
 
-def tail_classes(docs: DataFrame, units: Units, cls: np.ndarray, counts: np.ndarray) -> DataFrame:
+def tail_classes(docs: DataFrame, units: Units, cls: np.ndarray, counts: np.ndarray, least: int) -> DataFrame:
     """(word, n, cls) of the words that are not common: each gets the class that suits its neighbours best.
 
     A neighbour that is itself not common counts as its shape's class.  Of a word at most
     (classes + 1)² different pairs of neighbours' classes come together.
     """
     classes = len(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((units, cls, counts))
+    shared = docs.sparkSession.sparkContext.broadcast((units.plain, cls, counts))
 
     def run(batches):
-        units, cls, _ = shared.value
+        plain, cls, _ = shared.value
+        units = Units(*plain)
         number, last = units.numbering(), int(cls[units.of(END)])
         for b in slices(batches):
             ws, ends = stream(b.column(0).to_pylist())
@@ -529,7 +538,8 @@ def tail_classes(docs: DataFrame, units: Units, cls: np.ndarray, counts: np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(pair, pa.int32())], names=["word", "pair"])
 
     def choose(batches):
-        units, cls, counts = shared.value
+        plain, cls, counts = shared.value
+        units = Units(*plain)
         for b in slices(batches, 4096):
             pairs = b.column(2)
             many = np.diff(pairs.offsets.to_numpy())
@@ -542,19 +552,20 @@ def tail_classes(docs: DataFrame, units: Units, cls: np.ndarray, counts: np.ndar
             after = np.bincount((row * classes + right)[has], n[has], len(many) * classes).reshape(-1, classes)
             # The word's tokens are counted in its shape's class.
             old = cls[[units.of(w) for w in b.column(0).to_pylist()]].astype(int)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(quick_gains(old, before, after, counts).argmax(1), pa.int32())], names=["word", "n", "cls"])
+            best = np.where(b.column(1).to_numpy() >= least, quick_gains(old, before, after, counts).argmax(1), old)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.int32())], names=["word", "n", "cls"])
 
     met = docs.select(bytes_of(docs)).mapInArrow(run, "word binary, pair int").groupBy("word", "pair").agg(F.count("*").alias("k"))
     met = met.groupBy("word").agg(F.sum("k").alias("n"), F.collect_list(F.struct("pair", "k")).alias("pairs"))
     return met.mapInArrow(choose, "word binary, n long, cls int")
 
 
-def learn(docs: DataFrame, training: Column, classes: int = 64, common: int = 1 << 18, buckets: int = 1024) -> tuple[Model, DataFrame]:
+def learn(docs: DataFrame, training: Column, classes: int = 64, common: int = 1 << 18, buckets: int = 1024, least: int = 5) -> tuple[Model, DataFrame]:
     """(model, written table of the words that are not common: word, n, cls) of the rows where ``training`` holds."""
     spark = docs.sparkSession
     rows, since = docs.where(training).select("text"), place()
     words = written(count_words(rows), "words")
-    top = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(common).toLocalIterator()]
+    top = [(bytes(r["word"]), r["n"]) for r in words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(common).toLocalIterator()]
     units, n = Units([w for w, _ in top], buckets), [x for _, x in top]
     sums = words.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
     total, types, ones, twos = (int(x or 0) for x in sums)
@@ -562,7 +573,7 @@ def learn(docs: DataFrame, training: Column, classes: int = 64, common: int = 1
     hot = np.flatnonzero(np.array(n, dtype=np.int64) > 1 << 24)
     table = written(bigrams(rows, units, hot), "bigrams")
     cls, counts, history = cluster(table, units, classes)
-    tail = tail_classes(rows, units, cls, counts) if types > len(top) else spark.createDataFrame([], "word binary, n long, cls int")
+    tail = tail_classes(rows, units, cls, counts, least) if types > len(top) else spark.createDataFrame([], "word binary, n long, cls int")
     tail = written(tail, "tail")
     discard(spark, since)
     size = np.bincount(cls[: len(n)], n, classes) if n else np.zeros(classes)
@@ -585,10 +596,11 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     m, classes = model, len(model.class_tokens)
     # Plain values only: bounded by the numbers of units, classes and common words.
-    shared = spark.sparkContext.broadcast((m.units, m.cls, np.array(m.counts, dtype=float), m.discount, m.log_floor, m.log_move, np.maximum(m.class_tokens, 1)))
+    shared = spark.sparkContext.broadcast((m.units.plain, m.cls, np.array(m.counts, dtype=float), m.discount, m.log_floor, m.log_move, np.maximum(m.class_tokens, 1)))
 
     def run(batches):
-        units, cls, n, discount, floor, move, size = shared.value
+        plain, cls, n, discount, floor, move, size = shared.value
+        units = Units(*plain)
         number, row_id = units.numbering(), TaskContext.get().partitionId() << 33
         end = int(cls[number[END]])
         # By unit; units of rare words add nothing here.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,17 @@ def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, batch_bytes: int = 4 << 20):
+    """Python gets rows in batches of so many bytes for the jobs inside, since rows may hold large values."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(batch_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def written(df: DataFrame, tag: str, batch_bytes: int = 4 << 20) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back.
 
@@ -59,12 +71,8 @@ def written(df: DataFrame, tag: str, batch_bytes: int = 4 << 20) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(batch_bytes))
-    try:
+    with small_batches(spark, batch_bytes):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
     _PLACES.append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 

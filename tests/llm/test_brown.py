@@ -43,7 +43,7 @@ def class_of(m, tail, w):
 def test_model_is_a_distribution(spark):
     """Over all known words and the unknown one of each class, probabilities after any class sum to 1."""
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a d", "c c a b b", "e f"])], "doc_id long, text string")
-    m, tail = brown.learn(docs, F.lit(True), classes=4, common=4, buckets=3)
+    m, tail = brown.learn(docs, F.lit(True), classes=4, common=4, buckets=3, least=1)
     counts = dict(zip(m.units.common, m.counts, strict=True)) | {bytes(r["word"]): r["n"] for r in tail.collect()}
     where = {bytes(r["word"]): r["cls"] for r in tail.collect()}
     assert len(counts) == 7 and sum(counts.values()) == m.tokens == 18
@@ -58,7 +58,7 @@ def test_model_is_a_distribution(spark):
 def test_score_against_plain_sum(spark):
     """Every document's score by walking its tokens one by one over the same model, with few common words."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    m, tail = brown.learn(docs, F.col("doc_id") % 5 != 1, classes=16, common=2000, buckets=64)
+    m, tail = brown.learn(docs, F.col("doc_id") % 5 != 1, classes=16, common=500, buckets=64, least=3)
     known = {bytes(r["word"]): r for r in tail.collect()}
     n = dict(zip(m.units.common, m.counts, strict=True)) | {w: r["n"] for w, r in known.items()}
     where = {w: r["cls"] for w, r in known.items()}
@@ -152,7 +152,7 @@ def test_exchange_raises_likelihood():
 def test_edges(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "A b", 0), (3, "A b", 0), (None, "zz top b", 0), (4, "w x " * 100_000, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
-    m, words = brown.learn(docs, F.col("doc_id") > 1, classes=4, common=3, buckets=4)
+    m, words = brown.learn(docs, F.col("doc_id") > 1, classes=4, common=3, buckets=4, least=1)
     got = {r.doc_id: r for r in brown.score(docs, m, words).collect()}
     assert got[1].n_tokens == got[2].n_tokens == 1 and got[1].score == got[2].score
     assert got[None].n_tokens == 4 and got[None].n_known == 2 and got[4].n_tokens == 200_001 and got[4].n_known == 200_001
