@@ -1,4 +1,4 @@
-"""Small matrices with known results."""
+"""Published example matrices and what is known of them."""
 
 HIERO = {
     "features": ["get", "see", "use", "hear", "eat", "kill"],
