@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, dropout, images, langid, license, nearcopies, packing, pii, toxicity, vptree
+from . import brown, dropout, images, langid, license, merkle, nearcopies, packing, pii, toxicity, vptree
 from .common import docs_of, fold
 
 
@@ -81,5 +81,9 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropout.round_trip(docs_of(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op4_near_copies, op5_image_copies, op6_packing, op7_vptree, op8_langid, op9_license, op10_merge_dropout)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.succession(docs_of(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op4_near_copies, op5_image_copies, op6_packing, op7_vptree, op8_langid, op9_license, op10_merge_dropout, op11_merkle)}
 ORACLE_SQL: dict[str, str] = {"op9_license": license.sql()}
