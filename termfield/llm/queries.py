@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, dropout, images, langid, license, merkle, nearcopies, packing, pii, toxicity, vptree
+from . import brown, dropout, images, langid, license, merkle, nearcopies, packing, pii, repair, toxicity, vptree, whitening
 from .common import docs_of, fold
 
 
@@ -85,5 +85,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.succession(docs_of(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op4_near_copies, op5_image_copies, op6_packing, op7_vptree, op8_langid, op9_license, op10_merge_dropout, op11_merkle)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.summary(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_brown, op3_pii, op4_near_copies, op5_image_copies, op6_packing, op7_vptree, op8_langid, op9_license, op10_merge_dropout, op11_merkle, op12_whitening, op13_repair)}
 ORACLE_SQL: dict[str, str] = {"op9_license": license.sql()}
