@@ -62,17 +62,17 @@ def small_batches(spark: SparkSession, batch_bytes: int = 4 << 20):
         spark.conf.set(BATCH, before)
 
 
-def written(df: DataFrame, tag: str, batch_bytes: int = 4 << 20) -> DataFrame:
+def written(df: DataFrame, tag: str, batch_bytes: int = 4 << 20, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back.
 
     A lost executor costs nothing that was written, and two readers of a table with
     generated keys see the same keys.  Python gets rows in batches of ``batch_bytes``, since
-    rows may hold large values.
+    rows may hold large values.  ``codec`` zstd halves digits and letters that are random.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with small_batches(spark, batch_bytes):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     _PLACES.append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -241,7 +241,7 @@ def succession(docs: DataFrame) -> DataFrame:
 
     placed = _texts(docs).withColumns({"_h": F.xxhash64("text"), "_at": F.monotonically_increasing_id()})
     ranges = placed.repartitionByRange("doc_id", "_h", "_at").sortWithinPartitions("doc_id", "_h", "_at").select("doc_id", "text")
-    walked = written(ranges.mapInArrow(run, f"{made}, part int, edge string, text string"), "succession")
+    walked = written(ranges.mapInArrow(run, f"{made}, part int, edge string, text string"), "succession", codec="zstd")
     firsts, lasts = walked.where("edge = 'first'"), walked.where("edge = 'last'")
     # One number a range.
     parts = sorted(r["part"] for r in firsts.select("part").collect())
