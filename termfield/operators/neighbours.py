@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from ..functions.association import named
 from ..model import ModelError, missing, values
 from ..shared import written
-from .distances import METRICS, distances, is_similarity, measured, vectors_of
+from .distances import DENSE, METRICS, distances, is_similarity, measured, vectors_of
+from .pruned import BOUNDED, pruned_distances
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,8 @@ def as_distances(matrix: DataFrame, similarity: bool = False, symmetric: bool |
 
 
 def _order(similarity: bool) -> Column:
-    return F.desc("distance") if similarity else F.asc("distance")
+    # NaN, a vector without direction, comes last in both orders.
+    return F.desc(F.nanvl(F.col("distance"), F.lit(float("-inf")))) if similarity else F.asc("distance")
 
 
 def _nearest(found: DataFrame, n: int, similarity: bool) -> DataFrame:
@@ -77,13 +79,30 @@ def nearest_neighbours(
 
     Without ``other`` a term is not its own neighbour.  Nearest is the least distance, or with
     ``convert`` False the greatest similarity; ties go by name.
+
+    Cosine and Jaccard over more than ``DENSE`` features go through an index with bounds
+    (:mod:`.pruned`) if no value is negative; else all targets are measured.
     """
+    if by_row and named(method, METRICS, "method") in BOUNDED:
+        x, names = vectors_of(table, terms, skip_missing, info)
+        y, names2 = vectors_of(table if other is None else other, None, skip_missing, info if other is None else info2)
+        if y.select("feature").distinct().limit(DENSE + 1).count() > DENSE and not x.union(y).where("value < 0").limit(1).count():
+            found = pruned_distances(x, names, y, names2, n, named(method, METRICS, "method"), normalized, convert, other is None)
+            return _nearest(found, n, is_similarity(method, convert))
     found = distances(table, other, method, p, normalized, by_row, convert, terms, "all", skip_missing, False, info, info2)
     if other is None:
         found = found.where("a != b")
     return _nearest(found, n, is_similarity(method, convert))
 
 
+def sparse_neighbours(table: DataFrame, terms: list[str] | DataFrame, n: int = 10, method: str = "cosine", normalized: bool = False, convert: bool = True, skip_missing: bool = False, info: DataFrame | None = None) -> DataFrame:
+    """:func:`nearest_neighbours` by the index with bounds, for any number of features; values must not be negative."""
+    method = named(method, BOUNDED, "method")
+    x, names = vectors_of(table, terms, skip_missing, info)
+    y, names2 = vectors_of(table, None, skip_missing, info)
+    return _nearest(pruned_distances(x, names, y, names2, n, method, normalized, convert, True), n, is_similarity(method, convert))
+
+
 def neighbours_of_vectors(vectors: DataFrame, table: DataFrame, n: int = 10, method: str = "cosine", p: float = 2.0, normalized: bool = False, convert: bool = True, info: DataFrame | None = None) -> DataFrame:
     """The nearest targets of free vectors (name, feature, value); a vector equal to a target finds it."""
     found = distances(vectors, table, method, p, normalized, True, convert, info2=info)
