@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.association import named
 from ..model import ModelError, TermModel, in_order, values
 from ..shared import written
+from . import tiles
 
 BLOCK = 4096
 #: Up to so many features the cross product of features is made whole.
@@ -176,6 +177,8 @@ def project(
         names = table.sparkSession.range(between).select(F.col("id").cast("string").alias("term"))
         got = project(TermModel(model.rows, names, None, long.withColumnRenamed("value", "score")), n, "svd", power=power, seed=seed, limit=limit)
         return Projection(got.vectors, "ri+svd", None, None)
+    if width * n * (oversampling or 2) > limit and width > EXACT:
+        return _tiled(table, model, n, method, oversampling, q, power, with_basis, seed)
     packed = _packed(table, model.cols, model.rows, limit // n)
     fitted = packed
     if method == "asvd":
@@ -196,6 +199,26 @@ def project(
     return Projection(vectors, method, sigma, r2, basis)
 
 
+def _tiled(table: DataFrame, model: TermModel, n: int, method: str, oversampling: float | None, q: int, power: float, with_basis: bool, seed: int) -> Projection:
+    """SVD whose basis stays in tables of blocks (:mod:`.tiles`)."""
+    fitted, rows = table, model.rows
+    if method == "asvd":
+        # As many rows as asked for are the sample that gives the basis.
+        rows = model.rows.orderBy(F.xxhash64("term", F.lit(seed))).limit(int(n * (oversampling or 10)))
+        fitted = table.join(rows.select(F.col("term").alias("target")), "target", "left_semi")
+    few = method == "rsvd"
+    got = tiles.svd(fitted, rows, model.cols, n, (oversampling if method != "asvd" else None) or 2.0, q + 1 if few else 100, 0.0 if few else 1e-10, seed, power)
+    vectors = got.vectors
+    if method == "asvd":
+        m = len(got.sigma)
+        scaled = got.basis.select("feature", F.zip_with("vec", F.array(*[F.lit(float(s ** (power - 1))) for s in got.sigma]), lambda a, b: a * b).alias("vec"))
+        found = fold_in(table, scaled)
+        vectors = model.rows.select("term").join(found, "term", "left").select("term", F.coalesce("vec", F.array_repeat(F.lit(0.0), m)).alias("vec"))
+    total = table.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
+    r2 = got.sigma**2 / total if total else np.zeros(len(got.sigma))
+    return Projection(vectors, method, got.sigma, r2, got.basis if with_basis else None)
+
+
 def random_indexing(table: DataFrame, n: int, rate: float, seed: int, width: int, rows: DataFrame | None = None) -> DataFrame:
     """(term, vec): sums of sparse random vectors of the features.
 

@@ -23,4 +23,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back: what follows does not compute it again, nor does a lost executor."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_written"] = (path, None)
+    return out
+
+
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """A written table that joins on ``keys`` without a shuffle of its own."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    label = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).option("path", path).saveAsTable(label)
+    out = spark.table(label)
+    out.__dict__["_written"] = (path, label)
+    return out
+
+
+def spent(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more; others are left alone."""
+    for t in tables:
+        path, label = t.__dict__.pop("_written", (None, None)) if t is not None else (None, None)
+        if path is None:
+            continue
+        spark = t.sparkSession
+        if label is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {label}")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
