@@ -560,6 +560,20 @@ def tail_classes(docs: DataFrame, units: Units, cls: np.ndarray, counts: np.ndar
     return met.mapInArrow(choose, "word binary, n long, cls int")
 
 
+def shape_classes(words: DataFrame, units: Units, cls: np.ndarray) -> DataFrame:
+    """(word, n, cls) of words that stay with their shape's class; texts are not read."""
+    shared = words.sparkSession.sparkContext.broadcast((units.plain, cls))
+
+    def run(batches):
+        plain, cls = shared.value
+        units = Units(*plain)
+        for b in slices(batches, 4096):
+            own = cls[[units.of(w) for w in b.column("word").to_pylist()]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(own, pa.int32())], names=["word", "n", "cls"])
+
+    return words.select("word", "n").mapInArrow(run, "word binary, n long, cls int")
+
+
 def learn(docs: DataFrame, training: Column, classes: int = 64, common: int = 1 << 18, buckets: int = 1024, least: int = 5) -> tuple[Model, DataFrame]:
     """(model, written table of the words that are not common: word, n, cls) of the rows where ``training`` holds."""
     spark = docs.sparkSession
@@ -573,7 +587,12 @@ def learn(docs: DataFrame, training: Column, classes: int = 64, common: int = 1
     hot = np.flatnonzero(np.array(n, dtype=np.int64) > 1 << 24)
     table = written(bigrams(rows, units, hot), "bigrams")
     cls, counts, history = cluster(table, units, classes)
-    tail = tail_classes(rows, units, cls, counts, least) if types > len(top) else spark.createDataFrame([], "word binary, n long, cls int")
+    frequent = words.where(F.col("n") >= least).count()
+    if frequent > len(top):
+        tail = tail_classes(rows, units, cls, counts, least)
+    else:
+        # All others are too rare to leave their shape's class.
+        tail = shape_classes(words.where(F.col("n") < least), units, cls)
     tail = written(tail, "tail")
     discard(spark, since)
     size = np.bincount(cls[: len(n)], n, classes) if n else np.zeros(classes)

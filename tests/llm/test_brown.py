@@ -159,3 +159,15 @@ def test_edges(spark):
     none, words = brown.learn(docs, F.lit(False))
     assert {(r.score, r.base_score, r.n_known) for r in brown.score(docs, none, words).collect()} == {(0.0, 0.0, 0)}
     assert brown.score(docs.limit(0), m, words).collect() == []
+
+
+def test_rare_words_keep_their_shape_without_another_pass(spark, tables):
+    """Where no word beyond the common ones is frequent, the pass over texts gives what the words alone give."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("text").limit(40)
+    words = brown.count_words(docs)
+    top = [bytes(r["word"]) for r in words.where("n >= 5").collect()]
+    units = brown.Units(sorted(top), 32)
+    cls = (np.arange(units.size) % 7).astype(np.int16)
+    rows = lambda df: {(bytes(r["word"]), r["n"], r["cls"]) for r in df.collect()}
+    short = rows(brown.shape_classes(words.where("n < 5"), units, cls))
+    assert short and short == rows(brown.tail_classes(docs, units, cls, np.ones((7, 7)), 5))
