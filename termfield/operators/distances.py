@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.association import named
 from ..model import missing, values
-from ..shared import written
+from ..shared import kept, written
 
 METRICS = ["cosine", "euclidean", "maximum", "manhattan", "minkowski", "canberra", "jaccard", "overlap"]
 SIMILARITIES = {"cosine", "jaccard", "overlap"}
@@ -80,6 +80,8 @@ def distances(
     if not by_row:
         turn = lambda t: None if t is None else values(t).select(F.col("feature").alias("target"), F.col("target").alias("feature"), "value")
         table, other = turn(table), turn(other)
+    # Features, names and blocks each read the table, so what it is made of is computed once.
+    table, other = kept(values(table) if "_written" not in table.__dict__ else table, "vectors"), None if other is None else kept(values(other), "vectors")
     x, names = vectors_of(table, terms, skip_missing, info)
     if other is None and terms2 is None:
         y, names2 = x, names

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.association import named
 from ..model import ModelError, missing, values
-from ..shared import written
+from ..shared import kept, written
 from .distances import DENSE, METRICS, distances, is_similarity, measured, vectors_of
 from .pruned import BOUNDED, pruned_distances
 
@@ -84,6 +84,7 @@ def nearest_neighbours(
     (:mod:`.pruned`) if no value is negative; else all targets are measured.
     """
     if by_row and named(method, METRICS, "method") in BOUNDED:
+        table, other = kept(values(table), "vectors"), None if other is None else kept(values(other), "vectors")
         x, names = vectors_of(table, terms, skip_missing, info)
         y, names2 = vectors_of(table if other is None else other, None, skip_missing, info if other is None else info2)
         if y.select("feature").distinct().limit(DENSE + 1).count() > DENSE and not x.union(y).where("value < 0").limit(1).count():
@@ -97,7 +98,7 @@ def nearest_neighbours(
 
 def sparse_neighbours(table: DataFrame, terms: list[str] | DataFrame, n: int = 10, method: str = "cosine", normalized: bool = False, convert: bool = True, skip_missing: bool = False, info: DataFrame | None = None) -> DataFrame:
     """:func:`nearest_neighbours` by the index with bounds, for any number of features; values must not be negative."""
-    method = named(method, BOUNDED, "method")
+    method, table = named(method, BOUNDED, "method"), kept(values(table), "vectors")
     x, names = vectors_of(table, terms, skip_missing, info)
     y, names2 = vectors_of(table, None, skip_missing, info)
     return _nearest(pruned_distances(x, names, y, names2, n, method, normalized, convert, True), n, is_similarity(method, convert))

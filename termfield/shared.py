@@ -28,6 +28,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if it is a written table, else :func:`written`."""
+    return df if "_written" in df.__dict__ else written(df, name)
+
+
 def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """A written table that joins on ``keys`` without a shuffle of its own."""
     spark = df.sparkSession

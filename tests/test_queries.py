@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import termfield.queries_more  # noqa: F401  (adds its queries)
+import termfield.queries_space  # noqa: F401
 from termfield.operators import scoring
 from termfield.queries import ORACLE_SQL, QUERIES, months
 
