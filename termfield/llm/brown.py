@@ -29,6 +29,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -512,17 +513,37 @@ class Model:
         return math.log10(self.tokens + 0.5 * (self.types + 1))
 
 
-def tail_classes(docs: DataFrame, units: Units, cls: np.ndarray, counts: np.ndarray, least: int) -> DataFrame:
+#: Bits of a filter of words, by crc32.
+FILTER = 1 << 26
+
+
+def word_filter(words: DataFrame) -> np.ndarray:
+    """FILTER bits, set where the crc32 of a word falls; at most FILTER / 32 sums come to the driver."""
+    at = words.select((F.crc32("word") % FILTER).alias("at"))
+    bits = at.selectExpr("cast(at div 32 as int) AS k", "shiftleft(1L, cast(at % 32 as int)) AS bit")
+    got = bits.groupBy("k").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER // 32, dtype=np.uint32)
+    out[got.column("k").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def in_filter(words: list[bytes], bits: np.ndarray) -> np.ndarray:
+    at = np.fromiter(map(crc32, words), np.int64, len(words)) % FILTER
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+
+
+def tail_classes(docs: DataFrame, units: Units, cls: np.ndarray, counts: np.ndarray, least: int, bits: np.ndarray | None = None) -> DataFrame:
     """(word, n, cls) of the words that are not common: each gets the class that suits its neighbours best.
 
     A neighbour that is itself not common counts as its shape's class.  Of a word at most
-    (classes + 1)² different pairs of neighbours' classes come together.
+    (classes + 1)² different pairs of neighbours' classes come together.  With ``bits``, a
+    :func:`word_filter`, only words in it (and some others) are looked at.
     """
     classes = len(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((units.plain, cls, counts))
+    shared = docs.sparkSession.sparkContext.broadcast((units.plain, cls, counts, bits))
 
     def run(batches):
-        plain, cls, _ = shared.value
+        plain, cls, _, bits = shared.value
         units = Units(*plain)
         number, last = units.numbering(), int(cls[units.of(END)])
         for b in slices(batches):
@@ -531,6 +552,9 @@ def tail_classes(docs: DataFrame, units: Units, cls: np.ndarray, counts: np.ndar
             c = cls[x].astype(np.int64)
             at = np.flatnonzero(x >= number.first)
             word = [ws[i] for i in at.tolist()]
+            if bits is not None:
+                wanted = in_filter(word, bits)
+                at, word = at[wanted], [w for w, y in zip(word, wanted.tolist(), strict=True) if y]
             follows = np.append(c[1:], classes)
             # Nothing follows the end of a text.
             follows[ends - 1] = classes
@@ -538,7 +562,7 @@ def tail_classes(docs: DataFrame, units: Units, cls: np.ndarray, counts: np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(pair, pa.int32())], names=["word", "pair"])
 
     def choose(batches):
-        plain, cls, counts = shared.value
+        plain, cls, counts, _ = shared.value
         units = Units(*plain)
         for b in slices(batches, 4096):
             pairs = b.column(2)
@@ -588,11 +612,13 @@ def learn(docs: DataFrame, training: Column, classes: int = 64, common: int = 1
     table = written(bigrams(rows, units, hot), "bigrams")
     cls, counts, history = cluster(table, units, classes)
     frequent = words.where(F.col("n") >= least).count()
+    # Words of fewer occurrences don't leave their shape's class.
+    tail = shape_classes(words.where(F.col("n") < least), units, cls)
     if frequent > len(top):
-        tail = tail_classes(rows, units, cls, counts, least)
-    else:
-        # All others are too rare to leave their shape's class.
-        tail = shape_classes(words.where(F.col("n") < least), units, cls)
+        word, n_last = top[-1]
+        beyond = (F.col("n") < n_last) | ((F.col("n") == n_last) & (F.col("word") > F.lit(word)))
+        bits = word_filter(words.where((F.col("n") >= least) & beyond))
+        tail = tail.unionByName(tail_classes(rows, units, cls, counts, least, bits).where(F.col("n") >= least))
     tail = written(tail, "tail")
     discard(spark, since)
     size = np.bincount(cls[: len(n)], n, classes) if n else np.zeros(classes)

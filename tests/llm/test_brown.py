@@ -171,3 +171,9 @@ def test_rare_words_keep_their_shape_without_another_pass(spark, tables):
     rows = lambda df: {(bytes(r["word"]), r["n"], r["cls"]) for r in df.collect()}
     short = rows(brown.shape_classes(words.where("n < 5"), units, cls))
     assert short and short == rows(brown.tail_classes(docs, units, cls, np.ones((7, 7)), 5))
+    # Fewer common words: those beyond that are frequent, through a filter.
+    units, counts = brown.Units(sorted(top)[::3], 32), np.random.default_rng(1).integers(1, 50, (7, 7)).astype(float)
+    every = rows(brown.tail_classes(docs, units, cls, counts, 5))
+    frequent = words.where("n >= 5").where(~F.col("word").isin(units.common))
+    few = rows(brown.tail_classes(docs, units, cls, counts, 5, brown.word_filter(frequent)))
+    assert {r for r in every if r[1] >= 5} == {r for r in few if r[1] >= 5} and len(few) < 0.7 * len(every)
