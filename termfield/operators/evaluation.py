@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.association import named
-from ..model import ModelError
+from ..model import ModelError, values
 from ..shared import written
+from . import medoids
 from .distances import distances, is_similarity
 from .filters import convert_lemma
 from .neighbours import pair_distances
@@ -275,15 +276,25 @@ def entropy(assigned: DataFrame, scale: bool = False) -> DataFrame:
     return total.crossJoin(gold).select((F.col("entropy") / F.col("h")).alias("entropy"))
 
 
-def clustering_details(task: DataFrame, table: DataFrame, form: str | None = None, clusters: int | None = None, word: str = "word", gold: str = "class", **how) -> DataFrame:
-    """(word, cluster, label, gold, correct, missing); words without a vector are the cluster n/a."""
+def clustering_details(task: DataFrame, table: DataFrame, form: str | None = None, clusters: int | None = None, word: str = "word", gold: str = "class", pairs_up_to: int = 5000, **how) -> DataFrame:
+    """(word, cluster, label, gold, correct, missing); words without a vector are the cluster n/a.
+
+    Up to ``pairs_up_to`` words are partitioned by all their distances, more by sampled medoids
+    (:mod:`.medoids`; distances with their usual options only).
+    """
     rows = task.select(F.col(word).alias("word"), _words(word, form).alias("w"), F.col(gold).cast("string").alias("gold"))
     known = table.select(F.col(table.columns[0]).cast("string").alias("term")).distinct()
     if how.get("info") is not None:
         known = known.join(how["info"].select("term"), "term", "left_semi")
     words = written(known.join(rows.select(F.col("w").alias("term")), "term", "left_semi"), "words")
-    k = min(rows.select("gold").distinct().count() if clusters is None else clusters, words.count())
-    if k:
+    many = words.count()
+    k = min(rows.select("gold").distinct().count() if clusters is None else clusters, many)
+    if k and many > pairs_up_to:
+        if not set(how) <= {"method", "p", "info"}:
+            raise ModelError("sampled medoids take method, p and info only")
+        cells = values(table).join(words.select(F.col("term").alias("target")), "target", "left_semi")
+        found = medoids.sampled_medoids(cells, k, **{x: v for x, v in how.items() if x != "info"}, info=words).assigned.select(F.col("term").alias("w"), "cluster")
+    elif k:
         transform = how.pop("transform", None)
         half = distances(table, terms=words, skip_missing=True, **how).where("a > b")
         half = half.select("a", "b", (transform(F.col("distance")) if transform else F.col("distance")).alias("distance"))
@@ -319,7 +330,11 @@ def linkage(d: np.ndarray, how: str = "complete") -> list[tuple[int, int, float]
 
 
 def scaled_map(found: DataFrame, most: int = 2000) -> DataFrame:
-    """Two-dimensional coordinates (term, x, y) of a full distance table (a, b, distance), by classical scaling."""
+    """Two-dimensional coordinates (term, x, y) of a full distance table (a, b, distance), by classical scaling.
+
+    For more than ``most`` terms, or maps that keep stress low, see :func:`.maps.stress_map`; for more
+    terms than a matrix on the driver holds, trees are in :mod:`.trees`.
+    """
     rows = found.limit(most * most + 1).collect()
     names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
     if len(names) > most or len(rows) > most * most:

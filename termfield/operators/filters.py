@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.association import named
 from ..model import ModelError, TermModel, missing, values, with_nonzero
-from ..shared import written
+from ..shared import spent, written
 
 
 def _bound(info: DataFrame, condition: Column | str | None, model: TermModel) -> DataFrame:
@@ -39,7 +39,7 @@ def subset(
     """
     if recursive and matrix_only:
         raise ValueError("recursive and matrix_only do not go together")
-    out, size = model, None
+    out, size, last = model, None, None
     # Sizes only fall, so a round that drops nothing comes.
     while True:
         out = _once(out, rows, cols, drop_zeroes)
@@ -48,6 +48,9 @@ def subset(
         if not recursive:
             return out
         out = out.replaced(**{k: written(getattr(out, k), k) for k in ("rows", "cols", "cells", "scores") if getattr(out, k) is not None})
+        if last is not None:
+            spent(last.rows, last.cols, last.cells, last.scores)
+        last = out
         now = out.dim()
         if now == size:
             return out

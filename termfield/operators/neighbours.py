@@ -110,7 +110,7 @@ def neighbours_of_vectors(vectors: DataFrame, table: DataFrame, n: int = 10, met
     return _nearest(found, n, is_similarity(method, convert))
 
 
-def neighbours_in_matrix(matrix: DataFrame | DistanceTable, terms: list[str], n: int = 10, similarity: bool = False, symmetric: bool = True, by_row: bool = True, sparse: bool = False, skip_missing: bool = False) -> DataFrame:
+def neighbours_in_matrix(matrix: DataFrame | DistanceTable, terms: list[str] | DataFrame, n: int = 10, similarity: bool = False, symmetric: bool = True, by_row: bool = True, sparse: bool = False, skip_missing: bool = False) -> DataFrame:
     """Neighbours from a distance or similarity table (row, column, value).
 
     A symmetric table leaves out the term itself; a :class:`DistanceTable` tells what it is.
@@ -120,9 +120,10 @@ def neighbours_in_matrix(matrix: DataFrame | DistanceTable, terms: list[str], n:
         matrix, similarity, symmetric = matrix.cells, matrix.similarity, matrix.symmetric
     t = values(matrix)
     t = t if by_row else t.select(F.col("feature").alias("target"), F.col("target").alias("feature"), "value")
+    asked = terms.select("term").distinct() if isinstance(terms, DataFrame) else matrix.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(terms)], "term string")
     if not skip_missing:
-        missing(matrix.sparkSession.createDataFrame([(x,) for x in terms], "term string"), t.select(F.col("target").alias("term")), "unknown terms:")
-    found = t.where(F.col("target").isin(list(terms))).select(F.col("target").alias("a"), F.col("feature").alias("b"), F.col("value").alias("distance"))
+        missing(asked, t.select(F.col("target").alias("term")), "unknown terms:")
+    found = t.join(asked.select(F.col("term").alias("target")), "target", "left_semi").select(F.col("target").alias("a"), F.col("feature").alias("b"), F.col("value").alias("distance"))
     if symmetric:
         found = found.where("a != b")
     if sparse:

@@ -127,19 +127,20 @@ def subset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fixed_point_sql(rounds: int = 40) -> str:
     """Enough unrolled rounds for the fixed point; later ones change nothing."""
-    parts = ["S0 AS MATERIALIZED (SELECT target, feature, f FROM M)"]
+    parts = ["S0 AS MATERIALIZED (SELECT 'o' || l_orderkey AS target, 'p' || l_partkey AS feature, sum(l_quantity) AS f FROM lineitem GROUP BY 1, 2)"]
     for k in range(rounds):
         parts.append(
-            f"""S{k + 1} AS MATERIALIZED (SELECT S.* FROM S{k} S SEMI JOIN (SELECT target FROM S{k} GROUP BY 1 HAVING count(*) FILTER (f <> 0) >= 8) A USING (target)
-SEMI JOIN (SELECT feature FROM S{k} GROUP BY 1 HAVING count(*) FILTER (f <> 0) >= 8) B USING (feature))"""
+            f"""S{k + 1} AS MATERIALIZED (SELECT S.* FROM S{k} S SEMI JOIN (SELECT target FROM S{k} GROUP BY 1 HAVING count(*) FILTER (f <> 0) >= 3) A USING (target)
+SEMI JOIN (SELECT feature FROM S{k} GROUP BY 1 HAVING count(*) FILTER (f <> 0) >= 20) B USING (feature))"""
         )
-    return f"WITH {PARTS_SQL}, " + ", ".join(parts) + f" SELECT target, feature, f FROM S{rounds}"
+    return "WITH " + ", ".join(parts) + f" SELECT target, feature, f FROM S{rounds}"
 
 
 @query(_fixed_point_sql())
 def subset_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and suppliers that keep enough cells among each other, to the fixed point."""
-    return filters.subset(parts(spark, sf_dir), "nnzero >= 8", "nnzero >= 8", recursive=True).cells
+    """Orders of three parts and more, and parts in 20 orders and more, counted among each other: several rounds to the fixed point."""
+    t = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("target"), F.concat(F.lit("p"), "l_partkey").alias("feature"), F.col("l_quantity").alias("f"))
+    return filters.subset(from_triplets(t), "nnzero >= 3", "nnzero >= 20", recursive=True).cells
 
 
 @query(
@@ -391,10 +392,23 @@ def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(contexts.context_vectors(months(spark, sf_dir).cells, bags), "value")
 
 
-@query(f"WITH {MONTHS_SQL} SELECT 'x' AS name, feature, round(sum(f), 6) + 0.0 AS value FROM M WHERE target IN ('s1', 's2') GROUP BY feature")
+def neighbouring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier with the next one: (name, w1, w2)."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(key.cast("string").alias("name"), F.concat(F.lit("s"), key).alias("w1"), F.concat(F.lit("s"), key + 1).alias("w2"))
+
+
+#: Suppliers and the next ones, where both are known.
+NEXT_SQL = "W AS (SELECT s_suppkey::VARCHAR AS name, 's' || s_suppkey AS w1, 's' || (s_suppkey + 1) AS w2 FROM supplier SEMI JOIN R A ON A.target = 's' || s_suppkey SEMI JOIN R B ON B.target = 's' || (s_suppkey + 1))"
+
+
+@query(f"WITH {MONTHS_SQL}, {NEXT_SQL} SELECT name, feature, round(sum(f), 6) + 0.0 AS value FROM W JOIN M ON M.target IN (w1, w2) GROUP BY 1, 2")
 def composed_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([("x", "s1", "s2")], "name string, w1 string, w2 string")
-    return rounded(contexts.composed(months(spark, sf_dir).cells, pairs), "value")
+    m = months(spark, sf_dir)
+    pairs = neighbouring(spark, sf_dir)
+    for c in ("w1", "w2"):
+        pairs = pairs.join(m.rows.select(F.col("term").alias(c)), c, "left_semi")
+    return rounded(contexts.composed(m.cells, pairs), "value")
 
 
 # -- evaluation ---------------------------------------------------------------------------
@@ -481,22 +495,22 @@ _HALF = "SELECT 's' || l_suppkey || '.{0}' AS target, strftime(l_shipdate, '%Y-%
 
 
 @query(
-    f"""WITH A AS ({_HALF.format('A')}), B AS ({_HALF.format('R')}), K AS (SELECT DISTINCT feature FROM A INTERSECT SELECT DISTINCT feature FROM B)
-SELECT target, feature, f FROM (SELECT * FROM A UNION ALL SELECT * FROM B) SEMI JOIN K USING (feature)"""
+    f"""WITH A AS ({_HALF.format('A')}), B AS ({_HALF.format('R')}), C AS ({_HALF.format('N')}), K AS (SELECT DISTINCT feature FROM A INTERSECT SELECT DISTINCT feature FROM B INTERSECT SELECT DISTINCT feature FROM C)
+SELECT target, feature, f FROM (SELECT * FROM A UNION ALL SELECT * FROM B UNION ALL SELECT * FROM C) SEMI JOIN K USING (feature)"""
 )
 def merge_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    halves = [months(spark, sf_dir, f"l_returnflag = '{x}'") for x in "AR"]
-    return binding.merge(halves, [".A", ".R"]).cells
+    kinds = [months(spark, sf_dir, f"l_returnflag = '{x}'") for x in "ARN"]
+    return binding.merge(kinds, [".A", ".R", ".N"]).cells
 
 
-@query("SELECT 's' || l_suppkey AS target, strftime(l_shipdate, '%Y-%m') AS feature, sum(l_quantity) AS f FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2")
+@query("SELECT 's' || l_suppkey AS target, strftime(l_shipdate, '%Y-%m') AS feature, sum(l_quantity) AS f FROM lineitem GROUP BY 1, 2")
 def add_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binding.add_counts([months(spark, sf_dir, f"l_returnflag = '{x}'") for x in "AR"]).cells
+    return binding.add_counts([months(spark, sf_dir, f"l_returnflag = '{x}'") for x in "ANR"]).cells
 
 
-@query("SELECT strftime(l_shipdate, '%Y-%m') AS term FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT strftime(l_shipdate, '%Y-%m') FROM lineitem WHERE l_returnflag = 'N'")
+@query("SELECT strftime(l_shipdate, '%Y-%m') AS term FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT strftime(l_shipdate, '%Y-%m') FROM lineitem WHERE l_returnflag = 'N' INTERSECT SELECT strftime(l_shipdate, '%Y-%m') FROM lineitem WHERE l_returnflag = 'R'")
 def vocabulary_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binding.vocabulary([months(spark, sf_dir, f"l_returnflag = '{x}'").cols for x in "AN"], "intersection")
+    return binding.vocabulary([months(spark, sf_dir, f"l_returnflag = '{x}'").cols for x in "ANR"], "intersection")
 
 
 # -- co-occurrence ------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from .functions.association import MEASURES
 from .model import TermModel, from_dense, from_triplets, to_arrays
 from .operators import binding, contexts, distances, evaluation, filters, neighbours, norms, projection, scoring
 from .plans import cooccurrence
-from .queries import FULL_SQL, MONTHS_SQL, PARTS_SQL, months, parts, query, rounded, table, triplets
+from .queries import FULL_SQL, MONTHS_SQL, NEXT_SQL, PARTS_SQL, months, neighbouring, parts, query, rounded, table, triplets
 from .shared import shared_folder, written
 from .sources import matrices
 from .sources import triplets as files
@@ -257,19 +257,24 @@ def score_updated_nnzero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(parts(spark, sf_dir), "MI", update_nnzero=True).rows.select("term", "nnzero")
 
 
-@query("SELECT unnest(['Dice', 'MI', 'chi-squared', 'frequency', 'log-likelihood', 'simple-ll', 't-score', 'tf.idf', 'z-score']) AS measure, measure NOT IN ('frequency', 'tf.idf') AS refused")
+@query(f"""WITH {PARTS_SQL}, X AS (SELECT sum(f) AS f FROM M), Y AS (SELECT sum(f * ln((1.0 + (SELECT count(*) FROM R)) / (nc + 1))) AS f FROM M JOIN C USING (feature))
+SELECT measure, measure NOT IN ('frequency', 'tf.idf') AS refused, CASE measure WHEN 'frequency' THEN round(X.f, 4) WHEN 'tf.idf' THEN round(Y.f, 4) END AS total
+FROM (SELECT unnest(['Dice', 'MI', 'chi-squared', 'frequency', 'log-likelihood', 'simple-ll', 't-score', 'tf.idf', 'z-score']) AS measure), X, Y""")
 def score_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which measures a model with inconsistent marginals refuses."""
-    m = months(spark, sf_dir)
+    """Which measures a model with inconsistent marginals refuses, and the sum of the scores that it does get."""
+    m = parts(spark, sf_dir)
     m = m.replaced(globals={**m.globals, "locked": True})
     out = []
     for measure in MEASURES:
         try:
-            scoring.score(m, measure)
-            out.append((measure, False))
+            total = scoring.score(m, measure).scores.agg(F.round(F.sum("score"), 4).alias("total"))
+            out.append(total.select(F.lit(measure).alias("measure"), F.lit(False).alias("refused"), "total"))
         except ValueError:
-            out.append((measure, True))
-    return spark.createDataFrame(out, "measure string, refused boolean")
+            out.append(spark.createDataFrame([(measure, True, None)], "measure string, refused boolean, total double"))
+    found = out[0]
+    for t in out[1:]:
+        found = found.union(t)
+    return found
 
 
 # -- norms and distances ------------------------------------------------------------------
@@ -310,13 +315,13 @@ def distance_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH A AS (SELECT 's' || l_suppkey AS t, strftime(l_shipdate, '%Y-%m') AS m, sum(l_quantity) AS f FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2),
-B AS (SELECT 's' || l_suppkey AS t, strftime(l_shipdate, '%Y-%m') AS m, sum(l_quantity) AS f FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+B AS (SELECT 's' || l_suppkey AS t, strftime(l_shipdate, '%Y-%m') AS m, sum(l_quantity) AS f FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2),
 L AS (SELECT DISTINCT m FROM A UNION SELECT DISTINCT m FROM B), X AS (SELECT t, m, coalesce(f, 0) AS x FROM (SELECT DISTINCT t FROM A) CROSS JOIN L LEFT JOIN A USING (t, m)),
 Y AS (SELECT t, m, coalesce(f, 0) AS y FROM (SELECT DISTINCT t FROM B) CROSS JOIN L LEFT JOIN B USING (t, m))
 SELECT X.t AS a, Y.t AS b, round(sum(abs(x - y)), 6) + 0.0 AS distance FROM X JOIN Y USING (m) GROUP BY 1, 2""")
 def distance_between_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one matrix against those of another."""
-    x, y = (months(spark, sf_dir, f"l_returnflag = '{f}'").cells for f in "AR")
+    x, y = (months(spark, sf_dir, f"l_returnflag {f} 'A'").cells for f in ("=", "<>"))
     return rounded(distances.distances(x, y, method="manhattan"), "distance")
 
 
@@ -331,20 +336,22 @@ def _table(spark: SparkSession, sf_dir: str) -> neighbours.DistanceTable:
     return neighbours.as_distances(found)
 
 
-@query(f"WITH {_MAN}, K AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM S WHERE a <> b AND a IN ('s1', 's4', 's9')) SELECT a AS target, b AS neighbour, rank, d AS distance FROM K WHERE rank <= 5")
+@query(f"WITH {_MAN}, K AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM S WHERE a <> b) SELECT a AS target, b AS neighbour, rank, d AS distance FROM K WHERE rank <= 5")
 def neighbours_in_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.neighbours_in_matrix(_table(spark, sf_dir), ["s1", "s4", "s9"], 5)
+    found = _table(spark, sf_dir)
+    return neighbours.neighbours_in_matrix(found, found.cells.select(F.col("target").alias("term")), 5)
 
 
-@query(f"WITH {MONTHS_SQL}, K AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY f DESC, feature) AS rank FROM M WHERE target IN ('s1', 's2') AND f > 0) SELECT target, feature AS neighbour, rank, f AS distance FROM K WHERE rank <= 7")
+@query(f"WITH {MONTHS_SQL}, K AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY f DESC, feature) AS rank FROM M WHERE f > 0) SELECT target, feature AS neighbour, rank, f AS distance FROM K WHERE rank <= 7")
 def neighbours_in_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A count table as a sparse similarity."""
-    return neighbours.neighbours_in_matrix(neighbours.as_distances(months(spark, sf_dir).cells, similarity=True), ["s1", "s2"], 7, sparse=True)
+    m = months(spark, sf_dir)
+    return neighbours.neighbours_in_matrix(neighbours.as_distances(m.cells, similarity=True), m.rows.select("term"), 7, sparse=True)
 
 
-@query("SELECT 'distances' AS name, false AS similarity, true AS symmetric UNION ALL SELECT 'counts', true, false")
+@query(f"WITH {_MAN} SELECT 'distances' AS name, false AS similarity, count(*) FILTER (X.d <> Y.d OR Y.d IS NULL) = 0 AS symmetric FROM S X LEFT JOIN S Y ON X.a = Y.b AND X.b = Y.a UNION ALL SELECT 'counts', true, count(*) = 0 FROM M LEFT JOIN R ON R.target = M.feature WHERE R.target IS NULL")
 def distance_table_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a table of distances and one of counts are found to be."""
+    """What a table of distances and one of counts are found to be; in SQL, by comparing all pairs both ways."""
     found = [("distances", _table(spark, sf_dir)), ("counts", neighbours.as_distances(months(spark, sf_dir).cells, similarity=True))]
     return spark.createDataFrame([(n, t.similarity, t.symmetric) for n, t in found], "name string, similarity boolean, symmetric boolean")
 
@@ -451,10 +458,9 @@ def random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- contexts, evaluation, binding --------------------------------------------------------
 
 
-@query(f"WITH {MONTHS_SQL} SELECT 'x' AS name, A.feature, round(A.f * B.f, 6) + 0.0 AS value FROM M A JOIN M B USING (feature) WHERE A.target = 's1' AND B.target = 's2'")
+@query(f"WITH {MONTHS_SQL}, {NEXT_SQL} SELECT name, A.feature, round(A.f * B.f, 6) + 0.0 AS value FROM W JOIN M A ON A.target = w1 JOIN M B ON B.target = w2 AND B.feature = A.feature")
 def composed_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([("x", "s1", "s2")], "name string, w1 string, w2 string")
-    return rounded(contexts.composed(months(spark, sf_dir).cells, pairs, "multiply"), "value")
+    return rounded(contexts.composed(months(spark, sf_dir).cells, neighbouring(spark, sf_dir), "multiply"), "value")
 
 
 @query(f"WITH {MONTHS_SQL}, B AS (SELECT l_orderkey % 50 AS ctx_id, 's' || l_suppkey AS target, count(*) AS w FROM lineitem GROUP BY 1, 2), T AS (SELECT ctx_id, sum(w) AS t FROM B GROUP BY 1) SELECT ctx_id, feature, round(sum(w * f) / any_value(t), 6) + 0.0 AS value FROM B JOIN M USING (target) JOIN T USING (ctx_id) GROUP BY 1, 2")
