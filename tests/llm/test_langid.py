@@ -68,3 +68,44 @@ def test_the_smallest_encoding_wins():
     coder = langid.Coder({"a": b"alpha beta gamma delta " * 300, "b": b"one two three four five " * 300})
     assert coder.predict("alpha beta gamma delta alpha beta")[0] == "a"
     assert coder.predict("one two three four five one two")[0] == "b"
+
+
+def test_number_signs_are_no_letters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.learn(docs, F.lit(True))
+    rows = [(1, "\u00bd"), (2, "\u00b2\u00b3 \u2460 \u2167"), (3, "12 _ \u0301"), (4, "\u00bda"), (5, "\u4e2d")]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred == "und" for i in range(1, 6)] == [True, True, True, False, False]
+    assert langid.normal("A\u00bdb \u00b2 c1d \u00c9t\u00e9") == "a b c d \u00e9t\u00e9"
+
+
+def test_prediction_is_the_smallest_plain_encoding(spark):
+    """Every text encoded anew with every dictionary by encoders made for it alone, quick, and once more where that is close."""
+    import zstandard as z
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.learn(docs, F.lit(True))
+    coder = langid.Coder(model.dictionaries)
+    plain = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
+    quick = z.ZstdCompressionParameters(strategy=z.STRATEGY_GREEDY, min_match=4, window_log=17, hash_log=14, chain_log=14, search_log=3, **plain)
+    thorough = z.ZstdCompressionParameters.from_level(12, **plain)
+
+    def size(lang, data, params):
+        held = model.dictionaries[lang]
+        d = z.ZstdCompressionDict(held[: len(held) * 7 // 8], dict_type=z.DICT_TYPE_RAWCONTENT)
+        return sum(len(z.ZstdCompressor(dict_data=d, compression_params=params).compress(data[i : i + 8192])) for i in range(0, len(data), 8192))
+
+    seen = same = 0
+    for r in docs.select("text").limit(120).collect():
+        data = langid.normal(r.text or "").encode()
+        if len(data) < 400:
+            continue
+        sizes = {x: size(x, data, quick) for x in coder.langs}
+        best, second = sorted(sizes.values())[:2]
+        if second - best < 0.06 * second:
+            sizes = {x: size(x, data, thorough) for x in coder.langs}
+        whole = {x: size(x, data, thorough) for x in coder.langs}
+        least = min(sizes, key=lambda x: (sizes[x], x))
+        assert coder.predict(r.text)[0] == least
+        seen, same = seen + 1, same + (least == min(whole, key=lambda x: (whole[x], x)))
+    assert seen > 50 and same >= 0.97 * seen
