@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import ModelError, TermModel, from_triplets, in_order, to_arrays, values
+from ..operators.filters import numbered
+from . import binary
 from .triplets import read_info
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(line, text): lines with numbers from 0 in file order; the numbering counts lines by partition."""
+    """(line, text): lines with numbers from 0 in file order, files of a folder by name; the numbering counts lines of splits."""
     text = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").schema("text string").csv(path) if encoding != "UTF-8" else spark.read.text(path).toDF("text")
-    at = text.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), "text")
+    # A task may read several splits, in any order, but each of them in its own.
+    at = text.select(F.struct("_metadata.file_path", "_metadata.file_block_start").alias("p"), F.monotonically_increasing_id().alias("i"), "text")
     low = at.groupBy("p").agg(F.min("i").alias("low"), F.count("*").alias("n"))
-    # One row for each partition of the file.
+    # One row for each split of the file.
     before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     low = low.select("p", "low", before.alias("before"))
     return at.join(F.broadcast(low), "p").select((F.col("i") - F.col("low") + F.col("before")).alias("line"), "text")
@@ -61,7 +64,7 @@ def shortest(x: Column) -> Column:
 
 
 def write_word_vectors(model: TermModel | DataFrame, path: str, digits: int | None = None, cols: DataFrame | None = None) -> None:
-    """A folder with one text file: sizes, then a label and its numbers a line, in the order of the labels.
+    """A folder of text files that follow one another: sizes, then a label and its numbers a line, in the order of the labels.
 
     Labels must be unique and hold no white space.  ``digits`` rounds.
     """
@@ -83,8 +86,8 @@ def write_word_vectors(model: TermModel | DataFrame, path: str, digits: int | No
     lines = table.select("pos", F.concat_ws(" ", "term", F.transform("vec", value)).alias("value"))
     head = table.agg(F.concat_ws(" ", F.count("*").cast("string"), F.lit(str(n))).alias("value")).select(F.lit(0).alias("part"), F.lit(None).cast(dict(lines.dtypes)["pos"]).alias("pos"), "value")
     every = head.union(lines.select(F.lit(1).alias("part"), "pos", "value"))
-    # The format is one file, so its lines end in one task; they pass through it as a stream.
-    every.orderBy("part", "pos").select("value").coalesce(1).write.mode("overwrite").text(path)
+    # Ranges in order; names of the parts rise with them, so the parts one after another are the file.
+    every.repartitionByRange("part", "pos").sortWithinPartitions("part", "pos").select("value").write.mode("overwrite").text(path)
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -195,8 +198,8 @@ def read_svd_text(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame,
     nr, nc, nnz = map(int, head[:3])
     words = lines.where("line > 0").select("line", _split().alias("w"))
     starts = words.where(F.size("w") == 1)
-    # Column heads are few (one a column) and numbered in order of their lines.
-    column = starts.select("line", (F.row_number().over(Window.orderBy("line")) - 1).cast("long").alias("j"), F.element_at("w", 1).cast("long").alias("n"))
+    # One head a column, numbered in order of their lines.
+    column = numbered(starts, "line").select("line", (F.col("k") - 1).cast("long").alias("j"), F.element_at("w", 1).cast("long").alias("n"))
     cell = words.where(F.size("w") == 2)
     span = column.select("j", F.explode(F.when(F.col("n") > 0, F.sequence(F.col("line") + 1, F.col("line") + F.col("n"))).otherwise(F.array().cast("array<bigint>"))).alias("line"))
     cells = cell.join(span, "line").select(F.element_at("w", 1).cast("long").alias("i"), "j", F.element_at("w", 2).cast("double").alias("value"))
@@ -208,10 +211,17 @@ def read_svd_text(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame,
 def read_svd_binary(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, int, int]:
     """The same from a binary file of big-endian 32-bit numbers (sizes, counts, rows, float values).
 
-    A binary file has no places to split at, so a file is one task's work.
+    Files that all machines mount are read in ranges by the data source svd_binary (:mod:`.binary`); through
+    other file systems, which offer no places to split at, a file is one task's work.
     """
     if kind not in ("sparse", "dense"):
         raise ValueError("kind must be sparse or dense")
+    # A path without a scheme is one of the default file system.
+    local = path.startswith("file:") or (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:").startswith("file:")
+    if local and (plain := binary.mounted(path)) is not None:
+        spark.dataSource.register(binary.SvdBinary)
+        sizes = binary.header(plain, kind)
+        return spark.read.format("svd_binary").option("kind", kind).load(plain), sizes[0], sizes[1]
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches):

@@ -1,10 +1,12 @@
 import struct
 
+import numpy as np
 import pytest
 from goldens import HIERO, model
 from pyspark.sql import functions as F
 
 from termfield.model import ModelError
+from termfield.sources import binary
 from termfield.sources import matrices as mx
 from termfield.sources import triplets as tr
 
@@ -129,6 +131,56 @@ def test_svd_files(spark, tmp_path):
         assert (nr, nc) == (4, 5) and {tuple(r) for r in cells.collect()} == want
 
 
+def test_binary_files_are_read_in_ranges(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    m = np.where(rng.random((50, 30)) < 0.3, rng.normal(size=(50, 30)), 0).astype(">f4")
+    m[:, 7] = 0  # a column without cells
+    (tmp_path / "d.bin").write_bytes(struct.pack(">2i", *m.shape) + m.tobytes())
+    columns = [[(int(i), float(m[i, j])) for i in np.flatnonzero(m[:, j])] for j in range(30)]
+    many = sum(map(len, columns))
+    (tmp_path / "s.bin").write_bytes(struct.pack(">3i", 50, 30, many) + b"".join(struct.pack(">i", len(c)) + b"".join(struct.pack(">if", i, x) for i, x in c) for c in columns))
+    want = {(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))}
+    spark.dataSource.register(binary.SvdBinary)
+    for kind, name in (("dense", "d.bin"), ("sparse", "s.bin")):
+        df = spark.read.format("svd_binary").option("kind", kind).option("bytes", 400).load(str(tmp_path / name))
+        assert {tuple(r) for r in df.collect()} == want
+        parts = binary.SvdReader(str(tmp_path / name), kind, 400).partitions()
+        assert len(parts) > 5 and [p.first for p in parts[1:]] == [p.last for p in parts[:-1]]
+        assert df.rdd.getNumPartitions() == len(parts)
+    (tmp_path / "short.bin").write_bytes(struct.pack(">2i", 50, 30) + b"1234")
+    with pytest.raises(Exception, match="shorter"):
+        spark.read.format("svd_binary").option("kind", "dense").load(str(tmp_path / "short.bin")).collect()
+    (tmp_path / "none.bin").write_bytes(struct.pack(">3i", 0, 0, 0))
+    cells, nr, nc = mx.read_svd_binary(spark, str(tmp_path / "none.bin"), "sparse")
+    assert (nr, nc) == (0, 0) and cells.collect() == []
+
+
+def test_word_vectors_in_several_parts(spark, tmp_path):
+    rows = [(i, f"w{i:03d}", [float(i), i / 8]) for i in range(200)]
+    table = spark.createDataFrame(rows, "pos int, term string, vec array<double>").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mx.write_word_vectors(table, str(tmp_path / "v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "v").glob("part-*"))
+    text = "".join(f.read_text() for f in files).splitlines()
+    assert len(files) > 2 and text[0] == "200 2" and text[1] == "w000 0 0" and text[200] == "w199 199 24.875"
+    assert [(r.pos, r.term, r.vec) for r in mx.read_word_vectors(spark, str(tmp_path / "v")).orderBy("pos").collect()] == rows
+
+
+def test_lines_of_many_splits_are_numbered(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for k, n in enumerate((50, 2000, 3)):
+        (tmp_path / "t" / f"part-{k}.txt").write_text("".join(f"{k} {i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = [r.text for r in mx.numbered_lines(spark, str(tmp_path / "t")).orderBy("line").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"{k} {i}" for k, n in enumerate((50, 2000, 3)) for i in range(n)]
+
+
 def test_term_documents(spark):
     t = spark.createDataFrame([("a", "d1", 2.0), ("b", "d1", None)], "term string, doc string, n double")
     with pytest.raises(ModelError):
