@@ -16,10 +16,11 @@ from pyspark.sql.window import Window
 
 from ..functions.association import named
 from ..model import ModelError, values
-from ..shared import written
+from ..shared import kept, written
 from . import medoids
 from .distances import distances, is_similarity
 from .filters import convert_lemma
+from .graphs import exact_quantile
 from .neighbours import pair_distances
 
 
@@ -357,8 +358,10 @@ def nearest_point(points: DataFrame, x: float, y: float, within: float = float("
 
 def map_edges(found: DataFrame, similarity: bool = False, share: float = 2 / 3) -> DataFrame:
     """Edges (a, b, distance, strength) of a map: pairs nearer than the quantile, strength from 0 to 1."""
-    pairs = found.where("a < b")
-    cut = pairs.agg(F.percentile("distance", 1 - share if similarity else share).alias("cut"), F.min("distance").alias("lo"), F.max("distance").alias("hi"))
+    pairs = kept(found, "distances").where("a < b")
+    # The quantile comes from counts by ranges, so no task holds all distances.
+    at = exact_quantile(pairs, "distance", 1 - share if similarity else share)
+    cut = pairs.agg(F.lit(at).cast("double").alias("cut"), F.min("distance").alias("lo"), F.max("distance").alias("hi"))
     near = F.col("distance") >= F.col("cut") if similarity else F.col("distance") <= F.col("cut")
     gap = F.col("hi") - F.col("lo")
     strength = (F.col("distance") - F.col("lo")) / gap if similarity else (F.col("hi") - F.col("distance")) / gap

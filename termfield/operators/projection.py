@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,21 +90,17 @@ def _times(rows: DataFrame, basis: np.ndarray, width: int, transpose: bool):
         for b in batches:
             own, i, x, y = product(b)
             np.add.at(total, i, x[:, None] * y[own])
-        for a in range(0, width, BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([total[a : a + BLOCK].tobytes()], pa.binary())], names=["block", "sum"])
-
-    def add(key, table):
-        import pyarrow as pa
-
-        total = sum(np.frombuffer(x, float) for x in table.column("sum").to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "sum": pa.array([total.tobytes()], pa.binary())})
+        starts = list(range(0, width, BLOCK))
+        for a in starts:
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([total[a : a + BLOCK].tobytes()], pa.binary()), pa.array([TaskContext.get().partitionId()], pa.int32())], names=["block", "held", "share"])
 
     # Lists are never null for the tasks: an empty row is a zero vector.
     fit = rows.select("term", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("v", F.array().cast("array<double>")).alias("v"))
     if not transpose:
         return fit.mapInArrow(forward, "term string, vec array<double>")
-    parts = fit.mapInArrow(back, "block long, sum binary").groupBy("block").applyInArrow(add, "block long, sum binary")
-    found = {r["block"]: np.frombuffer(r["sum"], float) for r in parts.collect()}
+    # Sums of the tasks are added as they stream by.
+    parts = tiles.added(fit.mapInArrow(back, "block long, held binary, share int"))
+    found = {r["block"]: np.frombuffer(r["held"], float) for r in parts.collect()}
     return np.concatenate([found[a] for a in sorted(found)]).reshape(width, -1) if found else np.zeros((width, basis.shape[1]))
 
 

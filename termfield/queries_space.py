@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluation, maps, medoids, neighbours, scoring, tiles, trees
+from .operators import evaluation, graphs, maps, medoids, neighbours, nonnegative, scoring, tiles, trees
 from .operators.distances import distances
 from .plans import cooccurrence
 from .queries import FULL_SQL, PARTS_SQL, months, parts, query, rounded, table
@@ -143,3 +143,29 @@ def cooccurrence_span_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All order lines as one text of flags and suppliers, two before and three after, in ranges of 1,024."""
     t = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"), F.concat("l_returnflag", F.col("l_suppkey").cast("string")).alias("term"))
     return cooccurrence.in_span(t, left=2, right=3, block=1024).cells
+
+
+# -- graphs, quantiles, non-negative dimensions -------------------------------------------
+
+
+@query("SELECT round(quantile_cont(l_extendedprice, 0.1), 6) AS low, round(quantile_cont(l_extendedprice, 2.0 / 3), 6) AS high FROM lineitem")
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two quantiles of all prices, by counts of ranges that grow finer."""
+    t = table(spark, sf_dir, "lineitem").select("l_extendedprice")
+    found = [graphs.exact_quantile(t, "l_extendedprice", q, few=100) for q in (0.1, 2 / 3)]
+    return rounded(spark.createDataFrame([tuple(found)], "low double, high double"), "low", "high")
+
+
+@query()
+def graph_whispers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers in groups: their nearest suppliers by months say whom they belong to."""
+    m = months(spark, sf_dir)
+    near = neighbours.nearest_neighbours(m.cells, m.rows.select("term"), 5, convert=False)
+    return graphs.whispers(near.select(F.col("target").alias("a"), F.col("neighbour").alias("b"), F.col("distance").alias("weight")))
+
+
+@query()
+def project_nonnegative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers by months in three non-negative dimensions."""
+    got = nonnegative.reduce(months(spark, sf_dir), 3, rounds=5)
+    return got.vectors.select("term", F.posexplode("vec").alias("k", "value"))

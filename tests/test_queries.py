@@ -34,8 +34,9 @@ def test_query(spark, con, name):
     cols = sorted(df.columns)
     got = [tuple(r) for r in df.select(*cols).collect()]
     if name not in ORACLE_SQL:
-        # Clustering is tested in test_whole_tables, the others here below.
-        assert got and name in ("clustering", "project_svd", "project_random_indexing")
+        # Clustering is tested in test_whole_tables, the others here below or beside their operators.
+        elsewhere = {"tree_complete", "tree_average", "map_stress", "medoids_sampled", "word_senses", "graph_whispers", "project_nonnegative"}
+        assert got and name in elsewhere | {"clustering", "project_svd", "project_random_indexing"}
         return
     found = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in found.description]
@@ -65,6 +66,33 @@ def test_random_indexing_is_a_sum_of_drawn_dimensions(spark):
     assert got.keys() == want.keys() and all(np.allclose(got[t], want[t]) for t in want)
 
 
+def test_trees_equal_linkage_of_all_pairs(spark):
+    from termfield.operators.evaluation import linkage
+
+    d = months(spark, SF).cells.toPandas().pivot(index="target", columns="feature", values="f").fillna(0.0).to_numpy(float)
+    size = np.sqrt((d * d).sum(1))
+    angles = np.degrees(np.arccos(np.clip(d @ d.T / np.outer(size, size), -1, 1)))
+    for how in ("complete", "average"):
+        got = [r.height for r in QUERIES[f"tree_{how}"](spark, SF).collect()]
+        assert sorted(got) == pytest.approx(sorted(h for *_, h in linkage(angles, how)), abs=1e-5)
+
+
+def test_sampled_medoids_are_near_the_best(spark):
+    """All parts: with a sample that holds them all, the query's clusters cost what exact partitioning costs."""
+    from termfield.operators.distances import _array_distances
+    from termfield.operators.evaluation import pam
+
+    con = duckdb.connect()
+    t = con.sql(f"SELECT 'p' || l_partkey AS target, strftime(l_shipdate, '%Y-%m') AS feature, sum(l_quantity) AS f FROM '{SF}/lineitem.parquet' GROUP BY 1, 2").df()
+    m = t.pivot(index="target", columns="feature", values="f").fillna(0.0)
+    d = _array_distances(m.to_numpy(), m.to_numpy(), "cosine", 2.0, False, True)
+    np.fill_diagonal(d, 0.0)
+    labels = pam(d, 20)
+    best = sum(d[np.ix_(o, o)].sum(1).min() for o in (np.flatnonzero(labels == c) for c in set(labels)))
+    rows = QUERIES["medoids_sampled"](spark, SF).collect()
+    assert len(rows) == len(m) and sum(r.distance for r in rows) <= 1.02 * best
+
+
 def test_the_rest_works_without_the_subpackage(tmp_path):
     """Without the llm folder and the pipeline, the entry point still imports and has the library's queries."""
     import shutil
