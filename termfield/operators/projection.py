@@ -3,7 +3,7 @@
 Rows of the matrix stay where they are.  SVD needs the right singular vectors only, found by
 subspace iteration: each round multiplies a bounded basis (features x dimensions, checked
 against ``limit``) by the matrix and its transpose inside the tasks and sums the products by
-blocks of features.
+blocks of features.  A larger basis stays in tables of blocks (:mod:`.tiles`).
 """
 
 from __future__ import annotations
@@ -147,7 +147,8 @@ def project(
     svd iterates until the singular values stand still, rsvd for ``q`` rounds, asvd takes the
     basis from a sample of rows; components whose singular value is lost in rounding are
     dropped.  ri is random indexing, ri+svd puts an SVD on it.  ``power`` weights dimensions by
-    sigma^power; 0 equalises them.
+    sigma^power; 0 equalises them.  A basis of more than ``limit`` numbers is neither sent to the tasks
+    nor held by the driver, but kept in tables of blocks.
     """
     method = named(method, ["svd", "rsvd", "asvd", "ri", "ri+svd"], "method") if method not in ("ri", "svd") else method
     if model.scores is not None:
