@@ -567,3 +567,19 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
     counts.keep_table(counts.running_counts(stream, "user_id", "event_type"), f"{folder}/table", f"{folder}/progress").awaitTermination()
     return counts.model_of(spark, f"{folder}/table").cells
+
+
+@query("""WITH E AS (SELECT user_id::VARCHAR AS target, event_type AS feature, cast(ts AS DATE) AS day FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL),
+L AS (SELECT target, feature FROM E WHERE day > (SELECT max(day) FROM E) - 10), M AS (SELECT target, feature, count(*)::DOUBLE AS f FROM L GROUP BY 1, 2)
+SELECT target, feature, f, sum(f) OVER (PARTITION BY target) AS target_f, sum(f) OVER (PARTITION BY feature) AS feature_f, sum(f) OVER () AS n FROM M""")
+def stream_kept_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model kept from a stream of events: cells, marginals and N of the newest ten days, after compaction."""
+    from .streaming import kept
+
+    folder = shared_folder(spark, "kept")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
+    counts = kept.kept_counts(stream, "user_id", "event_type", "ts")
+    kept.keep_model(counts, f"{folder}/table", f"{folder}/progress", keep=10, every=1).awaitTermination()
+    m = kept.kept_model(spark, f"{folder}/table", 10)
+    side = lambda info, key: info.select(F.col("term").alias(key), F.col("f").alias(f"{key}_f"))
+    return m.cells.join(side(m.rows, "target"), "target").join(side(m.cols, "feature"), "feature").withColumn("n", F.lit(m.N))
