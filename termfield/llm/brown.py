@@ -9,7 +9,7 @@ if the likelihood of the class bigrams has risen, else the share is halved.  Rou
 unit moves or a round gains less than ``tolerance`` of the likelihood.  The ``head`` most
 frequent units go first, by their bigrams with one another; all units are then placed beside
 them and rounds go on over all.  Words beyond the common ones then each get the class that
-their own neighbours make likeliest; words with less than ``least`` occurrences, whose few
+their own neighbours make likeliest, and transitions are recounted; words with less than ``least`` occurrences, whose few
 neighbours tell little, stay with their shape.
 
 Counting words and bigrams reads the whole corpus; unit bigrams are a table in Spark, and the
@@ -532,58 +532,88 @@ def in_filter(words: list[bytes], bits: np.ndarray) -> np.ndarray:
     return (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
 
 
-def tail_classes(docs: DataFrame, units: Units, cls: np.ndarray, counts: np.ndarray, least: int, bits: np.ndarray | None = None) -> DataFrame:
-    """(word, n, cls) of the words that are not common: each gets the class that suits its neighbours best.
+def tail_places(docs: DataFrame, units: Units, cls: np.ndarray, classes: int, bits: np.ndarray | None = None) -> DataFrame:
+    """(word, own, before, after, apart, next, k): how often words that are not common stand between which classes.
 
-    A neighbour that is itself not common counts as its shape's class.  Of a word at most
-    (classes + 1)² different pairs of neighbours' classes come together.  With ``bits``, a
-    :func:`word_filter`, only words in it (and some others) are looked at.
+    ``own`` is the class of the word's shape, which a neighbour that is not common counts as, too.
+    ``apart``: the word before is none of those looked at; ``next``: the word after, if it is one.
+    With ``bits``, a :func:`word_filter`, only words in it (and some others) are looked at; the
+    end of a text never is.
     """
-    classes = len(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((units.plain, cls, counts, bits))
+    shared = docs.sparkSession.sparkContext.broadcast((units.plain, cls, bits))
 
     def run(batches):
-        plain, cls, _, bits = shared.value
+        plain, cls, bits = shared.value
         units = Units(*plain)
         number, last = units.numbering(), int(cls[units.of(END)])
         for b in slices(batches):
             ws, ends = stream(b.column(0).to_pylist())
             x = numbers(ws, number)
-            c = cls[x].astype(np.int64)
-            at = np.flatnonzero(x >= number.first)
-            word = [ws[i] for i in at.tolist()]
+            c = cls[x].astype(np.int32)
+            wanted = x >= number.first
+            wanted[ends - 1] = False
             if bits is not None:
-                wanted = in_filter(word, bits)
-                at, word = at[wanted], [w for w, y in zip(word, wanted.tolist(), strict=True) if y]
-            follows = np.append(c[1:], classes)
-            # Nothing follows the end of a text.
-            follows[ends - 1] = classes
-            pair = np.concatenate([[last], c[:-1]])[at] * (classes + 1) + follows[at]
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(pair, pa.int32())], names=["word", "pair"])
+                at = np.flatnonzero(wanted)
+                wanted[at] = in_filter([ws[i] for i in at.tolist()], bits)
+            at = np.flatnonzero(wanted)
+            # An end follows each last word, so there is a next token; what stands before a first word is an end.
+            before, follows = np.concatenate([[last], c[:-1]]).astype(np.int32), wanted[at + 1]
+            apart = ~np.concatenate([[False], wanted[:-1]])[at]
+            word = pa.array([ws[i] for i in at.tolist()], pa.binary())
+            after = pa.array([ws[i + 1] if f else None for i, f in zip(at.tolist(), follows.tolist(), strict=True)], pa.binary())
+            fields = [word, pa.array(c[at]), pa.array(before[at]), pa.array(c[at + 1]), pa.array(apart), after]
+            yield pa.RecordBatch.from_arrays(fields, names=["word", "own", "before", "after", "apart", "next"])
+
+    schema = "word binary, own int, before int, after int, apart boolean, next binary"
+    return docs.select(bytes_of(docs)).mapInArrow(run, schema).groupBy("word", "own", "before", "after", "apart", "next").agg(F.count("*").alias("k"))
+
+
+def tail_classes(places: DataFrame, counts: np.ndarray, least: int) -> DataFrame:
+    """(word, n, cls) of the words of :func:`tail_places`: each that occurs ``least`` times gets the class that suits its neighbours best.
+
+    Of a word at most classes² different pairs of neighbours' classes come together.
+    """
+    classes = len(counts)
+    shared = places.sparkSession.sparkContext.broadcast(counts)
 
     def choose(batches):
-        plain, cls, counts, _ = shared.value
-        units = Units(*plain)
         for b in slices(batches, 4096):
-            pairs = b.column(2)
+            pairs = b.column("pairs")
             many = np.diff(pairs.offsets.to_numpy())
-            flat = pairs.flatten()
-            pair, n = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(float)
-            row = np.repeat(np.arange(len(many)), many)
-            left, right = pair // (classes + 1), pair % (classes + 1)
-            before = np.bincount(row * classes + left, n, len(many) * classes).reshape(-1, classes)
-            has = right < classes
-            after = np.bincount((row * classes + right)[has], n[has], len(many) * classes).reshape(-1, classes)
+            left, right, n = (pairs.flatten().field(i).to_numpy() for i in range(3))
+            row = np.repeat(np.arange(len(many)), many) * classes
+            before, after = (np.bincount(row + side, n.astype(float), len(many) * classes).reshape(-1, classes) for side in (left, right))
             # The word's tokens are counted in its shape's class.
-            old = cls[[units.of(w) for w in b.column(0).to_pylist()]].astype(int)
-            best = np.where(b.column(1).to_numpy() >= least, quick_gains(old, before, after, counts).argmax(1), old)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.int32())], names=["word", "n", "cls"])
+            old = b.column("own").to_numpy().astype(int)
+            best = np.where(b.column("n").to_numpy() >= least, quick_gains(old, before, after, shared.value).argmax(1), old)
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(best, pa.int32())], names=["word", "n", "cls"])
 
-    met = docs.select(bytes_of(docs)).mapInArrow(run, "word binary, pair int").groupBy("word", "pair").agg(F.count("*").alias("k"))
-    met = met.groupBy("word").agg(F.sum("k").alias("n"), F.collect_list(F.struct("pair", "k")).alias("pairs"))
+    met = places.groupBy("word", "own", "before", "after").agg(F.sum("k").alias("k"))
+    met = met.groupBy("word", "own").agg(F.sum("k").alias("n"), F.collect_list(F.struct("before", "after", "k")).alias("pairs"))
     return met.mapInArrow(choose, "word binary, n long, cls int")
 
 
+def recounted(counts: np.ndarray, places: DataFrame, tail: DataFrame) -> np.ndarray:
+    """Class bigram counts after words of :func:`tail_places` have moved to their classes in ``tail`` (word, cls).
+
+    A bigram of two such words is counted where the first of them stands, so each is moved once.
+    At most classes² sums come to the driver.
+    """
+    now = places.join(tail.select("word", "cls"), "word", "left").withColumn("cls", F.coalesce("cls", "own"))
+    pair = lambda a, b, n: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), n.alias("n"))
+    k = F.col("k")
+    left = now.where("apart and cls <> own").select(F.explode(F.array(pair("before", "own", -k), pair("before", "cls", k))).alias("x"))
+    # Where no such word follows there is nothing to look up.
+    ahead = now.where("next is not null").join(tail.select(F.col("word").alias("next"), F.col("cls").alias("then")), "next", "left")
+    both = [now.where("next is null").withColumn("then", F.col("after")), ahead.withColumn("then", F.coalesce("then", "after"))]
+    for x in both:
+        left = left.unionByName(x.where("cls <> own or then <> after").select(F.explode(F.array(pair("own", "after", -k), pair("cls", "then", k))).alias("x")))
+    out = counts.copy()
+    for r in left.groupBy("x.a", "x.b").agg(F.sum("x.n").alias("n")).collect():
+        out[r["a"], r["b"]] += r["n"]
+    return out
+
+
 def shape_classes(words: DataFrame, units: Units, cls: np.ndarray) -> DataFrame:
     """(word, n, cls) of words that stay with their shape's class; texts are not read."""
     shared = words.sparkSession.sparkContext.broadcast((units.plain, cls))
@@ -612,13 +642,18 @@ def learn(docs: DataFrame, training: Column, classes: int = 64, common: int = 1
     table = written(bigrams(rows, units, hot), "bigrams")
     cls, counts, history = cluster(table, units, classes)
     frequent = words.where(F.col("n") >= least).count()
-    # Words of fewer occurrences don't leave their shape's class.
-    tail = shape_classes(words.where(F.col("n") < least), units, cls)
+    # Words of fewer occurrences don't leave their shape's class, nor does the end of a text.
+    stays = F.col("n") < least
+    if END not in units.numbering():
+        stays = stays | (F.col("word") == F.lit(END))
+    tail = shape_classes(words.where(stays), units, cls)
     if frequent > len(top):
         word, n_last = top[-1]
         beyond = (F.col("n") < n_last) | ((F.col("n") == n_last) & (F.col("word") > F.lit(word)))
-        bits = word_filter(words.where((F.col("n") >= least) & beyond))
-        tail = tail.unionByName(tail_classes(rows, units, cls, counts, least, bits).where(F.col("n") >= least))
+        places = written(tail_places(rows, units, cls, classes, word_filter(words.where((F.col("n") >= least) & beyond))), "places")
+        moved = written(tail_classes(places, counts, least).where(F.col("n") >= least), "moved")
+        counts = recounted(counts, places, moved)
+        tail = tail.unionByName(moved)
     tail = written(tail, "tail")
     discard(spark, since)
     size = np.bincount(cls[: len(n)], n, classes) if n else np.zeros(classes)

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from termfield.llm import brown
@@ -77,6 +78,22 @@ def test_score_against_plain_sum(spark):
     assert unknown > 100
 
 
+@pytest.mark.parametrize("common,least", [(500, 3), (6, 2), (2, 1)])
+def test_transitions_are_those_of_the_final_classes(spark, common, least):
+    """Class bigrams counted token by token with the classes that all words have in the end, also where few words are common."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").orderBy("text").limit(60)
+    m, tail = brown.learn(docs, F.lit(True), classes=8, common=common, buckets=32, least=least)
+    where = {bytes(r["word"]): r["cls"] for r in tail.collect()}
+    moved = sum(k != m.cls[m.units.of(w)] for w, k in where.items())
+    counts = np.zeros((8, 8))
+    for d in docs.collect():
+        ids = [class_of(m, where, brown.END if w is None else w) for w in [None, *words_of(d.text)]]
+        np.add.at(counts, (ids[:-1], ids[1:]), 1)
+    assert moved > 50 and counts.sum() == m.tokens and (counts.sum(0) == m.class_tokens).all()
+    share = (m.class_tokens + 0.5) / (m.class_tokens + 0.5).sum()
+    assert np.allclose(10**m.log_move, (counts + 4.0 * share) / (counts.sum(1, keepdims=True) + 4.0), rtol=1e-9)
+
+
 def test_bigrams_are_those_of_the_texts(spark):
     """Unit bigrams, also where units are summed in salted groups and tables are flushed early."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").repartition(5)
@@ -170,10 +187,12 @@ def test_rare_words_keep_their_shape_without_another_pass(spark, tables):
     cls = (np.arange(units.size) % 7).astype(np.int16)
     rows = lambda df: {(bytes(r["word"]), r["n"], r["cls"]) for r in df.collect()}
     short = rows(brown.shape_classes(words.where("n < 5"), units, cls))
-    assert short and short == rows(brown.tail_classes(docs, units, cls, np.ones((7, 7)), 5))
+    # The end of a text is no word to move.
+    end = {r for r in short if r[0] == brown.END}
+    assert short and short == rows(brown.tail_classes(brown.tail_places(docs, units, cls, 7), np.ones((7, 7)), 5)) | end
     # Fewer common words: those beyond that are frequent, through a filter.
     units, counts = brown.Units(sorted(top)[::3], 32), np.random.default_rng(1).integers(1, 50, (7, 7)).astype(float)
-    every = rows(brown.tail_classes(docs, units, cls, counts, 5))
+    every = rows(brown.tail_classes(brown.tail_places(docs, units, cls, 7), counts, 5))
     frequent = words.where("n >= 5").where(~F.col("word").isin(units.common))
-    few = rows(brown.tail_classes(docs, units, cls, counts, 5, brown.word_filter(frequent)))
+    few = rows(brown.tail_classes(brown.tail_places(docs, units, cls, 7, brown.word_filter(frequent)), counts, 5))
     assert {r for r in every if r[1] >= 5} == {r for r in few if r[1] >= 5} and len(few) < 0.7 * len(every)
