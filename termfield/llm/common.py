@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -26,19 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-#: Paths of the tables written so far, and names of those in the catalog.
-_PLACES: list[tuple[str, str | None]] = []
+class _Places(threading.local):
+    """Paths of the tables a thread has written, and names of those in the catalog: queries in other threads have their own."""
+
+    def __init__(self) -> None:
+        self.listed: list[tuple[str, str | None]] = []
+
+
+_PLACES = _Places()
 
 
 def place() -> int:
-    """How many tables have been written; see :func:`discard`."""
-    return len(_PLACES)
+    """How many tables this thread has written; see :func:`discard`."""
+    return len(_PLACES.listed)
 
 
 def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
-    """Delete the tables written since ``since``, but for the last ``keep``, which no longer need the others."""
-    spent = _PLACES[since : len(_PLACES) - keep]
-    del _PLACES[since : len(_PLACES) - keep]
+    """Delete the tables this thread has written since ``since``, but for the last ``keep``, which no longer need the others."""
+    listed = _PLACES.listed
+    spent = listed[since : len(listed) - keep]
+    del listed[since : len(listed) - keep]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path, name in spent:
         if name is not None:
@@ -73,7 +81,7 @@ def written(df: DataFrame, tag: str, batch_bytes: int = 4 << 20, codec: str = "s
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with small_batches(spark, batch_bytes):
         df.write.option("compression", codec).parquet(path)
-    _PLACES.append((path, None))
+    _PLACES.listed.append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,7 +91,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
     name = f"{tag}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
-    _PLACES.append((path, name))
+    _PLACES.listed.append((path, name))
     return spark.table(name)
 
 
