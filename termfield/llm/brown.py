@@ -26,13 +26,14 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,44 +49,74 @@ END = b" "
 SLOTS, OTHER = 16, 27
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case, then one end."""
-    words = text.lower().split()
-    words.append(END)
-    return words
+#: Bytes of ASCII that are no letters, and those that are digits.
+NO_LETTERS, DIGITS = bytes(c for c in range(128) if not chr(c).isalpha()), b"0123456789"
 
 
-def shape_bucket(word: bytes, buckets: int) -> int:
-    """A stable group of rare words: last letters, and what else is in the word."""
-    text = word.decode("utf-8", "replace")
-    letters = "".join(filter(str.isalpha, text))
-    odd = 0 if letters == text else 1 + (text[-1:] in ".,;:") + 2 * any(map(str.isdigit, text)) + 4 * (text[-3:].count(text[-1:]) == 3)
+@lru_cache(1 << 16)
+def _ending(letters: str, odd: int) -> int:
     h = 2166136261
-    for c in letters[-2:] + chr(48 + odd):
+    for c in letters + chr(48 + odd):
         h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
-    return h % buckets
+    return h
+
+
+def shape_bucket(word: bytes, buckets: int) -> int:
+    """A stable group of rare words: last letters, and what else is in the word."""
+    try:
+        text, letters = word.decode(), word.translate(None, NO_LETTERS).decode()
+    except UnicodeDecodeError:
+        text = letters = word.decode("utf-8", "replace")
+    if letters and not letters.isalpha():
+        letters = "".join(filter(str.isalpha, letters))
+    odd = 0
+    if len(letters) < len(text):
+        digits = len(word.translate(None, DIGITS)) < len(word) or (not text.isascii() and any(map(str.isdigit, text)))
+        odd = 1 + (text[-1:] in ".,;:") + 2 * digits + 4 * (text[-3:].count(text[-1:]) == 3)
+    return _ending(letters[-2:], odd) % buckets
 
 
 def bytes_of(docs: DataFrame) -> Column:
     return F.col("text").cast("string").cast("binary").alias("text")
 
 
+#: Bytes of texts that are split at once; a lookup table is built for each lot.
+LOT = 8 << 20
+
+
+def lots(batches: Iterator[pa.RecordBatch], column: int = 0, size: int = LOT) -> Iterator[list[tuple[pa.RecordBatch, pa.ListArray]]]:
+    """Short slices of rows with their tokens, as many as hold ``size`` bytes; only tokens are copies."""
+    held, many = [], 0
+    for b in slices(batches):
+        held.append((b, tokens(b.column(column))))
+        many += b.nbytes
+        if many >= size:
+            yield held
+            held, many = [], 0
+            pa.default_memory_pool().release_unused()
+    if held:
+        yield held
+
+
+def tokens(texts: pa.Array) -> pa.ListArray:
+    """Words between ASCII white space, A-Z in lower case, then one end, here the empty word; nulls are empty."""
+    low = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.view(pa.string()), "")))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(low, ""), "", pc.binary_join_element_wise(low, "", " ")))
+
+
+def words_of(lot: list[tuple[pa.RecordBatch, pa.ListArray]]) -> pa.ChunkedArray:
+    return pa.chunked_array([x.flatten().view(pa.binary()) for _, x in lot], pa.binary())
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all tokens of ``docs`` (text)."""
 
     def run(batches):
-        seen: Counter[bytes] = Counter()
-
-        def flush():
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
-            seen.clear()
-
-        for b in slices(batches):
-            for text in b.column(0).to_pylist():
-                seen.update(tokens(text or b""))
-            if len(seen) > 400_000:
-                yield from flush()
-        yield from flush()
+        for lot in lots(batches):
+            found = pc.value_counts(words_of(lot))
+            word = found.field("values")
+            word = pc.if_else(pc.equal(word, b""), END, word)
+            yield pa.RecordBatch.from_arrays([word, found.field("counts")], names=["word", "n"])
 
     return docs.select(bytes_of(docs)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -112,6 +143,11 @@ class Units:
         """Units are kept in blocks of at most SLOTS; the most frequent ones are in different blocks."""
         return -(-self.size // SLOTS)
 
+    @property
+    def end(self) -> int:
+        """The unit of the end token."""
+        return self.common.index(END) if END in self.common else len(self.common) + shape_bucket(END, self.buckets)
+
     def numbering(self) -> Numbering:
         """Words to units; one a worker process."""
         return remembered("brown_units", (self.name,), lambda: Numbering(self))
@@ -121,35 +157,44 @@ class Units:
 
 
 class Numbering(dict):
-    """Units of the common words; other words go to their shape's, which is remembered up to a bound."""
+    """Units of the common words; other words go to their shape's."""
 
     def __init__(self, units: Units):
         super().__init__(zip(units.common, range(len(units.common)), strict=True))
-        self.first, self.buckets, self.rare = len(units.common), units.buckets, {}
+        self.first, self.buckets = len(units.common), units.buckets
 
     def __missing__(self, word: bytes) -> int:
-        u = self.rare.get(word)
-        if u is None:
-            if len(self.rare) > 200_000:
-                self.rare.clear()
-            u = self.rare[word] = self.first + shape_bucket(word, self.buckets)
-        return u
+        return self.first + shape_bucket(word, self.buckets)
 
 
-def stream(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
-    """(tokens of all texts, one after the other; where each text ends)."""
-    words: list[bytes] = []
-    ends = []
-    for t in texts:
-        if t:
-            words += t.lower().split()
-        words.append(END)
-        ends.append(len(words))
-    return words, np.array(ends, dtype=np.int64)
-
-
-def numbers(words: list[bytes], number: Numbering) -> np.ndarray:
-    return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+@dataclass
+class Coded:
+    """Some rows with their tokens, one after the other, as units."""
+
+    rows: pa.RecordBatch
+    unit: np.ndarray
+    ends: np.ndarray  # where each text ends
+    at: np.ndarray  # tokens that are not common
+    words: list[bytes]  # and their words
+
+
+def coded(batches: Iterator[pa.RecordBatch], units: Units, column: int = 0) -> Iterator[Coded]:
+    """The tokens of all texts: common words are looked up for a lot of texts at once, rows come in short slices."""
+    first = len(units.common)
+    known = remembered("brown_words", (units.name,), lambda: pa.array([b"" if w == END else w for w in units.common], pa.binary()))
+    for lot in lots(batches, column):
+        flat = words_of(lot)
+        units_of = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy()
+        rows, ends = [b for b, _ in lot], [np.cumsum(pc.list_value_length(x).to_numpy(), dtype=np.int64) for _, x in lot]
+        lot.clear()
+        parts = np.split(units_of, np.cumsum([end[-1] for end in ends])[:-1])
+        rare = [x.take(pa.array(np.flatnonzero(k < 0))).to_pylist() for x, k in zip(flat.chunks, parts, strict=True)]
+        del flat
+        for b, end, k, words in zip(rows, ends, parts, rare, strict=True):
+            unit, words = k.astype(np.int64), [w or END for w in words]
+            at = np.flatnonzero(unit < 0)
+            unit[at] = np.fromiter((first + shape_bucket(w, units.buckets) for w in words), np.int64, len(words))
+            yield Coded(b, unit, end, at, words)
 
 
 def packed(data: np.ndarray, many: np.ndarray) -> pa.Array:
@@ -168,47 +213,55 @@ def _rows(key: np.ndarray, n: np.ndarray, side: int, salt: int) -> pa.RecordBatc
     Keys are kept as steps, a column for each of their bytes, and counts as single bytes with
     those from 255 on apart: most bytes are alike and compress.
     """
-    block = key >> np.int64(OTHER + 4)
-    cuts = np.flatnonzero(np.diff(block, prepend=-1))
+    cuts = np.flatnonzero(np.diff(key >> np.int64(OTHER + 4), prepend=-1))
     many = np.diff(np.append(cuts, len(key)))
-    local = (key & np.int64((1 << OTHER + 4) - 1)).astype(np.int64)
-    steps = np.diff(local, prepend=0)
-    steps[cuts] = local[cuts]
+    steps = np.diff(key, prepend=0)
+    steps[cuts] = key[cuts] & np.int64((1 << OTHER + 4) - 1)
     planes = steps.astype("<u4").view(np.uint8).reshape(-1, 4)
-    large = n >= 255
-    owner = np.repeat(np.arange(len(cuts)), many)
-    cols = [pa.array(block[cuts].astype(np.int32)), pa.array(np.full(len(cuts), side, np.int32)), pa.array(np.full(len(cuts), salt, np.int32))]
+    del steps
+    large = np.flatnonzero(n >= 255)
+    owner = np.searchsorted(cuts, large, side="right") - 1
+    cols = [pa.array((key[cuts] >> np.int64(OTHER + 4)).astype(np.int32)), pa.array(np.full(len(cuts), side, np.int32)), pa.array(np.full(len(cuts), salt, np.int32))]
     cols += [packed(np.ascontiguousarray(planes[:, i]), many) for i in range(4)]
-    cols += [packed(np.minimum(n, 255).astype(np.uint8), many), packed(n[large].astype("<i8"), np.bincount(owner[large], minlength=len(cuts)))]
+    cols += [packed(np.minimum(n, 255).astype(np.uint8), many), packed(n[large].astype("<i8"), np.bincount(owner, minlength=len(cuts)))]
     return pa.RecordBatch.from_arrays(cols, names=NAMES)
 
 
-def _joined(column) -> tuple[np.ndarray, np.ndarray]:
-    """(all bytes of a binary column, how many in each row)."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values], dtype=np.int64)
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of a binary column without nulls, how many in each row)."""
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column), np.int64)
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], np.diff(at).astype(np.int64)
 
 
 def entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row of each entry, slot, other unit, count) of a batch of packed rows."""
     at = {x: b.schema.get_field_index(x) for x in ("k0", "k1", "k2", "k3", "low", "high")}
     low, many = _joined(b.column(at["low"]))
-    steps = np.zeros(len(low), dtype=np.int64)
+    planes = np.empty((len(low), 4), np.uint8)
     for i in range(4):
-        steps |= _joined(b.column(at[f"k{i}"]))[0].astype(np.int64) << (8 * i)
-    total = np.cumsum(steps)
-    starts = np.cumsum(many) - many
-    base = np.where(many > 0, total[np.minimum(starts, max(0, len(total) - 1))] - steps[np.minimum(starts, max(0, len(total) - 1))], 0) if len(total) else np.zeros(len(many), np.int64)
-    local = total - np.repeat(base, many)
+        planes[:, i] = _joined(b.column(at[f"k{i}"]))[0]
+    # The first step of a row is its first key, so a row's keys are sums from its start.
+    total = np.cumsum(planes.view("<u4").ravel(), dtype=np.int64)
+    ends = np.cumsum(many)
+    before = np.concatenate([[0], total])[ends - many]
+    local = total - np.repeat(before, many)
     n = low.astype(np.int64)
-    n[n == 255] = _joined(b.column(at["high"]))[0].view("<i8")
+    n[low == 255] = _joined(b.column(at["high"]))[0].view("<i8")
     return np.repeat(np.arange(len(many)), many), local >> OTHER, local & ((1 << OTHER) - 1), n
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key; the lists are emptied, since what they hold is large."""
     key, n = np.concatenate(keys), np.concatenate(counts)
-    by = np.argsort(key, kind="stable")
-    key, n = key[by], n[by]
+    keys.clear()
+    counts.clear()
+    by = np.argsort(key)
+    key = key[by]
+    n = n[by]
+    del by
     cuts = np.flatnonzero(np.diff(key, prepend=-1))
     return key[cuts], np.add.reduceat(n, cuts) if len(cuts) else n
 
@@ -226,9 +279,10 @@ def bigrams(docs: DataFrame, units: Units, hot: np.ndarray, gather: int = 1_000_
         return unit % blocks * SLOTS + unit // blocks
 
     def run(batches):
-        number, salt = Units(*shared.value).numbering(), TaskContext.get().partitionId()
+        units, salt = Units(*shared.value), TaskContext.get().partitionId()
         keys, counts, held, pieces, raw = [], [], 0, [], 0
-        last = np.array([number[END]])
+        last = np.array([units.end])
+        places = place_of(np.arange(size)) << OTHER
 
         def fold():
             nonlocal raw
@@ -241,17 +295,18 @@ def bigrams(docs: DataFrame, units: Units, hot: np.ndarray, gather: int = 1_000_
 
         def flush():
             key, n = _summed(keys, counts)
-            a, b = key // size, key % size
-            for side, x in ((1, place_of(a) << OTHER | b), (0, place_of(b) << OTHER | a)):
-                by = np.argsort(x, kind="stable")
-                yield _rows(x[by], n[by], side, salt)
-            keys.clear()
-            counts.clear()
-
-        for b in slices(batches, 128):
+            yield _rows(key, n, 1, salt)
+            place, b = key >> OTHER, key & ((1 << OTHER) - 1)
+            x = places[b] | (place % SLOTS * blocks + place // SLOTS)
+            by = np.argsort(x)
+            del place, b, key
+            x = x[by]
+            yield _rows(x, n[by], 0, salt)
+
+        for c in coded(batches, units):
             # A text's first token follows an end, as it does in the stream.
-            x = np.concatenate([last, numbers(stream(b.column(0).to_pylist())[0], number)])
-            pieces.append(x[:-1] * size + x[1:])
+            x = np.concatenate([last, c.unit])
+            pieces.append(places[x[:-1]] | x[1:])
             raw += len(x)
             if raw > gather // 2:
                 held += fold()
@@ -275,7 +330,9 @@ def bigrams(docs: DataFrame, units: Units, hot: np.ndarray, gather: int = 1_000_
             for side, parts in held.items():
                 if not parts:
                     continue
-                key, n = _summed([k for k, _ in parts], [n for _, n in parts])
+                keys, sums = [k for k, _ in parts], [n for _, n in parts]
+                parts.clear()
+                key, n = _summed(keys, sums)
                 cut = len(key) if last else int(np.searchsorted(key, top << OTHER + 4))
                 held[side] = [(key[cut:], n[cut:])] if cut < len(key) else []
                 many += len(key) - cut
@@ -366,12 +423,18 @@ def contexts(b: pa.RecordBatch, cls: np.ndarray, classes: int, blocks: int) -> t
     row, slot, other, n = entries(b)
     n = n.astype(float)
     block, side = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy().astype(np.int64)
-    unit = slot * blocks + block[row]
-    units, at = np.unique(unit, return_inverse=True)
-    wide = classes + 1
-    both = np.bincount((2 * at + side[row]) * wide + cls[other], n, 2 * len(units) * wide).reshape(len(units), 2, wide)[:, :, :classes]
-    same = (unit == other) & (side[row] == 1)
-    return units, both[:, 0], both[:, 1], np.bincount(at[same], n[same], len(units))
+    # Rows of a block lie together, so its units are numbered without sorting the entries.
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    lot = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(block))))
+    units = (np.arange(SLOTS) * blocks + block[first][:, None]).ravel()
+    at, wide = (lot * SLOTS)[row] + slot, classes + 1
+    both = np.bincount(2 * wide * at + (side * wide)[row] + cls[other], n, 2 * len(units) * wide).reshape(len(units), 2, wide)
+    same = np.flatnonzero(units[at] == other)
+    same = same[side[row[same]] == 1]
+    itself = np.bincount(at[same], n[same], len(units))
+    met = np.flatnonzero(both.any((1, 2)))
+    met = met[np.argsort(units[met])]
+    return units[met], both[met, 0, :classes], both[met, 1, :classes], itself[met]
 
 
 def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,22 +608,20 @@ def tail_places(docs: DataFrame, units: Units, cls: np.ndarray, classes: int, bi
     def run(batches):
         plain, cls, bits = shared.value
         units = Units(*plain)
-        number, last = units.numbering(), int(cls[units.of(END)])
-        for b in slices(batches):
-            ws, ends = stream(b.column(0).to_pylist())
-            x = numbers(ws, number)
-            c = cls[x].astype(np.int32)
-            wanted = x >= number.first
-            wanted[ends - 1] = False
-            if bits is not None:
-                at = np.flatnonzero(wanted)
-                wanted[at] = in_filter([ws[i] for i in at.tolist()], bits)
-            at = np.flatnonzero(wanted)
+        last = int(cls[units.end])
+        for x in coded(batches, units):
+            c, at, ws = cls[x.unit].astype(np.int32), x.at, x.words
+            keep = np.ones(len(at), bool) if bits is None else in_filter(ws, bits)
+            keep &= np.isin(at, x.ends - 1, invert=True)
+            at, ws = at[keep], [ws[i] for i in np.flatnonzero(keep).tolist()]
+            wanted = np.zeros(len(c), bool)
+            wanted[at] = True
             # An end follows each last word, so there is a next token; what stands before a first word is an end.
             before, follows = np.concatenate([[last], c[:-1]]).astype(np.int32), wanted[at + 1]
             apart = ~np.concatenate([[False], wanted[:-1]])[at]
-            word = pa.array([ws[i] for i in at.tolist()], pa.binary())
-            after = pa.array([ws[i + 1] if f else None for i, f in zip(at.tolist(), follows.tolist(), strict=True)], pa.binary())
+            word = pa.array(ws, pa.binary())
+            # A wanted word that follows is the next of those wanted.
+            after = pa.array([ws[i + 1] if f else None for i, f in enumerate(follows.tolist())], pa.binary())
             fields = [word, pa.array(c[at]), pa.array(before[at]), pa.array(c[at + 1]), pa.array(apart), after]
             yield pa.RecordBatch.from_arrays(fields, names=["word", "own", "before", "after", "apart", "next"])
 
@@ -621,8 +682,9 @@ def shape_classes(words: DataFrame, units: Units, cls: np.ndarray) -> DataFrame:
     def run(batches):
         plain, cls = shared.value
         units = Units(*plain)
+        number = units.numbering()
         for b in slices(batches, 4096):
-            own = cls[[units.of(w) for w in b.column("word").to_pylist()]].astype(np.int32)
+            own = cls[[number[w] for w in b.column("word").to_pylist()]].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(own, pa.int32())], names=["word", "n", "cls"])
 
     return words.select("word", "n").mapInArrow(run, "word binary, n long, cls int")
@@ -681,30 +743,28 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
     def run(batches):
         plain, cls, n, discount, floor, move, size = shared.value
         units = Units(*plain)
-        number, row_id = units.numbering(), TaskContext.get().partitionId() << 33
-        end = int(cls[number[END]])
+        first, row_id = len(units.common), TaskContext.get().partitionId() << 33
+        end = int(cls[units.end])
         # By unit; units of rare words add nothing here.
-        few = np.zeros(units.buckets)
+        few, flat = np.zeros(units.buckets), move.ravel()
         base = np.concatenate([np.log10(n + 0.5) - floor, few])
         emit = np.concatenate([np.log10(np.maximum(n - discount, 1e-9)) - np.log10(size)[cls[: len(n)]], few])
         names = ["row_id", "doc_id", "n_tokens", "n_common", "base", "total", "rare"]
-        for b in slices(batches):
-            ws, ends = stream(b.column(1).to_pylist())
-            x = numbers(ws, number)
+        for part in coded(batches, units, 1):
+            b, x, ends, at = part.rows, part.unit, part.ends, part.at
             starts = np.concatenate([[0], ends[:-1]])
-            known, c = x < number.first, cls[x].astype(np.int64)
+            known, c = x < first, cls[x].astype(np.int64)
             # What stands before a text's first token is an end, which is common.
             prev = np.concatenate([[end], c[:-1]])
             prev[starts] = end
             before = np.concatenate([[True], known[:-1]])
             before[starts] = True
-            steps = np.where(known & before, move[prev, c], 0.0) + emit[x]
+            steps = np.where(known & before, flat[prev * len(move) + c], 0.0) + emit[x]
             sums = [np.add.reduceat(v, starts) for v in (known.astype(np.int64), base[x], steps)]
             # Steps to and from a rare word wait for its class; -1: the neighbour is rare too, or none follows.
-            at = np.flatnonzero(~known)
             after = np.append(np.where(known, c, -1)[1:], -1)
             after[ends - 1] = -1
-            fields = [pa.array(np.where(before, prev, -1)[at], pa.int32()), pa.array(c[at], pa.int32()), pa.array(after[at], pa.int32()), pa.array([ws[i] for i in at.tolist()], pa.binary())]
+            fields = [pa.array(np.where(before, prev, -1)[at], pa.int32()), pa.array(c[at], pa.int32()), pa.array(after[at], pa.int32()), pa.array(part.words, pa.binary())]
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.searchsorted(at, ends)]), pa.int32()), pa.StructArray.from_arrays(fields, names=["before", "shape", "after", "word"]))
             ids = pa.array(np.arange(row_id, row_id + b.num_rows))
             row_id += b.num_rows
@@ -717,8 +777,9 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
     order = Window.partitionBy("row_id").orderBy("at")
     rare = rare.withColumn("before", F.when(F.col("before") < 0, F.lag("cls").over(order)).otherwise(F.col("before")))
     # Tables of classes² and of classes numbers.
-    steps = spark.createDataFrame([(i, j, float(m.log_move[i, j])) for i in range(classes) for j in range(classes)], "i int, j int, step double")
-    of = spark.createDataFrame([(i, float(math.log10(max(1, m.class_tokens[i]))), float(m.log_unknown[i])) for i in range(classes)], "cls int, size double, unknown double")
+    k = np.arange(classes, dtype=np.int32)
+    steps = spark.createDataFrame(pa.table({"i": np.repeat(k, classes), "j": np.tile(k, classes), "step": m.log_move.ravel()}))
+    of = spark.createDataFrame(pa.table({"cls": k, "size": np.log10(np.maximum(1, m.class_tokens)), "unknown": m.log_unknown}))
     rare = rare.join(F.broadcast(steps.toDF("before", "cls", "to")), ["before", "cls"], "left").join(F.broadcast(steps.toDF("cls", "after", "on")), ["cls", "after"], "left")
     rare = rare.join(F.broadcast(of), "cls")
     emit = F.when(F.col("n").isNull(), F.col("unknown")).otherwise(F.log10(F.col("n") - F.lit(m.discount)) - F.col("size"))

@@ -196,3 +196,50 @@ def test_rare_words_keep_their_shape_without_another_pass(spark, tables):
     frequent = words.where("n >= 5").where(~F.col("word").isin(units.common))
     few = rows(brown.tail_classes(brown.tail_places(docs, units, cls, 7, brown.word_filter(frequent)), counts, 5))
     assert {r for r in every if r[1] >= 5} == {r for r in few if r[1] >= 5} and len(few) < 0.7 * len(every)
+
+
+ODD = [None, "", " ", "\t\n", " A b", "b \x0b\x0c\r c ", "x\x1cy\x85z w", "\x00 É ﬁ 漢字 ٣², a...", "end of THE the"]
+
+
+def test_lots_of_texts_are_looked_up_at_once(monkeypatch):
+    """Tokens, units and rare words are those of a plain walk; one lookup serves a lot, also where the end is not common."""
+    import types
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    calls = []
+    find = lambda *a, **b: calls.append(1) or pc.index_in(*a, **b)
+    monkeypatch.setattr(brown, "pc", types.SimpleNamespace(**{k: getattr(pc, k) for k in dir(pc)} | {"index_in": find}))
+    texts = [t and t.encode() for t in ODD * 200] + [b"\xc3 \xff\xa9A. \xc3"]
+    for common in ([brown.END, b"b", b"the"], [b"b"]):
+        units = brown.Units(common, 64)
+        batches = pa.Table.from_arrays([pa.array(texts, pa.binary())], names=["text"]).to_batches(max_chunksize=100)
+        got, rare = [], []
+        for c in brown.coded(iter(batches), units):
+            assert c.rows.num_rows <= 256 and len(c.unit) == c.ends[-1] and len(c.at) == len(c.words)
+            got += [x.tolist() for x in np.split(c.unit, c.ends[:-1])]
+            rare += c.words
+        plain = [(t or b"").lower().split() + [brown.END] for t in texts]
+        assert got == [[units.of(w) for w in ws] for ws in plain]
+        assert rare == [w for ws in plain for w in ws if w not in common]
+    assert len(calls) == 2
+
+
+def test_shapes_are_hashed_once_an_ending():
+    def plain(word, buckets):
+        text = word.decode("utf-8", "replace")
+        letters = "".join(filter(str.isalpha, text))
+        odd = 0 if letters == text else 1 + (text[-1:] in ".,;:") + 2 * any(map(str.isdigit, text)) + 4 * (text[-3:].count(text[-1:]) == 3)
+        h = 2166136261
+        for c in letters[-2:] + chr(48 + odd):
+            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        return h % buckets
+
+    words = [w.encode() for t in ODD if t for w in re.split("[ \n]", t)] + [b"", b"\xff.", b"a\xc3.\xa9", b"\xc31\xa9", "x²".encode(), b"1...", "é9,".encode()]
+    words += [b"w%dng" % i for i in range(1000)]
+    assert [brown.shape_bucket(w, 1024) for w in words] == [plain(w, 1024) for w in words]
+    before = brown._ending.cache_info().misses
+    for i in range(1000):
+        brown.shape_bucket(b"q" * i + b"zq", 1024)
+    assert brown._ending.cache_info().misses <= before + 1
