@@ -42,18 +42,38 @@ class WordEncoder:
 
         self.tokenizer, self.keep, self.words = Tokenizer.from_file(path), keep, {}
 
-    def packed(self, text: str) -> bytes:
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return self._direct([text])[0]
-        words, known = _WORD.findall(text.lower()), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > self.keep:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            known.update(zip(new, self._direct(new), strict=True))
-            return b"".join([known[w] for w in words])
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words that are new in any of about a million characters are encoded together."""
+        out, lot, many = [], [], 0
+        for t in texts:
+            lot.append(t)
+            many += len(t)
+            if many > 1 << 20:
+                out += self._lot(lot)
+                lot, many = [], 0
+        return out + self._lot(lot)
+
+    def _lot(self, texts: list[str]) -> list[bytes]:
+        split = [None if "<|" in t or not _PLAIN.fullmatch(t) else _WORD.findall(t.lower()) for t in texts]
+        known = self.words
+        if len(known) > self.keep:
+            known.clear()
+        new = list(set().union(*filter(None, split)).difference(known))
+        known.update(zip(new, self._words(new), strict=True))
+        return [self._direct([t])[0] if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from one text of them all if that splits into just these words."""
+        x = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        owner, ids = np.array(x.word_ids, dtype=float), np.array(x.ids, dtype="<u4")
+        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+        # Each word must have begun where it stands in the text.
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
+        offsets = x.offsets
+        if len(cuts) != len(words) or [offsets[i][0] for i in cuts.tolist()] != starts.tolist():
+            return self._direct(words)
+        data, at = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        return [data[i:j] for i, j in zip(at, at[1:])]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -74,8 +94,9 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0)
         row, step = TaskContext.get().partitionId() << 33, 4 * size
         for b in slices(batches):
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.packed(text or "") + end
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc, ids in zip(b.column(0).to_pylist(), enc.packed(texts), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     out.append((row, doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

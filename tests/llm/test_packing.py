@@ -85,3 +85,17 @@ def test_a_triple_is_found_behind_many_longer_first_lengths():
     x = np.arange(1190, 1332, 2)
     counts[x], counts[1700 - x], counts[301], counts[667] = 1, 1, 1, 3
     assert _Stock(counts).exact(2001, [301]) == [667, 667, 667]
+
+
+def test_new_words_of_many_texts_are_encoded_together(monkeypatch):
+    """One call of the library serves all texts, with the ids that it gives for each alone."""
+    enc, tok, alone = pk.WordEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY), []
+    direct = enc._direct
+    monkeypatch.setattr(enc, "_direct", lambda words: alone.append(words) or direct(words))
+    plain = ["", "can't we'll ''s !!'d a'b 12 éßÿ  \t\r\n x", "À-Ö'RE ~~", *(f"Word{i} quoi{i}é, %{i}..." for i in range(300))]
+    ids = lambda t: struct.pack(f"<{len(x := tok.encode(t, add_special_tokens=False).ids)}I", *x)
+    assert enc.packed(plain) == [ids(t) for t in plain] and not alone
+    odd = ["a <|endoftext|> b", "漢字 É ﬁ", plain[1] * 50_000]
+    assert enc.packed(odd) == [ids(t) for t in odd] and alone == [odd[:1], odd[1:2]]
+    # Where words don't stay apart they are encoded one by one.
+    assert enc._words(["a b", "c"]) == direct(["a b", "c"]) and alone[2:] == [["a b", "c"]]
