@@ -36,3 +36,28 @@ def test_pairs_of_blocks_are_not_shuffled(spark, compact):
     want = {(names[i], names[j]): far[i, j] for i in range(len(x)) for j in range(len(x)) if i < j or not compact}
     got = found.collect()
     assert len(got) == len(want) and {(r.a, r.b): r.distance for r in got} == want
+
+
+@pytest.mark.parametrize("method,convert", [("cosine", False), ("cosine", True), ("manhattan", True)])
+def test_nearest_leave_the_tasks_alone(spark, method, convert):
+    """Each task returns a few rows a term, and ties, of which there are many, go by name."""
+    from termfield.operators.neighbours import nearest_neighbours
+    from termfield.operators.swept import nearest, swept
+
+    table, x, names = counts(spark)
+    far = distances_module._array_distances(x, x, method, 2.0, False, convert)
+    similarity = method == "cosine" and not convert
+    digits = 9 if similarity else None
+    want = set()
+    for i, row in enumerate(far):
+        order = sorted((round(-d if similarity else d, 9), names[j]) for j, d in enumerate(row) if j != i)[:4]
+        want |= {(names[i], t, k + 1) for k, (_, t) in enumerate(order)}
+    asked = table.select(F.col("target").alias("term")).distinct()
+    got = nearest_neighbours(table, asked, 4, method=method, convert=convert, digits=digits).collect()
+    assert {(r.target, r.neighbour, r["rank"]) for r in got} == want and len(got) == len(want)
+    sides = distances_module.sides_of(table, None, method, 2.0, terms2="all")
+    blocks = swept(sides, convert=convert)
+    found = nearest(blocks, 4, similarity, False, digits)
+    assert "CartesianProduct" in plan_of(found)
+    held = distances_module.met(blocks.left, blocks.right, 7, lambda batches: iter(batches), "i long, a array<string>, x binary, k long, b array<string>, y binary, more string")
+    assert held.select("i").distinct().count() == blocks.left.count() > 3
