@@ -61,3 +61,55 @@ def test_nearest_leave_the_tasks_alone(spark, method, convert):
     assert "CartesianProduct" in plan_of(found)
     held = distances_module.met(blocks.left, blocks.right, 7, lambda batches: iter(batches), "i long, a array<string>, x binary, k long, b array<string>, y binary, more string")
     assert held.select("i").distinct().count() == blocks.left.count() > 3
+
+
+@pytest.mark.parametrize("name", ["pair_ranks_arithmetic", "distance_table_flags", "map_edges", "neighbours_in_matrix", "pair_ranks_in_matrix", "pairs_in_matrix", "pair_ranks_forward", "nearest_by_similarity"])
+def test_queries_of_all_distances_do_not_store_them(spark, name):
+    """Over many blocks they give what SQL gives, and no table of pairs is written."""
+    from pathlib import Path
+
+    import duckdb
+
+    import termfield.queries_more  # noqa: F401
+    from termfield.queries import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = con.execute(ORACLE_SQL[name])
+    cols = [d[0] for d in found.description]
+    plain = lambda r: tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)
+    want = sorted(map(plain, found.fetchall()))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://").removeprefix("//"))
+    stored = lambda: set(shared.glob("distances-*"))
+    before = stored()
+    assert sorted(map(plain, QUERIES[name](spark, sf).select(*cols).collect())) == want and want
+    assert stored() == before
+
+
+@pytest.mark.parametrize("method,convert", [("cosine", False), ("manhattan", True), ("jaccard", False)])
+def test_ranks_are_counted_where_blocks_meet(spark, method, convert):
+    """Many ranks of one term, one rank of many, and ties; as from a stored table."""
+    from termfield.operators.neighbours import as_distances, distance_table, pair_ranks_in_matrix
+
+    table, _, names = counts(spark)
+    words = [(names[0], t) for t in names] + [(t, names[(7 * i) % len(names)]) for i, t in enumerate(names)] + [("nobody", names[3])]
+    pairs = spark.createDataFrame(words, "w1 string, w2 string").distinct()
+    held = distance_table(table, method, convert=convert)
+    stored = as_distances(distances(table, method=method, convert=convert).withColumn("distance", F.round("distance", 12)), held.similarity)
+    assert held.symmetric and stored.symmetric
+    for direction in ("fwd", "avg"):
+        got, want = ({(r.w1, r.w2): r["rank"] for r in pair_ranks_in_matrix(pairs, m, direction).collect()} for m in (held, stored))
+        assert got == want
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4, 2 / 3, 1.0])
+def test_quantiles_from_sweeps(spark, share):
+    from termfield.operators.swept import quantile, swept
+
+    table, x, _ = counts(spark)
+    far = np.abs(x[:, None] - x[None]).sum(2)[np.triu_indices(len(x), 1)]
+    blocks = swept(distances_module.sides_of(table, None, "manhattan", 2.0))
+    for few, ranges in ((10_000, 1 << 16), (5, 7)):
+        assert quantile(blocks, share, few, ranges) == pytest.approx((np.quantile(far, share), far.min(), far.max()))
