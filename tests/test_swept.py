@@ -113,3 +113,35 @@ def test_quantiles_from_sweeps(spark, share):
     blocks = swept(distances_module.sides_of(table, None, "manhattan", 2.0))
     for few, ranges in ((10_000, 1 << 16), (5, 7)):
         assert quantile(blocks, share, few, ranges) == pytest.approx((np.quantile(far, share), far.min(), far.max()))
+
+
+@pytest.mark.parametrize("how", ["single", "complete", "average"])
+def test_trees_compare_equal_vectors_once(spark, monkeypatch, how):
+    """Heights are those of merging one pair at a time, and pairs written grow with distinct vectors."""
+    from termfield.operators import trees
+    from termfield.operators.evaluation import linkage
+
+    table, x, names = counts(spark, 60, copies=4)
+    made = []
+    real = trees.distances
+    monkeypatch.setattr(trees, "distances", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    got = trees.vector_tree(table, how).collect()
+    far = distances_module._array_distances(x, x, "cosine", 2.0, False, True)
+    assert sorted(round(r.height, 6) for r in got) == pytest.approx(sorted(round(h, 6) for *_, h in linkage(far, how)), abs=2e-6)
+    plain = trees.tree(distances(table, compact=True), how).collect()
+    assert sorted((r.a, r.b, round(r.height, 6), r["size"] or 0) for r in got) == sorted((r.a, r.b, round(r.height, 6), r["size"] or 0) for r in plain)
+    groups = len({tuple(v) for v in x})
+    assert made[0].count() == groups * (groups - 1) // 2 < len(x) * (len(x) - 1) // 30
+
+
+@pytest.mark.parametrize("method", ["metric", "ordinal", "sammon"])
+def test_maps_compare_equal_vectors_once(spark, method):
+    """One place for equal vectors, and the places and the stress of the map of all pairs."""
+    from termfield.operators import maps
+
+    table, x, names = counts(spark, 30, copies=3)
+    whole = maps.stress_map(distances(table, compact=True), method, 4, 0.0, landmarks=12)
+    few = maps.vector_map(table, method, 4, 0.0, landmarks=12)
+    a, b = ({r.term: (r.x, r.y) for r in m.points.collect()} for m in (whole, few))
+    assert a.keys() == b.keys() == set(names) and few.stress == pytest.approx(whole.stress, abs=1e-7)
+    assert np.allclose([a[t] for t in names], [b[t] for t in names], atol=1e-5)
