@@ -145,3 +145,22 @@ def test_maps_compare_equal_vectors_once(spark, method):
     a, b = ({r.term: (r.x, r.y) for r in m.points.collect()} for m in (whole, few))
     assert a.keys() == b.keys() == set(names) and few.stress == pytest.approx(whole.stress, abs=1e-7)
     assert np.allclose([a[t] for t in names], [b[t] for t in names], atol=1e-5)
+
+
+@pytest.mark.parametrize("how", ["complete", "average"])
+@pytest.mark.parametrize("few", [0, 9, 1024])
+def test_the_last_clusters_are_merged_on_the_driver(spark, monkeypatch, how, few):
+    """The same merges whether all rounds, some or none are jobs; none is one job for the pairs, whatever the rounds."""
+    from termfield.operators import trees
+
+    x = np.random.default_rng(3).normal(size=(40, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    table = spark.createDataFrame([(f"t{i:03d}", f"t{j:03d}", float(d[i, j])) for i in range(40) for j in range(i + 1, 40)], "a string, b string, distance double")
+    monkeypatch.setattr(trees, "FEW", 0)
+    want = sorted((r.a, r.b, round(r.height, 9), r["size"]) for r in trees.tree(table, how).collect())
+    calls = []
+    real = trees.written
+    monkeypatch.setattr(trees, "written", lambda df, name: calls.append(name) or real(df, name))
+    monkeypatch.setattr(trees, "FEW", few)
+    assert sorted((r.a, r.b, round(r.height, 9), r["size"]) for r in trees.tree(table, how).collect()) == want and len(want) == 39
+    assert few < 1024 or calls.count("pairs") == 1
